@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import packing, token_files
+from tallyspark.llm import fuzzy, line_dedup, media, packing, token_files
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_token_files": token_files.op5_token_files,
+    "op6_media_columns": media.op6_media_columns,
+    "op10_document_fingerprints": fuzzy.op10_document_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.OP4_SQL}
