@@ -3,34 +3,14 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
+import os
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh path below spark.checkpoint.dir, or, only where that is unset (tests, a laptop), below a folder made here."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _own_dirs.setdefault(app, "") or tempfile.mkdtemp(prefix="tallyspark-")
-        _own_dirs[app] = base
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts the lineage so that lost executors cost no rework."""
-    spark = df.sparkSession
-    path = path or shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from tallyspark.sources.shared import shared_dir, stored  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,36 +30,51 @@ class WordTokenizer:
 
     The tokenizer's own pre-tokenizer never lets a match cross white space, and NFC and
     lower-casing act within a word, so a text's ids are the ids of its words in turn; each distinct
-    word goes through the library once and is kept. The cache is emptied at ``limit`` words.
+    word goes through the library once and is kept. A word made of Latin letters with ASCII marks
+    around them is cut into marks, letters, marks: the pre-tokenizer cuts there too, and such letters are in NFC and
+    may be lower-cased beforehand. The caches are emptied at ``limit`` words.
     """
 
     SEPARATOR = "\x01"
+    #: ASCII marks that the pre-tokenizer treats alike; not the apostrophe, which starts its contractions, nor what special tokens are written with.
+    MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {"": b""}
-        ids = self._ids(self.SEPARATOR)
+        self.tokenizer, self.limit, self.known, self.parts = Tokenizer.from_file(path), limit, {"": b""}, {"": b""}
+        ids = self._ids([self.SEPARATOR])[0]
         self.mark = ids[0] if len(ids) == 1 else None
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            alone = [w for w in part if self.mark is None or self.SEPARATOR in w or "<|" in w]
-            joined = [w for w in part if w not in alone] if alone else part
-            ids = np.array(self._ids(f" {self.SEPARATOR} ".join(joined)), dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) if self.mark is not None else np.array([])
-            if len(ends) != len(joined):
-                alone, joined, ends = part, [], np.array([])
-            start = 0
-            for w, end in zip(joined, ends.tolist()):
-                self.known[w] = ids[start:end].tobytes()
-                start = end + 1
-            for w in alone:
-                self.known[w] = np.array(self._ids(w), dtype="<u4").tobytes()
+        """Puts the ids of words without white space into parts."""
+        joined, alone = [], []
+        for w in words:
+            (alone if self.mark is None or self.SEPARATOR in w or "<|" in w else joined).append(w)
+        runs = [joined[at : at + 1000] for at in range(0, len(joined), 1000)]
+        for run, ids in zip(runs, self._ids([f" {self.SEPARATOR} ".join(run) for run in runs])):
+            ids = np.array(ids, dtype="<u4")
+            ends = (4 * np.append(np.flatnonzero(ids == self.mark), len(ids))).tolist()
+            if len(ends) != len(run):
+                alone += run
+                continue
+            data, start = ids.tobytes(), 0
+            for w, end in zip(run, ends):
+                self.parts[w] = data[start:end]
+                start = end + 4
+        for w, ids in zip(alone, self._ids(alone)):
+            self.parts[w] = np.array(ids, dtype="<u4").tobytes()
+
+    def _cut(self, word: str) -> tuple[str, str, str]:
+        rest = word.lstrip(self.MARKS)
+        core = rest.rstrip(self.MARKS)
+        if core.isalpha() and max(core) < "\u0250":
+            return word[: len(word) - len(rest)], core.lower(), rest[len(core) :]
+        return "", word, ""
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = []
@@ -90,11 +85,19 @@ class WordTokenizer:
             split.append(t.split(" "))
         if len(self.known) > self.limit:
             self.known = {"": b""}
+        if len(self.parts) > self.limit:
+            self.parts = {"": b""}
         new: set[str] = set()
         for words in split:
             new.update(words)
         new -= self.known.keys()
-        self._learn(list(new))
+        cut = {w: self._cut(w) for w in new}
+        asked = {p for c in cut.values() for p in c}
+        asked -= self.parts.keys()
+        self._learn(sorted(asked))
+        part = self.parts
+        for w, (a, b, c) in cut.items():
+            self.known[w] = part[a] + part[b] + part[c]
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import fuzzy, line_dedup, media, packing, token_files
+from tallyspark.llm import fuzzy, jaccard_join, line_dedup, media, packing, token_files, toxicity, unigram, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
+    "op3_nbest_segmentation": unigram.op3_nbest_segmentation,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_token_files": token_files.op5_token_files,
     "op6_media_columns": media.op6_media_columns,
+    "op7_url_filters": url_filter.op7_url_filters,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_token_counts": unigram.op9_token_counts,
     "op10_document_fingerprints": fuzzy.op10_document_fingerprints,
 }
 
