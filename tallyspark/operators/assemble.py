@@ -54,6 +54,8 @@ def _text(df: DataFrame, name: str) -> Column:
     kind = dict(df.dtypes)[name]
     if kind == "timestamp":
         return F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    if kind == "double":
+        return F.regexp_replace(F.col(name).cast("string"), r"\.0$", "")
     return F.array_join(name, ",") if kind.startswith("array") else F.col(name).cast("string")
 
 
