@@ -28,22 +28,24 @@ def typed_findings(orders: DataFrame, lines: DataFrame, bank: DataFrame) -> dict
     """One plain table for each kind of finding, plus the batch ties and day deltas that others need."""
     groups = stored(st.group_settlements(lines))
     tied = stored(st.tie_settlement_to_bank(groups, bank))
-    deltas = delay.settlement_day_delta(orders, lines)
+    seen, joined = stored(od.with_settling_line(orders, lines)), stored(ln.payment_lines_with_order(orders, lines))
+    deltas = delay.settlement_day_delta(orders, lines, joined)
     return {
-        "DUPLICATE_ORDER_PAIR": od.find_duplicate_orders(orders, lines),
-        "ORDER_WITHOUT_SETTLEMENT": od.find_orders_without_settlement(orders, lines),
-        "ORDER_STATUS_CONTRADICTION": od.find_status_contradictions(orders, lines),
+        "DUPLICATE_ORDER_PAIR": od.find_duplicate_orders(orders, lines, seen),
+        "ORDER_WITHOUT_SETTLEMENT": od.find_orders_without_settlement(orders, lines, seen),
+        "ORDER_STATUS_CONTRADICTION": od.find_status_contradictions(orders, lines, seen),
         "ORPHAN_ADJUSTMENT": ln.find_orphan_adjustments(lines),
         "ORPHAN_REFUND": ln.find_orphan_refunds(orders, lines),
-        "ORPHAN_PAYMENT": ln.find_orphan_payments(orders, lines),
-        "SHORT_CAPTURE": ln.find_short_captures(orders, lines),
-        "FEE_SLAB_MISMATCH": ln.find_fee_mismatches(orders, lines),
+        "ORPHAN_PAYMENT": ln.find_orphan_payments(orders, lines, joined),
+        "SHORT_CAPTURE": ln.find_short_captures(orders, lines, joined),
+        "FEE_SLAB_MISMATCH": ln.find_fee_mismatches(orders, lines, joined),
         "SETTLEMENT_ON_HOLD": st.find_on_hold(tied).withColumn("bank_rows_for_utr", F.lit(0)),
         "UNEXPECTED_BANK_CREDIT_ON_HOLD": st.find_unexpected_credit_on_hold(tied),
         "SETTLEMENT_WITHOUT_BANK_CREDIT": st.find_missing_bank_credit(tied),
         "NET_MISMATCH": st.find_net_mismatch(tied).withColumn("tolerance_paise", F.lit(NET_TOLERANCE_PAISE)),
         "BANK_CREDIT_WITHOUT_SETTLEMENT": st.find_unclaimed_bank_credits(groups, bank),
         "SETTLEMENT_DELAY": delay.find_settlement_delays(deltas),
+        "_seen": seen,
         "_groups": groups,
         "_tied": tied,
         "_deltas": deltas,

@@ -9,9 +9,9 @@ from tallyspark.operators.lines import payment_lines_with_order
 from tallyspark.schemas import EXPECTED_DAY_DELTA
 
 
-def settlement_day_delta(orders: DataFrame, lines: DataFrame) -> DataFrame:
+def settlement_day_delta(orders: DataFrame, lines: DataFrame, joined: DataFrame | None = None) -> DataFrame:
     """Payment lines with a known order: difference of calendar dates."""
-    known = payment_lines_with_order(orders, lines).where("known")
+    known = (joined or payment_lines_with_order(orders, lines)).where("known")
     days = F.datediff(F.to_date("settled_at"), F.to_date("order_created_at"))
     return known.select("order_id", F.col("entity_id").alias("line_id"), days.alias("day_delta"), F.col("order_created_at").alias("created_at"), "settled_at", "settlement_id", "amount_paise", "method")
 

@@ -37,27 +37,27 @@ def refund_parent_candidates(orphan_refunds: DataFrame, lines: DataFrame, k: int
 
 
 def payment_lines_with_order(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    """Payment lines beside their order (null columns where it is unknown): joined once, used by all checks of payments."""
+    """Payment lines beside their order (null columns where it is unknown): joined once, used by all checks of payments, which take it as ``joined`` where it is at hand."""
     known = orders.select("order_id", F.col("amount_paise").alias("order_amount_paise"), F.col("created_at").alias("order_created_at"), F.lit(True).alias("known"))
     return lines.where("type = 'payment'").join(known, "order_id", "left")
 
 
-def find_orphan_payments(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    found = payment_lines_with_order(orders, lines).where("known is null")
+def find_orphan_payments(orders: DataFrame, lines: DataFrame, joined: DataFrame | None = None) -> DataFrame:
+    found = (joined or payment_lines_with_order(orders, lines)).where("known is null")
     return found.select(F.col("entity_id").alias("line_id"), F.col("type").alias("line_type"), *_ORPHAN, F.lit("no order in the merchant's ledger").alias("resolves_to"), F.coalesce("order_id", F.lit("")).alias("missing_order_id"))
 
 
-def find_short_captures(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    found = payment_lines_with_order(orders, lines).where("amount_paise < order_amount_paise")
+def find_short_captures(orders: DataFrame, lines: DataFrame, joined: DataFrame | None = None) -> DataFrame:
+    found = (joined or payment_lines_with_order(orders, lines)).where("amount_paise < order_amount_paise")
     short = F.col("order_amount_paise") - F.col("amount_paise")
     # half up in whole numbers, then two decimals
     hundredths = F.call_function("div", short * 20_000 + F.col("order_amount_paise"), F.col("order_amount_paise") * 2)
     return found.select("order_id", F.col("entity_id").alias("line_id"), "order_amount_paise", F.col("amount_paise").alias("captured_amount_paise"), short.alias("shortfall_paise"), (hundredths / 100).alias("shortfall_pct"), "settlement_id")
 
 
-def find_fee_mismatches(orders: DataFrame, lines: DataFrame) -> DataFrame:
+def find_fee_mismatches(orders: DataFrame, lines: DataFrame, joined: DataFrame | None = None) -> DataFrame:
     """Lines whose fee or tax is off the slab; orphans and short captures aren't looked at, nor lines without a method."""
-    found = payment_lines_with_order(orders, lines).where("known and amount_paise >= order_amount_paise and method is not null")
+    found = (joined or payment_lines_with_order(orders, lines)).where("known and amount_paise >= order_amount_paise and method is not null")
     found = found.withColumn("slab_bp", c.slab_bp("method")).withColumn("expected_fee_paise", c.expected_fee("amount_paise", "method")).withColumn("expected_tax_paise", c.expected_tax("expected_fee_paise"))
     found = found.where("expected_fee_paise != fee_paise or expected_tax_paise != tax_paise")
     hundredths = F.call_function("div", F.col("fee_paise") * 2_000_000 + F.col("amount_paise"), F.greatest(F.col("amount_paise"), F.lit(1)) * 2)

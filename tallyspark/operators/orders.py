@@ -25,15 +25,15 @@ def duplicate_groups(orders: DataFrame, window_seconds: int = DUPLICATE_WINDOW_S
 
 
 def with_settling_line(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    """Orders with the line that settles them (null columns where none does) and the duplicate group they are in. The one join stage 1 needs."""
+    """Orders with the line that settles them (null columns where none does) and the duplicate group they are in. The one join stage 1 needs; its operators take it as ``seen`` where it is at hand."""
     paid = payment_line_per_order(lines).select("order_id", F.col("entity_id").alias("line_id"), F.col("amount_paise").alias("settled_amount_paise"), "settlement_id", "settled_at", "method")
     groups = duplicate_groups(orders).select("order_id", "group_id")
     return orders.join(paid, "order_id", "left").join(groups, "order_id", "left")
 
 
-def find_duplicate_orders(orders: DataFrame, lines: DataFrame) -> DataFrame:
+def find_duplicate_orders(orders: DataFrame, lines: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """DUPLICATE_ORDER_PAIR, one row for each group. A group is bounded by its 90-second chain."""
-    seen = with_settling_line(orders, lines).where("group_id is not null")
+    seen = (seen or with_settling_line(orders, lines)).where("group_id is not null")
     twin = F.struct("order_id", F.col("line_id").isNotNull().alias("settled"), "created_at", "amount_paise", "status", "line_id")
     g = seen.groupBy("group_id").agg(F.array_sort(F.collect_list(twin)).alias("twins"), F.first("amount_paise").alias("amount_paise"), F.count("*").alias("orders_in_group"), F.count("line_id").alias("settled_orders"))
     reason = lambda t: F.when(t["settled"], "twin with a settlement line — the surviving candidate").otherwise("twin with no settlement line — the likely duplicate write")
@@ -51,21 +51,21 @@ def find_duplicate_orders(orders: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def find_orders_without_settlement(orders: DataFrame, lines: DataFrame) -> DataFrame:
+def find_orders_without_settlement(orders: DataFrame, lines: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """ORDER_WITHOUT_SETTLEMENT: paid orders that no payment line settles; those with twins name them in duplicate_of."""
-    seen = with_settling_line(orders, lines)
+    seen = seen or with_settling_line(orders, lines)
     twins = seen.where("group_id is not null").groupBy("group_id").agg(F.sort_array(F.collect_list("order_id")).alias("ids"))
     open_ = seen.where("status = 'paid' and line_id is null").join(twins, "group_id", "left")
     return open_.select("order_id", F.col("status").alias("order_status"), "amount_paise", "created_at", F.array_join(F.array_except("ids", F.array("order_id")), ",").alias("duplicate_of"))
 
 
-def find_status_contradictions(orders: DataFrame, lines: DataFrame) -> DataFrame:
+def find_status_contradictions(orders: DataFrame, lines: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """ORDER_STATUS_CONTRADICTION: orders not paid, yet settled, outside duplicate groups."""
-    seen = with_settling_line(orders, lines).where("status != 'paid' and line_id is not null and group_id is null")
+    seen = (seen or with_settling_line(orders, lines)).where("status != 'paid' and line_id is not null and group_id is null")
     return seen.select("order_id", "line_id", F.col("status").alias("order_status"), "settled_amount_paise", F.col("amount_paise").alias("order_amount_paise"), "settlement_id", "settled_at", "method")
 
 
-def excluded_orders(orders: DataFrame, lines: DataFrame) -> DataFrame:
+def excluded_orders(orders: DataFrame, lines: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Orders that no money is expected for: not paid, not settled, outside duplicate groups."""
-    seen = with_settling_line(orders, lines).where("status != 'paid' and line_id is null and group_id is null")
+    seen = (seen or with_settling_line(orders, lines)).where("status != 'paid' and line_id is null and group_id is null")
     return seen.select("order_id", F.lit("NO_MONEY_MOVEMENT_EXPECTED").alias("reason"), "status", "amount_paise")

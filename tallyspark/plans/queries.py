@@ -20,7 +20,7 @@ from tallyspark.operators import settle as se
 from tallyspark.operators import settlements as st
 from tallyspark.operators import verify as vf
 from tallyspark.plans.oracle import at, sql
-from tallyspark.plans.reconcile import reconcile
+from tallyspark.plans.reconcile import reconcile, unreconciled_batches
 from tallyspark.schemas import CAUSES, CODES, INSUFFICIENT
 from tallyspark.sources import ledger as L
 from tallyspark.sources.shared import stored
@@ -83,6 +83,11 @@ def tied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.tie_settlement_to_bank(st.group_settlements(L.lines(spark, sf_dir)), L.bank(spark, sf_dir))
 
 
+@query("unreconciled_batches", "SELECT settlement_id, utr, code AS reason, net AS expected_net_paise, bank_credit AS bank_credit_paise, line_count FROM tied JOIN failed USING (settlement_id)")
+def _(s, d):
+    return unreconciled_batches(L.lines(s, d), L.bank(s, d))
+
+
 # --- B: normalisation ------------------------------------------------------------------------------------------------
 
 

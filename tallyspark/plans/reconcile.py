@@ -21,7 +21,7 @@ def reconcile(orders: DataFrame, lines: DataFrame, bank: DataFrame, ids: str = "
     good = stored(st.reconciled(typed["_tied"]))
     cases = stored(a.case_of_finding(tables["entities"], ids))
     matched = stored(a.matched_lines(lines, a.owned_entities(tables["entities"]), good))
-    excluded = od.excluded_orders(orders, lines)
+    excluded = od.excluded_orders(orders, lines, typed["_seen"])
     entities = stored(a.residue_entities(tables["entities"], cases, orders, lines, bank, typed["_groups"]))
     values = stored(a.residue_value(entities))
     residue = a.residue_findings(tables["findings"], tables["entities"], cases).join(a.residue_evidence(tables["findings"], cases), "residue_id").join(values, "residue_id")
@@ -39,3 +39,16 @@ def reconcile(orders: DataFrame, lines: DataFrame, bank: DataFrame, ids: str = "
         "audit": a.partition_audit(orders, lines, bank, matched, good, entities, excluded, strict),
         "counts": a.finding_type_counts(tables["findings"]).orderBy(F.col("code")),
     }
+
+
+def unreconciled_batches(lines: DataFrame, bank: DataFrame) -> DataFrame:
+    """Which settlement batches don't tie to the bank, and why: settlement_id, utr, reason, expected_net_paise, bank_credit_paise, line_count."""
+    tied = st.tie_settlement_to_bank(st.group_settlements(lines), bank)
+    parts = [(st.find_on_hold, "SETTLEMENT_ON_HOLD"), (st.find_unexpected_credit_on_hold, "UNEXPECTED_BANK_CREDIT_ON_HOLD"), (st.find_missing_bank_credit, "SETTLEMENT_WITHOUT_BANK_CREDIT"), (st.find_net_mismatch, "NET_MISMATCH")]
+    out = None
+    for find, reason in parts:
+        found = find(tied)
+        credit = F.col("bank_credit_paise") if "bank_credit_paise" in found.columns else F.lit(None).cast("bigint")
+        found = found.select("settlement_id", "utr", F.lit(reason).alias("reason"), "expected_net_paise", credit.alias("bank_credit_paise"), "line_count")
+        out = found if out is None else out.unionByName(found)
+    return out
