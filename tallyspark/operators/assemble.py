@@ -16,13 +16,9 @@ from tallyspark.functions.cells import entity_key
 from tallyspark.functions.cells import residue_id as fnv_residue_id
 from tallyspark.operators import delay, lines as ln, orders as od, settlements as st
 from tallyspark.operators.components import connected_components
-from tallyspark.schemas import NET_TOLERANCE_PAISE
+from tallyspark.schemas import NEAR_BANK, NEAR_BATCH, NET_TOLERANCE_PAISE, PARENT
 from tallyspark.sources.shared import stored
 
-NEAR_BANK = "bank credit close to the expected net but carrying a different UTR"
-NEAR_BATCH = "settlement whose net is close to this credit but whose UTR differs"
-PARENT = "payment line with an identical gross amount — possible parent"
-
 
 def typed_findings(orders: DataFrame, lines: DataFrame, bank: DataFrame) -> dict[str, DataFrame]:
     """One plain table for each kind of finding, plus the batch ties and day deltas that others need."""

@@ -10,7 +10,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.schemas import CAUSES, CONFIDENCE_THRESHOLD, INSUFFICIENT, RECORD
+from tallyspark.schemas import (
+    ACTION_CHARGEBACK,
+    ACTION_DUPLICATE,
+    ACTION_FEE,
+    ACTION_HOLD,
+    ACTION_LATE,
+    ACTION_NORMAL,
+    ACTION_OPEN,
+    ACTION_REFUND,
+    ACTION_SHORT,
+    ACTION_STATUS,
+    ACTION_UNEXPLAINED,
+    CAUSES,
+    CONFIDENCE_THRESHOLD,
+    INSUFFICIENT,
+    RECORD,
+)
 
 RULES_NAME, RULES_MODEL = "rules-baseline", "deterministic-rules-v1"
 
@@ -49,25 +65,25 @@ def _verdict(cause: str, confidence: float, reasoning: Column, action: Column |
 def rule_verdict(residue: DataFrame) -> DataFrame:
     """residue_id, cause, confidence, reasoning, action, amount_paise. The first rule that fits a case's finding codes decides.
 
-    Actions are fixed values; the reasoning cites the evidence in our words.
+    The reasoning cites the evidence in our words.
     """
     withheld = F.coalesce(_whole("withheld_paise"), _whole("expected_net_paise"), F.lit(0))
     fee_delta = F.coalesce(_whole("fee_delta_paise"), F.lit(0)) + F.coalesce(_whole("tax_delta_paise"), F.lit(0))
     days = F.coalesce(_whole("day_delta"), F.lit(0))
     orphan, delayed = _has("ORPHAN_SETTLEMENT_LINE"), _has("SETTLEMENT_DELAY")
     rules = [
-        (_has("SETTLEMENT_ON_HOLD", "UNEXPECTED_BANK_CREDIT_ON_HOLD"), _verdict("ON_HOLD", 0.95, _say("Batch on hold: {} lines, net {} paise.", "line_count", "expected_net_paise"), "chase the gateway to release the held settlement; do not book revenue as received", withheld)),
-        (_has("BANK_CREDIT_WITHOUT_SETTLEMENT"), _verdict("UNEXPLAINED", 0.9, _say("The bank credited {} paise under reference {}, which no settlement carries.", "credit_paise", "utr"), "flag for dashboard follow-up — trace the UTR with the bank", _whole("credit_paise"))),
-        (_has("ORDER_STATUS_CONTRADICTION"), _verdict("SILENT_UPI_FAIL", 0.9, _say("The order says {}, yet {} paise settled in {}.", "order_status", "settled_amount_paise", "settlement_id"), "reconcile the order status to paid; no money movement required")),
-        (_has("SHORT_CAPTURE"), _verdict("PARTIAL_CAPTURE", 0.9, _say("{} of {} paise captured, {} short.", "captured_amount_paise", "order_amount_paise", "shortfall_paise"), "book the shortfall against the order or void the uncaptured balance", _whole("shortfall_paise"))),
-        (_has("FEE_SLAB_MISMATCH"), _verdict("FEE_VARIANCE", 0.9, _say("Fee at {} bp where the slab is {} bp: {} paise for {}.", "effective_bp", "slab_bp", "actual_fee_paise", "expected_fee_paise"), F.concat(F.lit("book fee variance adjustment of "), fee_delta.cast("string"), F.lit(" paise")), fee_delta)),
-        (orphan & (_text("line_type") == "adjustment"), _verdict("CHARGEBACK_DEBIT", 0.9, _say("An adjustment debits {} paise and names no order or payment.", "debit_paise"), "raise a chargeback dispute and provision the debit", _whole("debit_paise"))),
-        (orphan & (_text("line_type") == "refund"), _verdict("REFUND_NETTED", 0.9, _say("A refund debits {} paise for payment {}, which has no line here.", "debit_paise", "missing_payment_id"), "no action — refund of a prior-cycle payment, netted into this batch")),
+        (_has("SETTLEMENT_ON_HOLD", "UNEXPECTED_BANK_CREDIT_ON_HOLD"), _verdict("ON_HOLD", 0.95, _say("Batch on hold: {} lines, net {} paise.", "line_count", "expected_net_paise"), ACTION_HOLD, withheld)),
+        (_has("BANK_CREDIT_WITHOUT_SETTLEMENT"), _verdict("UNEXPLAINED", 0.9, _say("The bank credited {} paise under reference {}, which no settlement carries.", "credit_paise", "utr"), ACTION_UNEXPLAINED, _whole("credit_paise"))),
+        (_has("ORDER_STATUS_CONTRADICTION"), _verdict("SILENT_UPI_FAIL", 0.9, _say("The order says {}, yet {} paise settled in {}.", "order_status", "settled_amount_paise", "settlement_id"), ACTION_STATUS)),
+        (_has("SHORT_CAPTURE"), _verdict("PARTIAL_CAPTURE", 0.9, _say("{} of {} paise captured, {} short.", "captured_amount_paise", "order_amount_paise", "shortfall_paise"), ACTION_SHORT, _whole("shortfall_paise"))),
+        (_has("FEE_SLAB_MISMATCH"), _verdict("FEE_VARIANCE", 0.9, _say("Fee at {} bp where the slab is {} bp: {} paise for {}.", "effective_bp", "slab_bp", "actual_fee_paise", "expected_fee_paise"), F.concat(F.lit(ACTION_FEE[0]), fee_delta.cast("string"), F.lit(ACTION_FEE[1])), fee_delta)),
+        (orphan & (_text("line_type") == "adjustment"), _verdict("CHARGEBACK_DEBIT", 0.9, _say("An adjustment debits {} paise and names no order or payment.", "debit_paise"), ACTION_CHARGEBACK, _whole("debit_paise"))),
+        (orphan & (_text("line_type") == "refund"), _verdict("REFUND_NETTED", 0.9, _say("A refund debits {} paise for payment {}, which has no line here.", "debit_paise", "missing_payment_id"), ACTION_REFUND)),
         (orphan, _verdict(INSUFFICIENT, 0.3, _say("A line of type {} belongs to no order.", "line_type"), None)),
-        (_has("DUPLICATE_ORDER_PAIR"), _verdict("DUPLICATE_WEBHOOK", 0.85, _say("{} orders of {} paise within {} s, {} settled.", "orders_in_group", "amount_paise", "seconds_apart", "settled_orders"), "void the duplicate order row; revenue is overstated, no money is missing")),
-        (delayed & (days >= 4), _verdict("LATE_SETTLEMENT", 0.85, _say("Settled after {} days, {} more than expected.", "day_delta", "excess_days"), "no action — timing only")),
-        (delayed, _verdict(INSUFFICIENT, 0.3, _say("Settled after {} days: a capture past midnight would explain it.", "day_delta"), "no action — likely normal T+2 settlement, not a defect")),
-        (_has("ORDER_WITHOUT_SETTLEMENT"), _verdict(INSUFFICIENT, 0.3, F.lit("Paid, no settlement line, no twin: nothing supports a cause."), "flag for dashboard follow-up")),
+        (_has("DUPLICATE_ORDER_PAIR"), _verdict("DUPLICATE_WEBHOOK", 0.85, _say("{} orders of {} paise within {} s, {} settled.", "orders_in_group", "amount_paise", "seconds_apart", "settled_orders"), ACTION_DUPLICATE)),
+        (delayed & (days >= 4), _verdict("LATE_SETTLEMENT", 0.85, _say("Settled after {} days, {} more than expected.", "day_delta", "excess_days"), ACTION_LATE)),
+        (delayed, _verdict(INSUFFICIENT, 0.3, _say("Settled after {} days: a capture past midnight would explain it.", "day_delta"), ACTION_NORMAL)),
+        (_has("ORDER_WITHOUT_SETTLEMENT"), _verdict(INSUFFICIENT, 0.3, F.lit("Paid, no settlement line, no twin: nothing supports a cause."), ACTION_OPEN)),
     ]
     out = _verdict(INSUFFICIENT, 0.2, F.concat(F.lit("No rule for "), F.array_join("finding_types", ", ")), None)
     for fits, verdict in reversed(rules):

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from tallyspark.functions import cells as c
 from tallyspark.operators.joins import top_k_per_key
 from tallyspark.operators.orders import LINE_ORDER
+from tallyspark.schemas import RESOLVES_ADJUSTMENT, RESOLVES_PAYMENT, RESOLVES_REFUND
 
 _ORPHAN = ["debit_paise", "credit_paise", "amount_paise", "settlement_id", "settled_at"]
 
 
 def find_orphan_adjustments(lines: DataFrame) -> DataFrame:
-    resolves = F.lit("neither an order nor a payment in the merchant's records").alias("resolves_to")
+    resolves = F.lit(RESOLVES_ADJUSTMENT).alias("resolves_to")
     return lines.where("type = 'adjustment'").select(F.col("entity_id").alias("line_id"), F.col("type").alias("line_type"), *_ORPHAN, resolves)
 
 
@@ -24,7 +25,7 @@ def find_orphan_refunds(orders: DataFrame, lines: DataFrame) -> DataFrame:
     known = orders.select("order_id", F.lit(1).alias("known")).distinct()
     found = refunds.join(known, "order_id", "left")
     return found.select(
-        F.col("entity_id").alias("line_id"), F.col("type").alias("line_type"), *_ORPHAN, F.lit("no payment line anywhere in this settlement report").alias("resolves_to"),
+        F.col("entity_id").alias("line_id"), F.col("type").alias("line_type"), *_ORPHAN, F.lit(RESOLVES_REFUND).alias("resolves_to"),
         F.coalesce("payment_id", F.lit("")).alias("missing_payment_id"), F.coalesce("order_id", F.lit("")).alias("missing_order_id"), F.coalesce("known", F.lit(0)).alias("order_known_to_merchant"),
     )
 
@@ -44,7 +45,7 @@ def payment_lines_with_order(orders: DataFrame, lines: DataFrame) -> DataFrame:
 
 def find_orphan_payments(orders: DataFrame, lines: DataFrame, joined: DataFrame | None = None) -> DataFrame:
     found = (joined or payment_lines_with_order(orders, lines)).where("known is null")
-    return found.select(F.col("entity_id").alias("line_id"), F.col("type").alias("line_type"), *_ORPHAN, F.lit("no order in the merchant's ledger").alias("resolves_to"), F.coalesce("order_id", F.lit("")).alias("missing_order_id"))
+    return found.select(F.col("entity_id").alias("line_id"), F.col("type").alias("line_type"), *_ORPHAN, F.lit(RESOLVES_PAYMENT).alias("resolves_to"), F.coalesce("order_id", F.lit("")).alias("missing_order_id"))
 
 
 def find_short_captures(orders: DataFrame, lines: DataFrame, joined: DataFrame | None = None) -> DataFrame:

