@@ -315,7 +315,7 @@ def document_sets(docs: DataFrame, heavy_share: int = 400) -> DataFrame:
 def links(docs: DataFrame, documents: DataFrame, heavy: dict[int, int], bits: int = 26, rounds: int = 2) -> DataFrame:
     """Links between nodes that join every component: (src, dst). documents: doc_id, n_shingles, sig."""
     total = documents.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets, slabs = max(16, total // 500_000), max(16, total // 2_000_000)
+    buckets = slabs = max(64, total // 2_000_000)  # of some megabytes each
     heavy_h = np.array(sorted(heavy), np.uint64)
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
