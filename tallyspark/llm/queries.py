@@ -17,4 +17,4 @@ QUERIES = {
     "op10_document_fingerprints": fuzzy.op10_document_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": jaccard_join.OP2_SQL, "op4_line_dedup": line_dedup.OP4_SQL}
