@@ -2,8 +2,8 @@
 
 The kernel of two words sums over the subsequences of three letters they share, gaps allowed and weighed down by
 ``decay`` for each letter spanned, normalised to 1 for equal words, and is sharpened by a Gaussian of the distance it
-defines; so inserted characters and changed endings keep a word near. A mark at its front lets a word's beginning count. Words are the runs between white space, lower-cased, without what isn't a letter or digit at their ends; a
-word of over 32 characters is looked at in overlapping pieces of 32, so that no part of it is left out.
+defines; so inserted characters and changed endings keep a word near. A mark at its front lets a word's beginning count. Words are the runs between white space, lower-cased; marks in and around a word are dropped, and where they stand
+inside, its parts are looked at as well. A word of over 32 characters is looked at in overlapping pieces of 32, so that no part of it is left out.
 
 A word's features are its kernel values to a few dozen landmark words, whitened by the landmarks' own kernel matrix (Nyström).
 The machine is fitted on labelled texts by taking, in turns, each text's strongest word as its example
@@ -18,7 +18,6 @@ and text are read, and doc_id only for the fold; of several labels of one doc_id
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,15 +39,19 @@ def words_of(text: str) -> list[str]:
 
 
 def pieces_of(word: str) -> list[str]:
-    a, b = 0, len(word)
-    while a < b and not word[a].isalnum():
-        a += 1
-    while b > a and not word[b - 1].isalnum():
-        b -= 1
-    word = word[a:b]
-    if len(word) < ORDER:
-        return []
-    return [FRONT + word] if len(word) <= LONGEST else [FRONT * (i == 0) + word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
+    """What of a word is looked at: its letters and digits put together and, where marks stand between them, each run of them too."""
+    if word.isalnum():
+        found = [word]
+    else:
+        runs = "".join(x if x.isalnum() else " " for x in word).split()
+        found = list(dict.fromkeys(["".join(runs), *runs]))
+    out = []
+    for w in found:
+        if len(w) > LONGEST:
+            out += [FRONT * (i == 0) + w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2)]
+        elif len(w) >= ORDER:
+            out.append(FRONT + w)
+    return out
 
 
 def codes_of(words: list[str]) -> np.ndarray:
@@ -57,30 +60,44 @@ def codes_of(words: list[str]) -> np.ndarray:
 
 
 def kernel(words: list[str], landmarks: list[str], decay: float = 0.6) -> np.ndarray:
-    """The normalised subsequence kernel of every word with every landmark: the usual dynamic programming, a letter of all words at a time."""
+    """The normalised subsequence kernel of every word with every landmark.
+
+    Dynamic programming, one letter of all words at a time. singles[j] and pairs[j] sum, over common subsequences of one and
+    two letters before letter j of the landmark, decay to the minus their beginnings in both words; a third common letter at (i, j)
+    then adds decay^(i + j + 2) times pairs[j].
+    """
     out = np.zeros((len(words), len(landmarks)), np.float32)
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    marks, square = codes_of(landmarks), np.float32(decay * decay)
-    own = np.sqrt(_self_kernel(codes_of(landmarks), decay))
-    for at in range(0, len(order), 1000):
-        some = order[at : at + 1000]
+    marks = codes_of(landmarks)
+    m, width = marks.shape
+    letters = np.unique(marks[marks != 0])
+    # for each letter, and last for any other, where the landmarks have it: by place in the landmark
+    where = np.concatenate([marks.T[None] == letters[:, None, None], np.zeros((1, width, m), bool)]).astype(np.float32)
+    own = np.sqrt(_self_kernel(marks, decay))
+    down, up = (np.float32(decay) ** np.arange(width + LONGEST + 2, dtype=np.float32) for _ in range(2))
+    up = (1 / up).astype(np.float32)
+    for at in range(0, len(order), 500):
+        some = order[at : at + 500]
         w = codes_of([words[i] for i in some])
-        n, m, width = len(some), marks.shape[0], marks.shape[1]
-        # partial[q][j]: of subsequences of q + 1 letters that end before letter j of the landmark, decayed to there
-        partial = np.zeros((ORDER - 1, width + 1, n, m), np.float32)
-        total = np.zeros((n, m), np.float32)
+        n = len(some)
+        place = np.minimum(np.searchsorted(letters, w), len(letters) - 1)
+        letter = np.where(letters[place] == w, place, len(letters))
+        singles, pairs, total = np.zeros((width + 1, n, m), np.float32), np.zeros((width + 1, n, m), np.float32), np.zeros((n, m), np.float32)
         for i in range(w.shape[1]):
-            letter = w[:, i]
-            same = [((letter[:, None] == marks[None, :, j]) & (letter != 0)[:, None]).astype(np.float32) * square for j in range(width)]
+            same = where.transpose(1, 0, 2)[:, letter[:, i]]
+            found, run = np.zeros((n, m), np.float32), np.zeros((n, m), np.float32)
+            for j in range(1, width):
+                run += same[j] * singles[j]
+                if j > 1:
+                    found += same[j] * pairs[j] * down[j]
+                    pairs[j] += last
+                last = run.copy()
+            pairs[width] += last if width > 1 else 0
+            total += found * down[i + 2]
+            run = np.zeros((n, m), np.float32)
             for j in range(width):
-                total += same[j] * partial[ORDER - 2, j]
-            for q in range(ORDER - 2, -1, -1):
-                run = np.zeros((n, m), np.float32)
-                for j in range(width):
-                    run *= np.float32(decay)
-                    run += same[j] * partial[q - 1, j] if q else same[j]
-                    partial[q, j + 1] *= np.float32(decay)
-                    partial[q, j + 1] += run
+                run += same[j] * up[i + j]
+                singles[j + 1] += run
         mine = np.sqrt(_self_kernel(w, decay))
         scale = mine[:, None] * own[None, :]
         out[some] = np.where(scale > 0, total / np.maximum(scale, 1e-12), 0)
@@ -123,16 +140,17 @@ class ToxicityModel:
     def of_pieces(self, pieces: list[str]) -> np.ndarray:
         return nearness(pieces, self.landmarks, self.decay) @ self.weights.astype(np.float32) + np.float32(self.bias)
 
-    def strongest(self, texts: list[str], known: dict[str, float]) -> np.ndarray:
-        """The margins of each text's TOP strongest words, falling; the bias where there are fewer. known: margins of words met so far."""
+    def strongest(self, texts: list[str], known: dict[str, float], value: dict[str, float] | None = None) -> np.ndarray:
+        """The margins of each text's TOP strongest words, falling; the bias where there are fewer. known, value: margins of words and of pieces met so far."""
+        value = {} if value is None else value
         split = [words_of(t) for t in texts]
         new: set[str] = set()
         for words in split:
             new.update(words)
         new -= known.keys()
         cut = {w: pieces_of(w) for w in new}
-        ask = sorted({p for ps in cut.values() for p in ps})
-        value = dict(zip(ask, self.of_pieces(ask).tolist()))
+        ask = sorted({p for ps in cut.values() for p in ps} - value.keys())
+        value.update(zip(ask, self.of_pieces(ask).tolist()))
         for w, ps in cut.items():
             known[w] = max([value.get(p, self.bias) for p in ps], default=self.bias)
         out = np.full((len(texts), TOP), self.bias)
@@ -152,8 +170,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def labelled_words(docs: DataFrame, labels: DataFrame, bound: int) -> list[tuple[int, dict[str, int]]]:
-    """(label, word pieces with their counts) of at most ``bound`` labelled texts of each class outside the held-out fold."""
+def labelled_words(docs: DataFrame, labels: DataFrame, bound: int) -> list[tuple[int, str, bytes]]:
+    """(label, distinct word pieces separated by spaces, their counts up to TOP) of at most ``bound`` labelled texts of each class outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound) for y in (0, 1)]
@@ -161,11 +179,11 @@ def labelled_words(docs: DataFrame, labels: DataFrame, bound: int) -> list[tuple
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [sorted(Counter(p for w in words_of(t) for p in pieces_of(w)).items()) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "words": [[w for w, _ in f] for f in found], "counts": [[k for _, k in f] for f in found]})
+            found = [Counter(p for w in words_of(t) for p in pieces_of(w)) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "words": [" ".join(f) for f in found], "counts": [bytes(min(n, TOP) for n in f.values()) for f in found]})
 
-    rows = common.texts_of(docs).join(F.broadcast(ids), "doc_id").mapInPandas(distinct, "doc_id long, toxic int, words array<string>, counts array<long>").collect()
-    return [(r.toxic, dict(zip(r.words, r.counts))) for r in sorted(rows, key=lambda r: (r.doc_id, r.words))]
+    rows = common.texts_of(docs).join(F.broadcast(ids), "doc_id").mapInPandas(distinct, "doc_id long, toxic int, words string, counts binary").collect()
+    return [(r.toxic, r.words, bytes(r.counts)) for r in sorted(rows, key=lambda r: (r.doc_id, r.words))]
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -183,35 +201,32 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3,
     return w[:-1], float(w[-1])
 
 
-def fit(rows: list[tuple[int, dict[str, int]]], landmarks: int = 96, turns: int = 5) -> ToxicityModel | None:
-    n = Counter(y for y, _ in rows)
-    if not n[0] or not n[1]:
+def fit(rows: list[tuple[int, str, bytes]], landmarks: int = 72, turns: int = 5) -> ToxicityModel | None:
+    at: dict[str, int] = {}
+    docs = [np.array([at.setdefault(w, len(at)) for w in words.split()], dtype=np.int32) for _, words, _ in rows]
+    y = np.array([2.0 * v - 1 for v, _, _ in rows])
+    if not (y > 0).any() or not (y < 0).any() or not at:
         return None
-    count = (Counter(), Counter())
-    for y, words in rows:
-        count[y].update(words)
-
-    def odds(w: str) -> float:
-        return math.log((count[1][w] + 0.5) / (n[1] + 1)) - math.log((count[0][w] + 0.5) / (n[0] + 1))
-
-    telling = sorted((w for w, k in count[1].items() if k >= 2), key=lambda w: (-count[1][w] * odds(w), w))
+    words = list(at)
+    del at
+    have = [np.bincount(np.concatenate([d for d, v in zip(docs, y) if v == sign] or [np.zeros(0, np.int32)]), minlength=len(words)) for sign in (-1, 1)]
+    odds = np.log((have[1] + 0.5) / ((y > 0).sum() + 1)) - np.log((have[0] + 0.5) / ((y < 0).sum() + 1))
+    name = np.array(words)
+    telling = [words[i] for i in np.lexsort((name, -have[1] * odds))[: 40 * landmarks] if have[1][i] >= 2]
     chosen: list[str] = []
-    for w in [*telling[: 12 * landmarks]]:
-        if len(chosen) >= landmarks * 3 // 4:
+    for w in telling:
+        if len(chosen) >= landmarks * 8 // 9:
             break
         if not chosen or nearness([w], chosen).max() < ALIKE:
             chosen.append(w)
-    chosen += [w for w, _ in sorted(count[0].items(), key=lambda x: (-x[1], x[0])) if w not in chosen][: landmarks - len(chosen)]
-    words = sorted(count[0].keys() | count[1].keys())
-    at = {w: i for i, w in enumerate(words)}
-    near = nearness(words, chosen)
+    chosen += [w for w in (words[i] for i in np.lexsort((name, -have[0]))[: 2 * landmarks]) if w not in chosen][: landmarks - len(chosen)]
+    del name
     value, vector = np.linalg.eigh(nearness(chosen, chosen).astype(np.float64))
     whiten = vector / np.sqrt(np.maximum(value, 1e-3))
-    z = near @ whiten.astype(np.float32)
-    docs = [np.array([at[w] for w in ws], dtype=np.int64) for _, ws in rows]
-    y = np.array([2.0 * v - 1 for v, _ in rows])
-    first = np.array([odds(w) * math.log1p(count[1][w]) for w in words])
-    strength, negatives = first, [set() for _ in rows]
+    z = np.empty((len(words), len(chosen)), np.float32)
+    for i in range(0, len(words), 20_000):
+        z[i : i + 20_000] = nearness(words[i : i + 20_000], chosen) @ whiten.astype(np.float32)
+    strength, negatives = odds * np.log1p(have[1]), [set() for _ in rows]
     for _ in range(turns):
         sample, sign, weight = [], [], []
         for i, d in enumerate(docs):
@@ -226,12 +241,14 @@ def fit(rows: list[tuple[int, dict[str, int]]], landmarks: int = 96, turns: int
             sample += picked
             sign += [y[i]] * len(picked)
             weight += [1.0 / len(picked)] * len(picked)
+        if not sample:
+            return None
         u, bias = _svm(z[sample].astype(np.float64), np.array(sign), np.array(weight))
-        strength = z @ u + bias
+        strength = z @ u.astype(np.float32) + np.float32(bias)
     model = ToxicityModel(chosen, whiten @ u, bias)
     top = np.full((len(rows), TOP), bias)
-    for i, (d, (_, ws)) in enumerate(zip(docs, rows)):
-        m = np.sort(np.repeat(strength[d], np.minimum(list(ws.values()), TOP)))[::-1][:TOP] if len(d) else np.zeros(0)
+    for i, (d, (_, _, counts)) in enumerate(zip(docs, rows)):
+        m = np.sort(np.repeat(strength[d], np.frombuffer(counts, np.uint8)))[::-1][:TOP]
         top[i, : len(m)] = m
     model.slopes, model.offset = _logistic(top, y > 0)
     return model
@@ -253,29 +270,29 @@ def _logistic(x: np.ndarray, positive: np.ndarray, ridge: float = 1e-3, rounds:
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = 1500) -> ToxicityModel | None:
+def train(docs: DataFrame, labels: DataFrame, bound: int = 1000) -> ToxicityModel | None:
     return fit(labelled_words(docs, labels, bound))
 
 
-#: Margins by word, for the model last used in this worker; emptied when it has grown to the limit.
-_known: dict = {"model": None, "words": {}}
+#: Margins by word and by piece, for the model last used in this worker; emptied when they have grown to their limits.
+_known: dict = {"model": None, "words": {}, "pieces": {}}
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, bound: int = 1500) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, bound: int = 1000) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     model = train(docs, labels, bound)
     scored = common.texts_of(docs).select("doc_id", _score_udf(model)("text").alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, bound: int = 1500) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, bound: int = 1000) -> DataFrame:
     """The documents scored below the threshold, columns as they were. Scoring travels beside the row, so any column may be null."""
     model = train(docs, labels, bound)
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.where(_score_udf(model)("text") < threshold).select("row.*")
 
 
-def _score_udf(model: ToxicityModel | None, limit: int = 400_000):
+def _score_udf(model: ToxicityModel | None, words: int = 300_000, pieces: int = 1_000_000):
     stamp = None if model is None else (tuple(model.landmarks), model.bias, model.weights.tobytes())
 
     @F.pandas_udf("double")
@@ -283,12 +300,14 @@ def _score_udf(model: ToxicityModel | None, limit: int = 400_000):
         out = np.zeros(len(texts))
         if model is not None:
             if _known["model"] != stamp:
-                _known.update(model=stamp, words={})
+                _known.update(model=stamp, words={}, pieces={})
             every = texts.tolist()
             for i, j in common.slices(every):
-                if len(_known["words"]) > limit:
+                if len(_known["words"]) > words:
                     _known["words"] = {}
-                out[i:j] = model.score(model.strongest(every[i:j], _known["words"]))
+                if len(_known["pieces"]) > pieces:
+                    _known["pieces"] = {}
+                out[i:j] = model.score(model.strongest(every[i:j], _known["words"], _known["pieces"]))
         return pd.Series(out)
 
     return score
