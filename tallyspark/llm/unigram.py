@@ -33,7 +33,7 @@ SPACE, LONG = "▁", 64
 class Pieces:
     """The vocabulary of a SentencePiece model file as an Aho-Corasick automaton."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -51,7 +51,8 @@ class Pieces:
         self.automaton.make_automaton()
         self.unknown_score = min(self.scores.values()) - 10.0
         self.counts: dict[str, tuple[int, float]] = {}
-        self.nbest: dict[tuple[str, int], list] = {}
+        self.nbest: dict[int, dict[str, list]] = {}
+        self.bytes = [bytes([int(p[3:5], 16)]) if p in self.byte_ids else p.replace(SPACE, " ").encode() for p in self.pieces]
 
     def edges(self, word: str) -> list[list[tuple[int, float, int]]]:
         """For each end of a piece (1 to len): (start, score, id), leftmost start first; an unknown character's id is -1."""
@@ -106,11 +107,7 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: pieces put together, byte pieces as UTF-8, ``▁`` as space, without the one at the front."""
-        out = bytearray()
-        for i in ids.tolist():
-            piece = self.pieces[i]
-            out += bytes([int(piece[3:5], 16)]) if piece in self.byte_ids else piece.replace(SPACE, " ").encode()
-        text = out.decode("utf-8", "surrogatepass")
+        text = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -195,21 +192,21 @@ def encode_nbest(docs: DataFrame, n_best: int = 3, model: str | None = None) ->
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = pieces_of(path)
-        known = vocabulary.nbest
+        known = vocabulary.nbest.setdefault(n_best, {})
         for batch in batches:
             texts, keys = batch["text"].tolist(), batch["doc_id"].tolist()
             for a, b in common.slices(texts, 1_000_000):
                 rows = []
                 for key, text in zip(keys[a:b], texts[a:b]):
-                    if len(known) > vocabulary.limit // 2:
+                    if len(known) > vocabulary.limit * 5 // 8:
                         known.clear()
                     found = []
                     for w in words_of(text):
-                        got = known.get((w, n_best))
+                        got = known.get(w)
                         if got is None:
                             got = vocabulary.best(w, n_best)
                             if len(w) <= LONG:
-                                known[w, n_best] = got
+                                known[w] = got
                         found.append(got)
                     done = combine(found, n_best) if found else [(0.0, b"")]
                     rows.append((None if pd.isna(key) else int(key), [np.frombuffer(x, "<i4") for _, x in done], [s for s, _ in done]))
