@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.sources.shared import shared_dir, stored  # noqa: F401
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,7 +33,7 @@ class WordTokenizer:
     lower-casing act within a word, so a text's ids are the ids of its words in turn; each distinct
     word goes through the library once and is kept. A word made of Latin letters with ASCII marks
     around them is cut into marks, letters, marks: the pre-tokenizer cuts there too, and such letters are in NFC and
-    may be lower-cased beforehand. The caches are emptied at ``limit`` words.
+    may be lower-cased beforehand. The caches are emptied at ``limit`` words and half as many parts again.
     """
 
     SEPARATOR = "\x01"
@@ -70,36 +71,42 @@ class WordTokenizer:
             self.parts[w] = np.array(ids, dtype="<u4").tobytes()
 
     def _cut(self, word: str) -> tuple[str, str, str]:
+        if word.isalpha():
+            return "", word.lower() if word.isascii() or max(word) < "\u0250" else word, ""
         rest = word.lstrip(self.MARKS)
         core = rest.rstrip(self.MARKS)
-        if core.isalpha() and max(core) < "\u0250":
+        if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
             return word[: len(word) - len(rest)], core.lower(), rest[len(core) :]
         return "", word, ""
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
+        if len(self.known) > self.limit:
+            self.known = {"": b""}
+        if len(self.parts) > self.limit * 3 // 2:
+            self.parts = {"": b""}
+        known, part, found, new = self.known, self.parts, [], set()
         for t in texts:
             for c in "\n\t\r\x0b\x0c":
                 if c in t:
                     t = t.replace(c, " ")
-            split.append(t.split(" "))
-        if len(self.known) > self.limit:
-            self.known = {"": b""}
-        if len(self.parts) > self.limit:
-            self.parts = {"": b""}
-        new: set[str] = set()
-        for words in split:
+            words = t.split(" ")
+            ids = list(map(known.get, words))
+            missing = [i for i, x in enumerate(ids) if x is None]
+            words = [words[i] for i in missing]
             new.update(words)
-        new -= self.known.keys()
-        cut = {w: self._cut(w) for w in new}
-        asked = {p for c in cut.values() for p in c}
-        asked -= self.parts.keys()
-        self._learn(sorted(asked))
-        part = self.parts
-        for w, (a, b, c) in cut.items():
-            self.known[w] = part[a] + part[b] + part[c]
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            found.append((ids, missing, words))
+        cut = list(map(self._cut, new))
+        asked: set[str] = set()
+        for c in cut:
+            asked.update(c)
+        asked -= part.keys()
+        self._learn(list(asked))
+        for w, (a, b, c) in zip(new, cut):
+            known[w] = part[a] + part[b] + part[c] if a or c else part[b]
+        for ids, missing, words in found:
+            for i, w in zip(missing, words):
+                ids[i] = known[w]
+        return [b"".join(ids) for ids, _, _ in found]
 
 
 @functools.lru_cache(maxsize=2)

@@ -32,6 +32,30 @@ BLOCK = 512
 SEGMENT_SCHEMA = "part int, segment int, start long, n_ids long, doc_ids array<long>, doc_lengths array<long>, payload binary"
 
 
+def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of each value, one row of bytes for each row of a block's values. Eight values fill ``width`` bytes."""
+    eight = (values & np.uint32((1 << width) - 1)).astype(np.uint64).reshape(len(values), -1, 8)
+    out = np.zeros((*eight.shape[:2], width + 8), np.uint8)
+    for k in range(8):
+        byte, bit = divmod(k * width, 8)
+        part = eight[:, :, k] << np.uint64(bit)
+        for j in range((bit + width + 7) // 8):
+            out[:, :, byte + j] |= (part >> np.uint64(8 * j)).astype(np.uint8)
+    return out[:, :, :width].reshape(len(values), -1)
+
+
+def _unpack(rows: np.ndarray, width: int) -> np.ndarray:
+    eight = rows.reshape(len(rows), -1, width)
+    out = np.empty((*eight.shape[:2], 8), np.uint32)
+    for k in range(8):
+        byte, bit = divmod(k * width, 8)
+        value = eight[:, :, byte].astype(np.uint64)
+        for j in range(1, (bit + width + 7) // 8):
+            value |= eight[:, :, byte + j].astype(np.uint64) << np.uint64(8 * j)
+        out[:, :, k] = (value >> np.uint64(bit)) & np.uint64((1 << width) - 1)
+    return out.reshape(len(rows), -1)
+
+
 def pack_blocks(ids: np.ndarray, percentile: float = 90.0) -> bytes:
     n = len(ids)
     if n == 0:
@@ -53,8 +77,7 @@ def pack_blocks(ids: np.ndarray, percentile: float = 90.0) -> bytes:
         which = np.flatnonzero(width == w)
         for i in range(0, len(which), 256):
             some = which[i : i + 256]
-            bits = (diff[some][:, :, None] >> np.arange(w, dtype=np.uint32)).astype(np.uint8) & 1
-            packed = np.packbits(bits.reshape(len(some), -1), axis=1, bitorder="little")
+            packed = _pack(diff[some], w)
             for b, p in zip(some.tolist(), packed):
                 body[b] = p.tobytes()
     blocks = []
@@ -85,12 +108,7 @@ def unpack_blocks(payload: bytes, first: int = 0, last: int | None = None) -> np
                 out[some] = 0
                 continue
             at = base + starts[first + some].astype(np.int64) + 8
-            raw = data[at[:, None] + np.arange(BLOCK * w // 8)]
-            bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(some), BLOCK, w)
-            value = np.zeros((len(some), BLOCK), dtype=np.uint32)
-            for k in range(w):
-                value |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
-            out[some] = value
+            out[some] = _unpack(data[at[:, None] + np.arange(BLOCK * w // 8)], w)
     for k, (low, w, _, odd) in enumerate(heads):
         if odd:
             at = base + int(starts[first + k]) + 8 + BLOCK * w // 8
