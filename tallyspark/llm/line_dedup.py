@@ -93,7 +93,7 @@ def dedup_lines(docs: DataFrame, words: int = 50) -> DataFrame:
     """The documents with every later copy of a repeated run of lines deleted; the columns stay as they are."""
     key, text = _key(docs)
     gone = common.stored(repeated_lines(docs, words))
-    both = docs.select(F.struct("*").alias("row"), key.alias("doc"), text.alias("text")).join(gone, "doc", "left")
+    both = docs.select(F.struct("*").alias("row"), key.alias("doc"), text.alias("text")).join(gone.hint("merge"), "doc", "left")
     lines = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     new = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
