@@ -16,7 +16,8 @@ from tallyspark.functions.cells import entity_key
 from tallyspark.functions.cells import residue_id as fnv_residue_id
 from tallyspark.operators import delay, lines as ln, orders as od, settlements as st
 from tallyspark.operators.components import connected_components
-from tallyspark.schemas import NEAR_BANK, NEAR_BATCH, NET_TOLERANCE_PAISE, PARENT
+from tallyspark.operators.joins import running_sum
+from tallyspark.schemas import NEAR_BANK, NEAR_BATCH, NET_TOLERANCE_PAISE, PARENT, TWIN_SETTLED, TWIN_UNSETTLED
 from tallyspark.sources.shared import stored
 
 
@@ -26,9 +27,10 @@ def typed_findings(orders: DataFrame, lines: DataFrame, bank: DataFrame) -> dict
     tied = stored(st.tie_settlement_to_bank(groups, bank))
     seen, joined = stored(od.with_settling_line(orders, lines)), stored(ln.payment_lines_with_order(orders, lines))
     deltas = delay.settlement_day_delta(orders, lines, joined)
+    twins = od.duplicate_twins(orders, lines, seen)
     return {
-        "DUPLICATE_ORDER_PAIR": od.find_duplicate_orders(orders, lines, seen),
-        "ORDER_WITHOUT_SETTLEMENT": od.find_orders_without_settlement(orders, lines, seen),
+        "DUPLICATE_ORDER_PAIR": od.count_duplicate_orders(twins),
+        "ORDER_WITHOUT_SETTLEMENT": od.unsettled_orders(orders, lines, seen),
         "ORDER_STATUS_CONTRADICTION": od.find_status_contradictions(orders, lines, seen),
         "ORPHAN_ADJUSTMENT": ln.find_orphan_adjustments(lines),
         "ORPHAN_REFUND": ln.find_orphan_refunds(orders, lines),
@@ -42,6 +44,7 @@ def typed_findings(orders: DataFrame, lines: DataFrame, bank: DataFrame) -> dict
         "BANK_CREDIT_WITHOUT_SETTLEMENT": st.find_unclaimed_bank_credits(groups, bank),
         "SETTLEMENT_DELAY": delay.find_settlement_delays(deltas),
         "_seen": seen,
+        "_twins": twins,
         "_groups": groups,
         "_tied": tied,
         "_deltas": deltas,
@@ -64,9 +67,9 @@ def _evidence(df: DataFrame, leave: set[str]) -> Column:
     return F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
 
 
-#: code, stage, what sorts a stage's findings, the id column, (kind, column) of the owned records, the head first
+#: code, stage, what sorts a stage's findings, the id column, (kind, column) of the owned records, the head first; None where a long table has them
 _SHAPES = {
-    "DUPLICATE_ORDER_PAIR": (1, 0, "group_id", [("order", "order_ids"), ("settlement_line", "line_ids")]),
+    "DUPLICATE_ORDER_PAIR": (1, 0, "group_id", None),
     "ORDER_WITHOUT_SETTLEMENT": (1, 1, "order_id", [("order", "order_id")]),
     "ORDER_STATUS_CONTRADICTION": (1, 1, "order_id", [("order", "order_id"), ("settlement_line", "line_id")]),
     "ORPHAN_ADJUSTMENT": (2, 0, "line_id", [("settlement_line", "line_id")]),
@@ -84,14 +87,16 @@ _SHAPES = {
 _HEADS = {"group_id", "order_id", "line_id", "settlement_id", "bank_txn_id"}
 
 
-def _refs(ids: Column, kind: str, group: int) -> Column:
-    return F.transform(ids, lambda i, n: F.struct((F.lit(group * 1000) + n).cast("int").alias("seq"), F.lit(kind).alias("kind"), i.alias("id")))
-
-
 def _all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _twin_ownership(twins: DataFrame) -> DataFrame:
+    """group_id, seq, kind, id: a duplicate group's orders, its least as the head, and the lines that settle them."""
+    order = twins.select("group_id", F.when(F.col("order_id") == F.col("group_id"), 0).otherwise(1).alias("seq"), F.lit("order").alias("kind"), F.col("order_id").alias("id"))
+    return order.unionByName(twins.where("settled").select("group_id", F.lit(1).alias("seq"), F.lit("settlement_line").alias("kind"), F.col("line_id").alias("id")))
+
+
 def union_findings(typed: dict[str, DataFrame], lines: DataFrame, bank: DataFrame) -> dict[str, DataFrame]:
     """The common findings, entities and candidates tables."""
     findings, entities, candidates = [], [], []
@@ -99,23 +104,23 @@ def union_findings(typed: dict[str, DataFrame], lines: DataFrame, bank: DataFram
         df, code = typed[kind], "ORPHAN_SETTLEMENT_LINE" if kind.startswith("ORPHAN") else kind
         fid = F.concat(F.lit(f"{code}:"), F.col(key))
         sort = F.concat(F.lit(f"{place}:"), F.col(key))
-        leave = {"candidates", "line_ids", "line_id", "group_id"} | ({"order_id"} if owns and len(owns) + (kind == "ORDER_WITHOUT_SETTLEMENT") > 1 else set()) | ({"settlement_id"} if owns is None else set()) | ({"bank_txn_id"} if place == 1 and stage == 3 else set())
+        leave = {"line_id", "group_id"} | ({"order_id"} if owns and len(owns) + (kind == "ORDER_WITHOUT_SETTLEMENT") > 1 else set()) | ({"settlement_id"} if stage == 3 and place == 0 else set()) | ({"bank_txn_id"} if place == 1 and stage == 3 else set())
         findings.append(df.select(fid.alias("finding_id"), F.lit(stage).alias("stage"), sort.alias("place"), F.lit(code).alias("code"), _evidence(df, leave).alias("evidence")))
-        if owns is None:
+        if key == "group_id":
+            own = _twin_ownership(typed["_twins"]).select(fid.alias("finding_id"), "seq", "kind", "id")
+        elif owns is None:
             own = st.settlement_ownership(df, lines).select(F.concat(F.lit(f"{code}:"), "settlement_id").alias("finding_id"), F.when(F.col("kind") == "settlement", 0).otherwise(1).alias("seq"), "kind", "id")
         else:
-            refs = []
-            for seq, (what, column) in enumerate(owns):
-                ids = F.col(column) if dict(df.dtypes)[column].startswith("array") else F.array(column)
-                refs.append(_refs(ids, what, seq))
-            own = df.select(fid.alias("finding_id"), F.explode(F.concat(*refs)).alias("e")).select("finding_id", "e.seq", "e.kind", "e.id")
+            refs = F.array(*(F.struct(F.lit(seq).alias("seq"), F.lit(what).alias("kind"), F.col(column).alias("id")) for seq, (what, column) in enumerate(owns)))
+            own = df.select(fid.alias("finding_id"), F.explode(refs).alias("e")).select("finding_id", "e.seq", "e.kind", "e.id")
         entities.append(own.select("finding_id", F.lit(code).alias("code"), F.lit(stage).alias("stage"), "seq", "kind", "id"))
 
     def near(df: DataFrame, code: str, stage: int, place: int, key: str, kind: str, id_: str, reason: str) -> DataFrame:
         return df.select(F.concat(F.lit(f"{code}:"), F.col(key)).alias("finding_id"), F.lit(stage).alias("stage"), F.concat(F.lit(f"{place}:"), F.col(key)).alias("place"), "rank", F.lit(kind).alias("kind"), F.col(id_).alias("id"), F.lit(reason).alias("reason"))
 
-    dup = typed["DUPLICATE_ORDER_PAIR"].select("group_id", F.posexplode("candidates").alias("rank", "c"))
-    candidates.append(dup.select(F.concat(F.lit("DUPLICATE_ORDER_PAIR:"), "group_id").alias("finding_id"), F.lit(1).alias("stage"), F.concat(F.lit("0:"), "group_id").alias("place"), (F.col("rank") + 1).alias("rank"), "c.kind", "c.id", "c.reason"))
+    ranked = running_sum(typed["_twins"], F.lit(1), "group_id", ["order_id"], "rank")
+    reason = F.when(F.col("settled"), TWIN_SETTLED).otherwise(TWIN_UNSETTLED)
+    candidates.append(ranked.select(F.concat(F.lit("DUPLICATE_ORDER_PAIR:"), "group_id").alias("finding_id"), F.lit(1).alias("stage"), F.concat(F.lit("0:"), "group_id").alias("place"), F.col("rank").cast("int").alias("rank"), F.lit("order").alias("kind"), F.col("order_id").alias("id"), reason.alias("reason")))
     candidates.append(near(ln.refund_parent_candidates(typed["ORPHAN_REFUND"], lines), "ORPHAN_SETTLEMENT_LINE", 2, 0, "line_id", "settlement_line", "candidate_id", PARENT))
     for code in ("SETTLEMENT_ON_HOLD", "SETTLEMENT_WITHOUT_BANK_CREDIT"):
         candidates.append(near(st.nearby_bank_candidates(typed[code], bank), code, 3, 0, "settlement_id", "bank_txn", "bank_txn_id", NEAR_BANK))
@@ -176,10 +181,16 @@ def residue_entities(entities: DataFrame, cases: DataFrame, orders: DataFrame, l
 def residue_evidence(findings: DataFrame, cases: DataFrame) -> DataFrame:
     """residue_id, evidence: the first finding's value keeps its key, later ones are put under CODE.key, the last of a code wins."""
     rows = findings.join(cases, "finding_id").select("residue_id", "stage", "place", "code", F.explode("evidence").alias("key", "value"))
-    order = F.struct("stage", "place", "code")
-    nth = F.row_number().over(Window.partitionBy("residue_id", "key").orderBy("stage", "place", "code"))
-    rows = rows.select("residue_id", order.alias("at"), F.when(nth == 1, F.col("key")).otherwise(F.concat_ws(".", "code", "key")).alias("key"), "value")
-    last = rows.groupBy("residue_id", "key").agg(F.max_by("value", "at").alias("value"))
+    # by aggregates, so that a case of a million findings is no hot task; a code's last value counts unless it is the key's first
+    at = F.struct("stage", "place", "code")
+    by_code = rows.groupBy("residue_id", "key", "code").agg(F.min(at).alias("first"), F.min_by("value", at).alias("first_value"), F.max(at).alias("last"), F.max_by("value", at).alias("last_value"))
+    whole = Window.partitionBy("residue_id", "key")  # a row for each code
+    by_code = by_code.withColumn("_first", F.min("first").over(whole))
+    kept = F.array(
+        F.when(F.col("first") == F.col("_first"), F.struct("key", F.col("first_value").alias("value"))),
+        F.when(F.col("last") > F.col("_first"), F.struct(F.concat_ws(".", "code", "key").alias("key"), F.col("last_value").alias("value"))),
+    )
+    last = by_code.select("residue_id", F.explode(F.array_compact(kept)).alias("e")).select("residue_id", "e.*")
     return last.groupBy("residue_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("evidence"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.operators.joins import last_per_key, runs_by_gap
-from tallyspark.schemas import DUPLICATE_WINDOW_SECONDS, NOT_EXPECTED, TWIN_SETTLED, TWIN_UNSETTLED
+from tallyspark.schemas import DUPLICATE_WINDOW_SECONDS, NOT_EXPECTED
 
 #: Lines have no file order on Spark; this is the order in which "last" and "first" are meant.
 LINE_ORDER = ["settled_at", "settlement_id", "entity_id"]
@@ -31,32 +31,42 @@ def with_settling_line(orders: DataFrame, lines: DataFrame) -> DataFrame:
     return orders.join(paid, "order_id", "left").join(groups, "order_id", "left")
 
 
-def find_duplicate_orders(orders: DataFrame, lines: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """DUPLICATE_ORDER_PAIR, one row for each group. A group is bounded by its 90-second chain."""
+def duplicate_twins(orders: DataFrame, lines: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """The orders of all duplicate groups, one row for each: group_id, order_id, amount_paise, created_at, status, settled, line_id.
+
+    A group has no bound: a chain of 90-second steps may go on, and with dates for times all orders of one amount and day are one group.
+    """
     seen = (seen or with_settling_line(orders, lines)).where("group_id is not null")
-    twin = F.struct("order_id", F.col("line_id").isNotNull().alias("settled"), "created_at", "amount_paise", "status", "line_id")
-    g = seen.groupBy("group_id").agg(F.array_sort(F.collect_list(twin)).alias("twins"), F.first("amount_paise").alias("amount_paise"), F.count("*").alias("orders_in_group"), F.count("line_id").alias("settled_orders"))
-    reason = lambda t: F.when(t["settled"], TWIN_SETTLED).otherwise(TWIN_UNSETTLED)
-    first, last = F.get("twins", F.lit(0))["created_at"], F.element_at("twins", -1)["created_at"]
-    return g.select(
-        "group_id",
-        F.col("twins.order_id").alias("order_ids"),
-        "amount_paise",
-        F.abs(F.unix_timestamp(last) - F.unix_timestamp(first)).alias("seconds_apart"),
-        "orders_in_group",
-        "settled_orders",
-        (F.col("orders_in_group") - F.col("settled_orders")).alias("unsettled_orders"),
-        F.array_compact(F.col("twins.line_id")).alias("line_ids"),
-        F.transform("twins", lambda t: F.struct(F.lit("order").alias("kind"), t["order_id"].alias("id"), reason(t).alias("reason"))).alias("candidates"),
-    )
+    return seen.select("group_id", "order_id", "amount_paise", "created_at", "status", F.col("line_id").isNotNull().alias("settled"), "line_id")
+
+
+def count_duplicate_orders(twins: DataFrame) -> DataFrame:
+    """DUPLICATE_ORDER_PAIR, one row for each group with its counts; its orders stay in the long table. Combined before the shuffle."""
+    at = lambda best: F.unix_timestamp(best("created_at", "order_id"))
+    g = twins.groupBy("group_id").agg(F.first("amount_paise").alias("amount_paise"), F.abs(at(F.max_by) - at(F.min_by)).alias("seconds_apart"), F.count("*").alias("orders_in_group"), F.count("line_id").alias("settled_orders"))
+    return g.withColumn("unsettled_orders", F.col("orders_in_group") - F.col("settled_orders"))
+
+
+def find_duplicate_orders(orders: DataFrame, lines: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """DUPLICATE_ORDER_PAIR with all ids of a group in its row, the form that the SQL has. The reconciliation takes duplicate_twins and count_duplicate_orders."""
+    twins = duplicate_twins(orders, lines, seen)
+    ids = twins.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("order_id", "line_id"))).alias("twins"))
+    counts = count_duplicate_orders(twins)
+    return counts.join(ids, "group_id").select("group_id", F.col("twins.order_id").alias("order_ids"), *counts.columns[1:], F.array_compact(F.col("twins.line_id")).alias("line_ids"))
+
+
+def unsettled_orders(orders: DataFrame, lines: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """ORDER_WITHOUT_SETTLEMENT: paid orders that no payment line settles; those with twins name their duplicate group."""
+    seen = (seen or with_settling_line(orders, lines)).where("status = 'paid' and line_id is null")
+    return seen.select("order_id", F.col("status").alias("order_status"), "amount_paise", "created_at", F.col("group_id").alias("duplicate_group"))
 
 
 def find_orders_without_settlement(orders: DataFrame, lines: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """ORDER_WITHOUT_SETTLEMENT: paid orders that no payment line settles; those with twins name them in duplicate_of."""
+    """unsettled_orders with all ids of the twins in duplicate_of, the form that the SQL has; its size is the square of a group's. The reconciliation takes unsettled_orders."""
     seen = seen or with_settling_line(orders, lines)
-    twins = seen.where("group_id is not null").groupBy("group_id").agg(F.sort_array(F.collect_list("order_id")).alias("ids"))
-    open_ = seen.where("status = 'paid' and line_id is null").join(twins, "group_id", "left")
-    return open_.select("order_id", F.col("status").alias("order_status"), "amount_paise", "created_at", F.array_join(F.array_except("ids", F.array("order_id")), ",").alias("duplicate_of"))
+    twins = duplicate_twins(orders, lines, seen).groupBy(F.col("group_id").alias("duplicate_group")).agg(F.sort_array(F.collect_list("order_id")).alias("ids"))
+    open_ = unsettled_orders(orders, lines, seen).join(twins, "duplicate_group", "left")
+    return open_.select("order_id", "order_status", "amount_paise", "created_at", F.array_join(F.array_except("ids", F.array("order_id")), ",").alias("duplicate_of"))
 
 
 def find_status_contradictions(orders: DataFrame, lines: DataFrame, seen: DataFrame | None = None) -> DataFrame:

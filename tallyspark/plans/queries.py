@@ -197,7 +197,7 @@ def _(s, d):
   CAST(abs(epoch(max_by(created, order_id)) - epoch(min_by(created, order_id))) AS BIGINT) AS seconds_apart, count(*) AS orders_in_group, count(line_id) AS settled_orders, count(*) - count(line_id) AS unsettled_orders,
   coalesce(string_agg(line_id, ',' ORDER BY order_id), '') AS line_ids FROM seen WHERE group_id IS NOT NULL GROUP BY group_id""")
 def _(s, d):
-    return od.find_duplicate_orders(*ledger(s, d)[:2]).drop("candidates")
+    return od.find_duplicate_orders(*ledger(s, d)[:2])
 
 
 @query("c4_orders_without_settlement", f"""SELECT order_id, status AS order_status, amount AS amount_paise, {at('created', 'created_at')},

@@ -11,7 +11,8 @@ from tallyspark.sources.shared import stored
 
 
 def reconcile(orders: DataFrame, lines: DataFrame, bank: DataFrame, ids: str = "sha", strict: bool = False) -> dict[str, DataFrame]:
-    """matched, residue, residue_entities, residue_candidates, excluded, reconciled, findings, histogram, metrics, audit.
+    """matched, residue, residue_entities, residue_candidates, excluded, reconciled, findings, histogram, metrics, audit, and
+    duplicate_twins, the orders of the groups that evidence names as duplicate_group.
 
     The inputs are read many times: each is written to the shared folder once.
     """
@@ -34,6 +35,7 @@ def reconcile(orders: DataFrame, lines: DataFrame, bank: DataFrame, ids: str = "
         "reconciled": good,
         "findings": tables["findings"].join(cases, "finding_id"),
         "finding_entities": tables["entities"].join(cases, "finding_id"),
+        "duplicate_twins": typed["_twins"],
         "histogram": delay.day_delta_histogram(typed["_deltas"]),
         "metrics": a.match_metrics(orders, lines, bank, typed["_groups"], matched, values, excluded),
         "audit": a.partition_audit(orders, lines, bank, matched, good, entities, excluded, strict),

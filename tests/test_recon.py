@@ -19,7 +19,7 @@ from tallyspark.operators import settlements as st
 from tallyspark.operators import verify as vf
 from tallyspark.operators.components import connected_components
 from tallyspark.plans.reconcile import reconcile
-from tallyspark.schemas import BANK_COLUMNS, LINE_COLUMNS, ORDER_COLUMNS, RECORD
+from tallyspark.schemas import BANK_COLUMNS, LINE_COLUMNS, ORDER_COLUMNS, RECORD, TWIN_UNSETTLED
 from tallyspark.sources import files
 
 T0 = datetime(2025, 5, 1, 12, 0, 0)
@@ -264,6 +264,20 @@ def test_evidence_merge(spark):
     assert a.residue_evidence(findings, cases).first().evidence == {"x": "1", "y": "2", "B.x": "4", "z": "5"}
 
 
+def test_evidence_and_candidates_of_a_large_duplicate_group(spark, tables):
+    o, li, b = tables
+    day = datetime(2025, 5, 2)
+    many = [f"order_m{k:03d}" for k in range(300)]
+    r = reconcile(o.unionByName(spark.createDataFrame([(k, 4321, "INR", day, "paid") for k in many], o.schema)), li, b)
+    case = r["residue_entities"].where("id = 'order_m007'").first().residue_id
+    evidence = r["residue"].where(F.col("residue_id") == case).first()
+    assert evidence.n_findings == 301 and evidence.n_entities == 300 and max(map(len, evidence.evidence.values())) < 100
+    assert evidence.evidence["duplicate_group"] == "order_m000" and evidence.evidence["orders_in_group"] == "300"
+    near = r["residue_candidates"].where(F.col("residue_id") == case).orderBy("first").collect()
+    assert [x.id for x in near] == many and {x.reason for x in near} == {TWIN_UNSETTLED}
+    assert ids(r["duplicate_twins"].where("group_id = 'order_m000'"), "order_id") == many
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
