@@ -7,13 +7,15 @@ Findings are three long tables, so that a batch that owns a million lines is a m
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.cells import entity_key
-from tallyspark.functions.cells import residue_id as fnv_residue_id
 from tallyspark.operators import delay, lines as ln, orders as od, settlements as st
 from tallyspark.operators.components import connected_components
 from tallyspark.operators.joins import running_sum
@@ -143,11 +145,73 @@ def matched_lines(lines: DataFrame, owned: DataFrame, reconciled: DataFrame) ->
     return free.select("order_id", payment.alias("payment_id"), F.col("entity_id").alias("line_id"), F.col("type").alias("line_type"), "settlement_id", "bank_txn_id", F.col("expected_net_paise").alias("net_paise"), "amount_paise", F.lit(True).alias("verified"))
 
 
+_FNV_BASE, _FNV_PRIME, _WORD = 2166136261, 16777619, 1 << 32
+#: The state that a separator turns into the hash's beginning, so that every key can be taken with a separator before it.
+_BEFORE = (_FNV_BASE * pow(_FNV_PRIME, -1, _WORD) % _WORD) ^ ord("|")
+
+
+def short_ids(keys: DataFrame, by: str) -> DataFrame:
+    """by, short_id: the 32-bit FNV-1a hash over the distinct keys of each ``by``, sorted and joined by bars; no key list is gathered.
+
+    Range partitions keep the order. How a stretch of text changes the hash depends on the 256 values of its low byte
+    alone: (h + 256 k) goes to f(h) + 256 k times the prime to the stretch's length. So of a case that goes on from an earlier
+    partition a task gives that function, and only functions, one for each partition, meet in a case's row.
+    """
+    rows = stored(keys.select(F.col(by).alias("by"), "key").where("key is not null").distinct())
+    rows = rows.repartitionByRange("by", "key").sortWithinPartitions("by", "key").withColumn("part", F.spark_partition_id())
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, now, part, opened, h, seq, first, length = [], None, 0, False, _BEFORE, 0, 0, 0
+        table = np.arange(256, dtype=np.uint32)
+
+        def piece() -> tuple:
+            return (now, part, seq, first, pow(_FNV_PRIME, length, _WORD), table.astype(np.int64), None) if not opened else (now, part, seq, 0, 1, None, h)
+
+        for batch in batches:
+            for case, key, part in zip(batch["by"], batch["key"], batch["part"].tolist()):
+                if case != now:
+                    if now is not None:
+                        out.append(piece())
+                        opened, h, seq = True, _BEFORE, 0
+                    now = case
+                codes = [124, *map(ord, key)]
+                if opened:
+                    for x in codes:
+                        h = (h ^ x) * _FNV_PRIME % _WORD
+                    continue
+                for x in codes:
+                    if x > 255:  # reaches beyond the low byte: it is put in before the next stretch
+                        out.append(piece())
+                        table, seq, first, length, x = np.arange(256, dtype=np.uint32), seq + 1, x, 0, 0
+                    table = (table ^ np.uint32(x)) * np.uint32(_FNV_PRIME)
+                    length += 1
+            if len(out) >= 1000:
+                yield pd.DataFrame(out, columns=_PIECE)
+                out = []
+        if now is not None:
+            out.append(piece())
+        yield pd.DataFrame(out, columns=_PIECE)
+
+    pieces = rows.mapInPandas(each, "by string, part int, seq int, first long, power long, low array<long>, h long")
+
+    def onward(h: Column, p: Column) -> Column:
+        h = h.bitwiseXOR(p["first"])
+        high = F.shiftright(h, 8) * p["power"] % _WORD * 256
+        return F.when(p["h"].isNotNull(), p["h"]).otherwise((high + F.get(p["low"], h.bitwiseAND(F.lit(255)).cast("int"))) % _WORD)
+
+    whole = pieces.groupBy("by").agg(F.sort_array(F.collect_list(F.struct("part", "seq", "first", "power", "low", "h"))).alias("pieces"))
+    number = F.aggregate("pieces", F.lit(_BEFORE).cast("bigint"), onward)
+    return whole.select(F.col("by").alias(by), F.concat(F.lit("res_"), F.lower(F.lpad(F.hex(number), 8, "0"))).alias("short_id"))
+
+
+_PIECE = ["by", "part", "seq", "first", "power", "low", "h"]
+
+
 def case_of_finding(entities: DataFrame, ids: str = "sha") -> DataFrame:
     """finding_id, residue_id: findings that share a record are one case.
 
-    A case is named by a hash of its least record key, or with ids="fnv" by the short hash of all of its keys, which
-    gathers a case's keys and is an error if two cases collide.
+    A case is named by a hash of its least record key, or with ids="fnv" by the short hash of all of its keys;
+    it is an error if two of those collide.
     """
     keyed = entities.select("finding_id", "seq", entity_key("kind", "id").alias("key"))
     heads = keyed.groupBy("finding_id").agg(F.min_by("key", F.struct("seq", "key")).alias("head"))
@@ -156,7 +220,7 @@ def case_of_finding(entities: DataFrame, ids: str = "sha") -> DataFrame:
     named = stored(heads.join(labels, heads["head"] == labels["node"], "left").select("finding_id", F.coalesce("component", "head").alias("component")))
     if ids == "sha":
         return named.select("finding_id", F.concat(F.lit("res_"), F.substring(F.sha2("component", 256), 1, 16)).alias("residue_id"))
-    keys = keyed.join(named, "finding_id").groupBy("component").agg(F.collect_set("key").alias("keys")).select("component", fnv_residue_id("keys").alias("residue_id"))
+    keys = short_ids(keyed.join(named, "finding_id").select("component", "key"), "component").withColumnRenamed("short_id", "residue_id")
     twice = keys.groupBy("residue_id").agg(F.count("*").alias("n")).where("n > 1")
     if not twice.isEmpty():
         raise ValueError("two cases have the same short id; use ids='sha'")

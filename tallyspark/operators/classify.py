@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.operators.joins import running_sum
 from tallyspark.schemas import (
     ACTION_CHARGEBACK,
     ACTION_DUPLICATE,
@@ -127,15 +128,48 @@ def validate_classification(records: DataFrame) -> DataFrame:
     return records.withColumn("errors", F.array_compact(F.array(*(F.when(bad, F.lit(text)) for bad, text in checks))))
 
 
-def case_brief(residue: DataFrame, entities: DataFrame, candidates: DataFrame) -> DataFrame:
-    """residue_id, brief: findings, evidence, records by kind and near misses of each case as text. Cases are gathered; meant for cases of a size that a reader can take in."""
-    record = F.concat(F.lit("  - "), "kind", F.lit(" "), "id", F.lit(": "), F.regexp_replace("normalized", r'"[a-z_]+_ms":[^,}]+,?', ""))
-    rows = entities.groupBy("residue_id").agg(F.array_join(F.array_sort(F.collect_list(record)), "\n").alias("records"))
-    near = candidates.groupBy("residue_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", F.concat(F.lit("  - "), "kind", F.lit(" "), "id", F.lit(": "), "reason").alias("t")))), lambda x: x["t"]), "\n").alias("near"))
+def case_lines(residue: DataFrame, entities: DataFrame, candidates: DataFrame) -> DataFrame:
+    """residue_id, section, place, text: findings, evidence, records by kind and near misses of each case, a row for each line. Sorted by section and place they read as a text."""
+    line = lambda df, section, place, text: df.select("residue_id", F.lit(section).alias("section"), place.alias("place"), text.alias("text"))
+    codes = residue.select("residue_id", F.explode("finding_types").alias("code"))
+    facts = residue.select("residue_id", F.explode("evidence").alias("key", "value"))
+    record = F.concat("kind", F.lit(" "), "id", F.lit(": "), F.regexp_replace("normalized", r'"[a-z_]+_ms":[^,}]+,?', ""))
+    first = F.col("first")
+    at = F.concat_ws(":", first["stage"], first["place"], F.lpad(first["rank"].cast("string"), 10, "0"), "kind", "id")
+    out = line(codes, "1 FINDINGS", F.col("code"), F.col("code"))
+    out = out.unionByName(line(facts, "2 EVIDENCE", F.col("key"), F.concat("key", F.lit(" = "), "value")))
+    out = out.unionByName(line(entities, "3 RECORDS", F.concat_ws(":", "kind", "id"), record))
+    return out.unionByName(line(candidates, "4 NEAR MISSES", at, F.concat("kind", F.lit(" "), "id", F.lit(": "), "reason")))
+
+
+def case_pages(residue: DataFrame, entities: DataFrame, candidates: DataFrame, rows: int = 200) -> DataFrame:
+    """residue_id, page (from 1), text: all records and near misses of each case, so many to a page. Rows are numbered over range partitions, so a large case is many rows and tasks."""
+    lines = case_lines(residue, entities, candidates).where("section >= '3'")
+    at = running_sum(lines, F.lit(1), "residue_id", ["section", "place", "text"], "n").withColumn("page", F.ceil(F.col("n") / rows).cast("bigint"))
+    line = F.concat(F.when(F.col("section") < "4", "  - ").otherwise("  ~ "), "text")
+    return at.groupBy("residue_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+
+
+def case_brief(residue: DataFrame, entities: DataFrame, candidates: DataFrame, rows: int = 200) -> DataFrame:
+    """residue_id, brief: findings, evidence, and number and amount of records and near misses by kind of each case as text.
+
+    A case that fits on one page of case_pages has it at the end (records -, near misses ~); of a larger one the brief gives the
+    number of pages, and case_pages has them all. So no row grows with its case.
+    """
+    def totals(df: DataFrame, amount: Column, name: str) -> DataFrame:
+        kinds = df.groupBy("residue_id", "kind").agg(F.count("*").alias("n"), F.sum(amount).alias("paise"))
+        text = F.concat(F.lit("  "), "kind", F.lit(": "), F.col("n").cast("string"), F.coalesce(F.concat(F.lit(", "), F.col("paise").cast("string"), F.lit(" paise")), F.lit("")))
+        return kinds.groupBy("residue_id").agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias(name))
+
+    pages = case_pages(residue, entities, candidates, rows)
+    ends = pages.groupBy("residue_id").agg(F.max("page").alias("pages"), F.max(F.when(F.col("page") == 1, F.col("text"))).alias("page"))
+    ends = ends.select("residue_id", F.when(F.col("pages") == 1, F.col("page")).otherwise(F.concat(F.lit("  "), F.col("pages").cast("string"), F.lit(" pages"))).alias("page"))
     facts = F.array_join(F.transform(F.array_sort(F.map_entries("evidence")), lambda e: F.concat(F.lit("  "), e["key"], F.lit(" = "), e["value"])), "\n")
-    both = residue.join(rows, "residue_id", "left").join(near, "residue_id", "left")
+    both = residue.join(totals(entities, F.col("amount_paise"), "records"), "residue_id", "left").join(totals(candidates, F.lit(None).cast("bigint"), "near"), "residue_id", "left").join(ends, "residue_id", "left")
     none = F.lit("  (none)")
-    return both.select("residue_id", F.concat_ws("\n", F.concat(F.lit("CASE "), "residue_id"), F.lit("FINDINGS"), F.concat(F.lit("  "), F.array_join("finding_types", ", ")), F.lit("EVIDENCE"), facts, F.lit("RECORDS"), F.coalesce("records", none), F.lit("NEAR MISSES"), F.coalesce("near", none)).alias("brief"))
+    parts = [F.concat(F.lit("CASE "), "residue_id"), F.lit("FINDINGS"), F.concat(F.lit("  "), F.array_join("finding_types", ", ")), F.lit("EVIDENCE"), facts]
+    parts += [F.lit("RECORDS"), F.coalesce("records", none), F.lit("NEAR MISSES"), F.coalesce("near", none), F.lit("PAGES"), F.coalesce("page", none)]
+    return both.select("residue_id", F.concat_ws("\n", *parts).alias("brief"))
 
 
 def _problems(answer: object) -> list[str]:

@@ -409,7 +409,7 @@ def _(s, d):
   SELECT residue_id, 'res_' || lpad(lower(to_hex(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(t, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda h, x: (xor(h, x) * 16777619) % 4294967296))), 8, '0') AS short_id FROM ks""")
 def _(s, d):
     keys = result(s, d)["residue_entities"].select("residue_id", c.entity_key("kind", "id").alias("key"))
-    return keys.groupBy("residue_id").agg(F.collect_set("key").alias("keys")).select("residue_id", c.residue_id("keys").alias("short_id"))
+    return a.short_ids(keys, "residue_id")
 
 
 @query("g10_residue_value", "SELECT residue_id, value_paise FROM val")
@@ -490,7 +490,7 @@ def _(s, d):
 @query("h5_case_brief")
 def _(s, d):
     r = result(s, d)
-    return cl.case_brief(r["residue"], r["residue_entities"], r["residue_candidates"])
+    return cl.case_lines(r["residue"], r["residue_entities"], r["residue_candidates"])
 
 
 @query("h6_classify_with", "SELECT residue_id, 'ok' AS status, CASE WHEN bool_or(code = 'SETTLEMENT_ON_HOLD') THEN 'ON_HOLD' ELSE 'INSUFFICIENT_EVIDENCE' END AS predicted_cause FROM cases GROUP BY residue_id")

@@ -257,6 +257,31 @@ def test_short_ids(tables):
     assert keys and all(k == "res_" + fnv("|".join(sorted(v))) for k, v in keys.items())
 
 
+def test_short_ids_of_cases_over_several_partitions(spark):
+    cases = {"a": [f"order:{k}" for k in range(900)], "b": ["order:x"], "c": [f"line:\u20ac{k}\u00e9" for k in range(700)], "d": ["order:y", "order:z"]}
+    keys = spark.createDataFrame([(k, x) for k, v in cases.items() for x in v + v[:2]], "residue_id string, key string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.residue_id: r.short_id for r in a.short_ids(keys, "residue_id").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    plain = lambda keys: one(spark, c.fnv1a32, "|".join(sorted(keys)))
+    assert got == {k: "res_" + plain(v) for k, v in cases.items()}
+
+
+def test_brief_of_a_large_case_is_paged(spark):
+    residue = spark.createDataFrame([("r", ["A"], {"x": "1"}), ("s", ["A"], {"x": "2"})], "residue_id string, finding_types array<string>, evidence map<string,string>")
+    own = [("r", "order", f"o{k:03d}", 5, "{}") for k in range(450)] + [("s", "order", "o", 7, "{}")]
+    entities = spark.createDataFrame(own, "residue_id string, kind string, id string, amount_paise long, normalized string")
+    near = spark.createDataFrame([("r", "order", "n", "why", (1, "0:a", 1))], "residue_id string, kind string, id string, reason string, first struct<stage:int,place:string,rank:int>")
+    brief = {r.residue_id: r.brief for r in cl.case_brief(residue, entities, near).collect()}
+    assert "order: 450, 2250 paise" in brief["r"] and "3 pages" in brief["r"] and len(brief["r"]) < 200 and "  - order o: {}" in brief["s"]
+    pages = cl.case_pages(residue, entities, near).where("residue_id = 'r'").orderBy("page").collect()
+    lines = [x for p in pages for x in p.text.split("\n")]
+    assert [p.page for p in pages] == [1, 2, 3] and lines == [f"  - order o{k:03d}: {{}}" for k in range(450)] + ["  ~ order n: why"]
+    assert cl.case_lines(residue, entities, near).count() == 2 + 2 + 451 + 1
+
+
 def test_evidence_merge(spark):
     rows = [("f1", 1, "0:a", "A", {"x": "1", "y": "2"}), ("f2", 2, "0:b", "B", {"x": "3"}), ("f3", 2, "0:c", "B", {"x": "4", "z": "5"})]
     findings = spark.createDataFrame(rows, "finding_id string, stage int, place string, code string, evidence map<string,string>")
