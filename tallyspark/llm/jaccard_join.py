@@ -294,22 +294,22 @@ def _sets_of(batches: Iterator[pd.DataFrame], tokens: int = 2_000_000) -> Iterat
 
 
 def document_sets(docs: DataFrame, heavy_share: int = 400) -> DataFrame:
-    """doc_id, n_shingles, sig (null without shingles); beside them, with a null doc_id, shingles that many documents of a
+    """doc_id, n_shingles, sig (null without shingles), text_hash; beside them, with a null doc_id, shingles that many documents of a
     batch have (sig: the shingle, n_shingles: in how many)."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch["text"]]
             sigs = [signature(s) if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "sig": pd.array(sigs, "Int64"), "many": False})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "sig": pd.array(sigs, "Int64"), "many": False, "text_hash": batch["text_hash"]})
             distinct = dict(zip(sigs, sets))
             distinct.pop(None, None)
             if len(distinct) > 1:
                 h, n = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
                 often = n >= max(2, len(distinct) / heavy_share)
-                yield pd.DataFrame({"doc_id": pd.array([None] * int(often.sum()), "Int64"), "n_shingles": n[often], "sig": pd.array(h[often].view(np.int64), "Int64"), "many": True})
+                yield pd.DataFrame({"doc_id": pd.array([None] * int(often.sum()), "Int64"), "n_shingles": n[often], "sig": pd.array(h[often].view(np.int64), "Int64"), "many": True, "text_hash": 0})
 
-    return docs.mapInPandas(each, "doc_id long, n_shingles long, sig long, many boolean")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInPandas(each, "doc_id long, n_shingles long, sig long, many boolean, text_hash long")
 
 
 def links(docs: DataFrame, documents: DataFrame, heavy: dict[int, int], bits: int = 26, rounds: int = 2) -> DataFrame:
@@ -403,6 +403,11 @@ def links(docs: DataFrame, documents: DataFrame, heavy: dict[int, int], bits: in
 
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
+    return _joined(docs).drop("text_hash")
+
+
+def _joined(docs: DataFrame) -> DataFrame:
+    """join_documents, and the text_hash that tells rows with equal doc_id apart."""
     docs = common.texts_of(docs)
     known = common.stored(document_sets(docs))
     documents = known.where("not many").drop("many")
@@ -418,14 +423,14 @@ def join_documents(docs: DataFrame) -> DataFrame:
     least = grouped.join(least, "component").select("sig", "least")
     classes = common.stored(owners.join(least, "sig", "left").select("sig", F.coalesce("least", "owner").alias("class")))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
-    return documents.join(classes, "sig", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    return documents.join(classes, "sig", "left").select("doc_id", "n_shingles", own.alias("component_id"), "text_hash")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each component the one with the least doc_id, and of rows with equal doc_id each. Columns as they were."""
-    classes = join_documents(docs).where("doc_id != component_id").select(F.col("doc_id").alias("dropped")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own"))
-    return rows.join(classes, F.col("own") == F.col("dropped"), "left_anti").select("row.*")
+    """The documents that stay: of each component the one with the least doc_id, and of rows with equal doc_id each. A row goes by its doc_id and text, so that another text under its doc_id stays. Columns as they were."""
+    gone = _joined(docs).where("doc_id != component_id").select(F.col("doc_id").alias("dropped"), "text_hash").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("own_hash"))
+    return rows.join(gone, (F.col("own") == F.col("dropped")) & (F.col("own_hash") == F.col("text_hash")), "left_anti").select("row.*")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

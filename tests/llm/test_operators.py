@@ -196,6 +196,12 @@ def test_jaccard_join_odd(spark):
     assert kept.columns == odd(spark).columns and kept.count() == 10
 
 
+def test_keep_one_tells_rows_of_one_doc_id_apart(spark):
+    first, other = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, first), (5, first + " end"), (5, other), (5, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in jaccard_join.keep_one(docs).collect()} == {(1, first), (5, other), (5, None)}
+
+
 def test_divide_skip_finds_all():
     rng = np.random.default_rng(4)
     for _ in range(100):
