@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over line hashes, in DataFrame functions only.
+"""Line dedup by hashes of windows of lines, in DataFrame functions only.
 
 Lines are compared with white space at their ends removed; lines without words are neither compared nor deleted. A window
 is a run of consecutive such lines that just reaches ``words`` words, grown forward from a line or backward to one. Its
