@@ -2,7 +2,7 @@
 
 Findings are three long tables, so that a batch that owns a million lines is a million rows and no giant array:
 ``findings`` (finding_id, stage, place, code, evidence), ``entities`` (finding_id, code, stage, seq, kind, id; seq 0 is the head) and
-``candidates`` (finding_id, stage, place, rank, kind, id, reason).
+``candidates`` (finding_id, stage, place, rank, kind, id, reason, evidence).
 """
 
 from __future__ import annotations
@@ -99,9 +99,13 @@ def _twin_ownership(twins: DataFrame) -> DataFrame:
     return order.unionByName(twins.where("settled").select("group_id", F.lit(1).alias("seq"), F.lit("settlement_line").alias("kind"), F.col("line_id").alias("id")))
 
 
-def union_findings(typed: dict[str, DataFrame], lines: DataFrame, bank: DataFrame) -> dict[str, DataFrame]:
+def union_findings(typed: dict[str, DataFrame], orders: DataFrame, lines: DataFrame, bank: DataFrame) -> dict[str, DataFrame]:
     """The common findings, entities and candidates tables."""
     findings, entities, candidates = [], [], []
+    # what failed batches own, in one pass over the lines; a batch fails in one way
+    failed = _all([typed[k].select("settlement_id", F.lit(k).alias("code"), F.col("bank_txn_id") if "bank_txn_id" in typed[k].columns else F.lit(None).cast("string").alias("bank_txn_id")) for k, v in _SHAPES.items() if v[2] == "settlement_id"])
+    owned = st.settlement_ownership(failed, lines, orders).join(failed.select("settlement_id", "code"), "settlement_id")
+    entities.append(owned.select(F.concat("code", F.lit(":"), "settlement_id").alias("finding_id"), "code", F.lit(3).alias("stage"), F.when(F.col("kind") == "settlement", 0).otherwise(1).alias("seq"), "kind", "id"))
     for kind, (stage, place, key, owns) in _SHAPES.items():
         df, code = typed[kind], "ORPHAN_SETTLEMENT_LINE" if kind.startswith("ORPHAN") else kind
         fid = F.concat(F.lit(f"{code}:"), F.col(key))
@@ -111,23 +115,25 @@ def union_findings(typed: dict[str, DataFrame], lines: DataFrame, bank: DataFram
         if key == "group_id":
             own = _twin_ownership(typed["_twins"]).select(fid.alias("finding_id"), "seq", "kind", "id")
         elif owns is None:
-            own = st.settlement_ownership(df, lines).select(F.concat(F.lit(f"{code}:"), "settlement_id").alias("finding_id"), F.when(F.col("kind") == "settlement", 0).otherwise(1).alias("seq"), "kind", "id")
+            continue
         else:
             refs = F.array(*(F.struct(F.lit(seq).alias("seq"), F.lit(what).alias("kind"), F.col(column).alias("id")) for seq, (what, column) in enumerate(owns)))
             own = df.select(fid.alias("finding_id"), F.explode(refs).alias("e")).select("finding_id", "e.seq", "e.kind", "e.id")
         entities.append(own.select("finding_id", F.lit(code).alias("code"), F.lit(stage).alias("stage"), "seq", "kind", "id"))
 
-    def near(df: DataFrame, code: str, stage: int, place: int, key: str, kind: str, id_: str, reason: str) -> DataFrame:
-        return df.select(F.concat(F.lit(f"{code}:"), F.col(key)).alias("finding_id"), F.lit(stage).alias("stage"), F.concat(F.lit(f"{place}:"), F.col(key)).alias("place"), "rank", F.lit(kind).alias("kind"), F.col(id_).alias("id"), F.lit(reason).alias("reason"))
+    def near(df: DataFrame, code: str, stage: int, place: int, key: str, kind: str, id_: str, reason: str, *shown: str) -> DataFrame:
+        pairs = [x for k in shown for x in (F.lit(k), F.coalesce(_text(df, k), F.lit("")))]
+        return df.select(F.concat(F.lit(f"{code}:"), F.col(key)).alias("finding_id"), F.lit(stage).alias("stage"), F.concat(F.lit(f"{place}:"), F.col(key)).alias("place"), "rank", F.lit(kind).alias("kind"), F.col(id_).alias("id"), F.lit(reason).alias("reason"), F.create_map(*pairs).alias("evidence"))
 
     ranked = running_sum(typed["_twins"], F.lit(1), "group_id", ["order_id"], "rank")
     reason = F.when(F.col("settled"), TWIN_SETTLED).otherwise(TWIN_UNSETTLED)
-    candidates.append(ranked.select(F.concat(F.lit("DUPLICATE_ORDER_PAIR:"), "group_id").alias("finding_id"), F.lit(1).alias("stage"), F.concat(F.lit("0:"), "group_id").alias("place"), F.col("rank").cast("int").alias("rank"), F.lit("order").alias("kind"), F.col("order_id").alias("id"), reason.alias("reason")))
-    candidates.append(near(ln.refund_parent_candidates(typed["ORPHAN_REFUND"], lines), "ORPHAN_SETTLEMENT_LINE", 2, 0, "line_id", "settlement_line", "candidate_id", PARENT))
+    shown = F.create_map(*(x for k in ("created_at", "amount_paise", "status") for x in (F.lit(k), F.coalesce(_text(ranked, k), F.lit("")))))
+    candidates.append(ranked.select(F.concat(F.lit("DUPLICATE_ORDER_PAIR:"), "group_id").alias("finding_id"), F.lit(1).alias("stage"), F.concat(F.lit("0:"), "group_id").alias("place"), F.col("rank").cast("int").alias("rank"), F.lit("order").alias("kind"), F.col("order_id").alias("id"), reason.alias("reason"), shown.alias("evidence")))
+    candidates.append(near(ln.refund_parent_candidates(typed["ORPHAN_REFUND"], lines), "ORPHAN_SETTLEMENT_LINE", 2, 0, "line_id", "settlement_line", "candidate_id", PARENT, "amount_paise", "settlement_id", "settled_at", "order_id"))
     for code in ("SETTLEMENT_ON_HOLD", "SETTLEMENT_WITHOUT_BANK_CREDIT"):
-        candidates.append(near(st.nearby_bank_candidates(typed[code], bank), code, 3, 0, "settlement_id", "bank_txn", "bank_txn_id", NEAR_BANK))
+        candidates.append(near(st.nearby_bank_candidates(typed[code], bank), code, 3, 0, "settlement_id", "bank_txn", "bank_txn_id", NEAR_BANK, "credit_paise", "delta_paise", "utr", "value_date"))
     ghost = typed["BANK_CREDIT_WITHOUT_SETTLEMENT"]
-    candidates.append(near(st.nearby_settlement_candidates(ghost, typed["_groups"]), "BANK_CREDIT_WITHOUT_SETTLEMENT", 3, 1, "bank_txn_id", "settlement", "settlement_id", NEAR_BATCH))
+    candidates.append(near(st.nearby_settlement_candidates(ghost, typed["_groups"]), "BANK_CREDIT_WITHOUT_SETTLEMENT", 3, 1, "bank_txn_id", "settlement", "settlement_id", NEAR_BATCH, "expected_net_paise", "delta_paise", "utr", "settled_at"))
     return {"findings": _all(findings), "entities": _all(entities), "candidates": _all(candidates)}
 
 
@@ -213,11 +219,14 @@ def case_of_finding(entities: DataFrame, ids: str = "sha") -> DataFrame:
     A case is named by a hash of its least record key, or with ids="fnv" by the short hash of all of its keys;
     it is an error if two of those collide.
     """
-    keyed = entities.select("finding_id", "seq", entity_key("kind", "id").alias("key"))
-    heads = keyed.groupBy("finding_id").agg(F.min_by("key", F.struct("seq", "key")).alias("head"))
-    edges = keyed.join(heads, "finding_id").select(F.col("head").alias("src"), F.col("key").alias("dst"))
-    labels = connected_components(edges)
-    named = stored(heads.join(labels, heads["head"] == labels["node"], "left").select("finding_id", F.coalesce("component", "head").alias("component")))
+    keyed = stored(entities.select("finding_id", "seq", entity_key("kind", "id").alias("key")))
+    heads = keyed.groupBy("finding_id").agg(F.min_by("key", F.struct("seq", "key")).alias("head"), F.min("key").alias("least"))
+    edges = keyed.join(heads.select("finding_id", "head"), "finding_id").select(F.col("head").alias("src"), F.col("key").alias("dst")).distinct()
+    # a record that hangs on one head only joins nothing: the rounds see just those that several findings share
+    shared = edges.groupBy("dst").agg(F.min("src").alias("a"), F.max("src").alias("b")).where("a != b").select("dst")
+    labels = connected_components(edges.join(shared, "dst", "left_semi"))
+    grouped = stored(heads.join(labels, heads["head"] == labels["node"], "left").select("finding_id", "least", F.coalesce("component", "head").alias("component")))
+    named = grouped.join(grouped.groupBy("component").agg(F.min("least").alias("name")), "component").select("finding_id", F.col("name").alias("component"))
     if ids == "sha":
         return named.select("finding_id", F.concat(F.lit("res_"), F.substring(F.sha2("component", 256), 1, 16)).alias("residue_id"))
     keys = short_ids(keyed.join(named, "finding_id").select("component", "key"), "component").withColumnRenamed("short_id", "residue_id")
@@ -227,8 +236,11 @@ def case_of_finding(entities: DataFrame, ids: str = "sha") -> DataFrame:
     return named.join(keys, "component").select("finding_id", "residue_id")
 
 
-def residue_entities(entities: DataFrame, cases: DataFrame, orders: DataFrame, lines: DataFrame, bank: DataFrame, groups: DataFrame) -> DataFrame:
-    """residue_id, kind, id, amount_paise, normalized and raw (both JSON): a case's records; a record that no input has is an error."""
+def residue_entities(entities: DataFrame, cases: DataFrame, orders: DataFrame, lines: DataFrame, bank: DataFrame, groups: DataFrame, strict: bool = False) -> DataFrame:
+    """residue_id, kind, id, amount_paise, normalized and raw (both JSON): a case's records.
+
+    A record that no input has is an error if strict; else its values are null, and partition_audit reports it.
+    """
     own = entities.join(cases, "finding_id").select("residue_id", "kind", "id").distinct()
 
     def shape(df: DataFrame, kind: str, key: str, amount: str) -> DataFrame:
@@ -238,6 +250,8 @@ def residue_entities(entities: DataFrame, cases: DataFrame, orders: DataFrame, l
 
     known = _all([shape(orders, "order", "order_id", "amount_paise"), shape(lines, "settlement_line", "entity_id", "amount_paise"), shape(bank, "bank_txn", "bank_txn_id", "credit_paise"), shape(groups, "settlement", "settlement_id", "expected_net_paise")])
     found = own.join(known, ["kind", "id"], "left")
+    if not strict:
+        return found.select("residue_id", "kind", "id", "amount_paise", "normalized", "raw")
     sure = F.when(F.col("normalized").isNull(), F.raise_error(F.concat(F.lit("residue references unknown "), "kind", F.lit(" "), "id")).cast("string")).otherwise(F.col("normalized"))
     return found.select("residue_id", "kind", "id", "amount_paise", sure.alias("normalized"), "raw")
 
@@ -259,9 +273,10 @@ def residue_evidence(findings: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def residue_candidates(candidates: DataFrame, cases: DataFrame) -> DataFrame:
-    """residue_id, kind, id, reason, each once, with the place of its first mention."""
+    """residue_id, kind, id, reason, each once, with the place of its first mention and what was shown there (evidence)."""
     rows = candidates.join(cases, "finding_id")
-    return rows.groupBy("residue_id", "kind", "id", "reason").agg(F.min(F.struct("stage", "place", "rank")).alias("first"))
+    at = F.struct("stage", "place", "rank")
+    return rows.groupBy("residue_id", "kind", "id", "reason").agg(F.min(at).alias("first"), F.min_by("evidence", at).alias("evidence"))
 
 
 def residue_findings(findings: DataFrame, entities: DataFrame, cases: DataFrame) -> DataFrame:

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from tallyspark.sources.shared import stored
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(src, dst) -> (node, component): the least node reachable. Nodes without edges aren't listed.
 
     Each round gives every node the least label among its neighbours (summed up before the shuffle, so a hub
     costs no more than its edges) and then follows labels one step on, which halves the length of chains. Every round is
-    written to the shared folder.
+    written to the shared folder. Labels only fall, so the rounds end; an edge whose ends have the same label
+    stays, as its label may still fall.
     """
     both = edges.select("src", "dst").where("src is not null and dst is not null and src != dst")
     both = stored(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = stored(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
-    for _ in range(most_rounds):
+    while True:
         told = both.join(labels, both["src"] == labels["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("told"))
         nearer = labels.join(told, "node").select("node", F.col("component").alias("old"), F.least("component", "told").alias("component"))
         onward = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
@@ -26,4 +27,3 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         labels = new.select("node", "component")
         if new.where("component != old").isEmpty():
             return labels
-    raise RuntimeError(f"no fixed point after {most_rounds} rounds")

@@ -9,19 +9,23 @@ from tallyspark.operators.joins import band_join, top_k_per_key
 from tallyspark.operators.orders import LINE_ORDER
 from tallyspark.schemas import CANDIDATE_WINDOW_PAISE, NET_TOLERANCE_PAISE
 
+#: What of a batch's first line is kept as it stood in the file.
+_RAW_HEADER = ["settlement_id", "settlement_utr", "settlement_status", "settlement_net_amount_paise", "settlement_created_at"]
+
 
 def group_settlements(lines: DataFrame) -> DataFrame:
-    """One row for each batch; header fields come from its first line. Lines are summed up, not gathered."""
-    head = F.min_by(F.struct("settlement_utr", "settlement_status", "settled_at", "settlement_net_amount_paise"), F.struct(*LINE_ORDER))
+    """One row for each batch; header fields, and their raw cells if the lines have any, come from its first line. Lines are summed up, not gathered."""
+    cells = [F.struct(*(F.coalesce(F.col("raw")[k], F.lit("")).alias(k) for k in _RAW_HEADER)).alias("raw")] if "raw" in lines.columns else []
+    head = F.min_by(F.struct("settlement_utr", "settlement_status", "settled_at", "settlement_net_amount_paise", *cells), F.struct(*LINE_ORDER))
     g = lines.groupBy("settlement_id").agg(head.alias("h"), F.sum(F.col("credit_paise") - F.col("debit_paise")).alias("expected_net_paise"), F.count("*").alias("line_count"))
-    return g.select("settlement_id", F.col("h.settlement_utr").alias("utr"), F.col("h.settlement_status").alias("status"), F.col("h.settled_at").alias("settled_at"), "expected_net_paise", F.col("h.settlement_net_amount_paise").alias("stated_net_paise"), "line_count")
+    return g.select("settlement_id", F.col("h.settlement_utr").alias("utr"), F.col("h.settlement_status").alias("status"), F.col("h.settled_at").alias("settled_at"), "expected_net_paise", F.col("h.settlement_net_amount_paise").alias("stated_net_paise"), "line_count", *([F.col("h.raw").alias("raw")] if cells else []))
 
 
 def tie_settlement_to_bank(groups: DataFrame, bank: DataFrame) -> DataFrame:
     """Batches with the first bank row of their reference and how many there are."""
     first = bank.groupBy("utr").agg(F.min_by(F.struct("bank_txn_id", "credit_paise"), "bank_txn_id").alias("b"), F.count("*").alias("n"))
     tied = groups.join(first, "utr", "left")
-    return tied.select(*groups.columns, F.col("b.bank_txn_id").alias("bank_txn_id"), F.col("b.credit_paise").alias("bank_credit_paise"), F.coalesce("n", F.lit(0)).alias("bank_rows_for_utr"))
+    return tied.select(*(k for k in groups.columns if k != "raw"), F.col("b.bank_txn_id").alias("bank_txn_id"), F.col("b.credit_paise").alias("bank_credit_paise"), F.coalesce("n", F.lit(0)).alias("bank_rows_for_utr"))
 
 
 _GROUP = ["settlement_id", "utr", "status", "settled_at", "expected_net_paise", "stated_net_paise", "line_count"]
@@ -71,12 +75,15 @@ def nearby_settlement_candidates(bank: DataFrame, groups: DataFrame, window_pais
     return top_k_per_key(near, ["bank_txn_id"], [F.abs("delta_paise"), "settlement_id"], k).select("bank_txn_id", "rank", "settlement_id", "expected_net_paise", "delta_paise", "utr", "settled_at")
 
 
-def settlement_ownership(failed: DataFrame, lines: DataFrame) -> DataFrame:
-    """What a failed batch owns: itself, its lines, the orders of its payment lines, the bank row if it names one. settlement_id, kind, id."""
+def settlement_ownership(failed: DataFrame, lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """What a failed batch owns: itself, its lines, the known orders of its payment lines, the bank row if it names one. settlement_id, kind, id.
+
+    An order id that no order has isn't owned: its line is an orphan in its own right.
+    """
     own = failed.select("settlement_id", F.lit("settlement").alias("kind"), F.col("settlement_id").alias("id"))
     if "bank_txn_id" in failed.columns:
         own = own.unionByName(failed.where("bank_txn_id is not null").select("settlement_id", F.lit("bank_txn").alias("kind"), F.col("bank_txn_id").alias("id")))
     both = lines.join(failed.select("settlement_id"), "settlement_id", "left_semi")
-    order = F.when((F.col("type") == "payment") & F.col("order_id").isNotNull(), F.struct(F.lit("order").alias("kind"), F.col("order_id").alias("id")))
-    parts = F.array_compact(F.array(F.struct(F.lit("settlement_line").alias("kind"), F.col("entity_id").alias("id")), order))
-    return own.unionByName(both.select("settlement_id", F.explode(parts).alias("e")).select("settlement_id", "e.kind", "e.id"))
+    own = own.unionByName(both.select("settlement_id", F.lit("settlement_line").alias("kind"), F.col("entity_id").alias("id")))
+    paid = both.where("type = 'payment' and order_id is not null").join(orders.select("order_id"), "order_id", "left_semi")
+    return own.unionByName(paid.select("settlement_id", F.lit("order").alias("kind"), F.col("order_id").alias("id")))

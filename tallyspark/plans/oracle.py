@@ -97,7 +97,7 @@ base AS (
   UNION ALL SELECT code || ':' || settlement_id, code, 'settlement', settlement_id, false FROM failed
   UNION ALL SELECT code || ':' || settlement_id, code, 'bank_txn', bank_txn_id, true FROM failed WHERE bank_txn_id IS NOT NULL
   UNION ALL SELECT code || ':' || settlement_id, code, 'settlement_line', entity_id, true FROM failed JOIN ln USING (settlement_id)
-  UNION ALL SELECT code || ':' || settlement_id, code, 'order', order_id, true FROM failed JOIN ln USING (settlement_id) WHERE type = 'payment' AND order_id IS NOT NULL
+  UNION ALL SELECT code || ':' || settlement_id, code, 'order', order_id, true FROM failed JOIN ln USING (settlement_id) WHERE type = 'payment' AND order_id IN (SELECT order_id FROM o)
   UNION ALL SELECT 'BANK_CREDIT_WITHOUT_SETTLEMENT:' || bank_txn_id, 'BANK_CREDIT_WITHOUT_SETTLEMENT', 'bank_txn', bank_txn_id, false FROM ghost
   UNION ALL SELECT 'SETTLEMENT_DELAY:' || line_id, 'SETTLEMENT_DELAY', unnest(['order', 'settlement_line']), unnest([order_id, line_id]), unnest([false, true]) FROM delta WHERE day_delta > 2
 ), owned AS (

@@ -324,7 +324,7 @@ def _(s, d):
 @query("e10_settlement_ownership", "SELECT split_part(finding_id, ':', 2) AS settlement_id, kind, id FROM fe WHERE code IN ('SETTLEMENT_ON_HOLD', 'UNEXPECTED_BANK_CREDIT_ON_HOLD', 'SETTLEMENT_WITHOUT_BANK_CREDIT', 'NET_MISMATCH')")
 def _(s, d):
     t = stored(tied(s, d))
-    return st.settlement_ownership(t.join(st.reconciled(t), "settlement_id", "left_anti"), L.lines(s, d))
+    return st.settlement_ownership(t.join(st.reconciled(t), "settlement_id", "left_anti"), L.lines(s, d), L.orders(s, d))
 
 
 @query("e11_reconciled", "SELECT settlement_id, bank_txn_id, net AS expected_net_paise FROM rec")

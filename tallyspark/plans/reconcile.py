@@ -18,12 +18,12 @@ def reconcile(orders: DataFrame, lines: DataFrame, bank: DataFrame, ids: str = "
     """
     orders, lines, bank = stored(orders), stored(lines), stored(bank)
     typed = a.typed_findings(orders, lines, bank)
-    tables = {k: stored(v) for k, v in a.union_findings(typed, lines, bank).items()}
+    tables = {k: stored(v) for k, v in a.union_findings(typed, orders, lines, bank).items()}
     good = stored(st.reconciled(typed["_tied"]))
     cases = stored(a.case_of_finding(tables["entities"], ids))
     matched = stored(a.matched_lines(lines, a.owned_entities(tables["entities"]), good))
     excluded = od.excluded_orders(orders, lines, typed["_seen"])
-    entities = stored(a.residue_entities(tables["entities"], cases, orders, lines, bank, typed["_groups"]))
+    entities = stored(a.residue_entities(tables["entities"], cases, orders, lines, bank, typed["_groups"], strict))
     values = stored(a.residue_value(entities))
     residue = a.residue_findings(tables["findings"], tables["entities"], cases).join(a.residue_evidence(tables["findings"], cases), "residue_id").join(values, "residue_id")
     return {
