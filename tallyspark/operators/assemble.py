@@ -20,14 +20,13 @@ from tallyspark.operators import delay, lines as ln, orders as od, settlements a
 from tallyspark.operators.components import connected_components
 from tallyspark.operators.joins import running_sum
 from tallyspark.schemas import NEAR_BANK, NEAR_BATCH, NET_TOLERANCE_PAISE, PARENT, TWIN_SETTLED, TWIN_UNSETTLED
-from tallyspark.sources.shared import stored
+from tallyspark.sources.shared import stored, stored_all
 
 
 def typed_findings(orders: DataFrame, lines: DataFrame, bank: DataFrame) -> dict[str, DataFrame]:
     """One plain table for each kind of finding, plus the batch ties and day deltas that others need."""
-    groups = stored(st.group_settlements(lines))
+    groups, seen, joined = stored_all(st.group_settlements(lines), od.with_settling_line(orders, lines), ln.payment_lines_with_order(orders, lines))
     tied = stored(st.tie_settlement_to_bank(groups, bank))
-    seen, joined = stored(od.with_settling_line(orders, lines)), stored(ln.payment_lines_with_order(orders, lines))
     deltas = delay.settlement_day_delta(orders, lines, joined)
     twins = od.duplicate_twins(orders, lines, seen)
     return {

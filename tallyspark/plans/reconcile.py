@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import assemble as a
 from tallyspark.operators import delay, orders as od, settlements as st
-from tallyspark.sources.shared import stored
+from tallyspark.sources.shared import stored, stored_all
 
 
 def reconcile(orders: DataFrame, lines: DataFrame, bank: DataFrame, ids: str = "sha", strict: bool = False) -> dict[str, DataFrame]:
@@ -16,12 +16,12 @@ def reconcile(orders: DataFrame, lines: DataFrame, bank: DataFrame, ids: str = "
 
     The inputs are read many times: each is written to the shared folder once.
     """
-    orders, lines, bank = stored(orders), stored(lines), stored(bank)
+    orders, lines, bank = stored_all(orders, lines, bank)
     typed = a.typed_findings(orders, lines, bank)
-    tables = {k: stored(v) for k, v in a.union_findings(typed, orders, lines, bank).items()}
-    good = stored(st.reconciled(typed["_tied"]))
-    cases = stored(a.case_of_finding(tables["entities"], ids))
-    matched = stored(a.matched_lines(lines, a.owned_entities(tables["entities"]), good))
+    tables = a.union_findings(typed, orders, lines, bank)
+    good, *kept = stored_all(st.reconciled(typed["_tied"]), *tables.values())
+    tables = dict(zip(tables, kept))
+    cases, matched = stored_all(a.case_of_finding(tables["entities"], ids), a.matched_lines(lines, a.owned_entities(tables["entities"]), good))
     excluded = od.excluded_orders(orders, lines, typed["_seen"])
     entities = stored(a.residue_entities(tables["entities"], cases, orders, lines, bank, typed["_groups"], strict))
     values = stored(a.residue_value(entities))

@@ -4,26 +4,49 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh path below spark.checkpoint.dir, or, only where that is unset (tests, a laptop), below a folder made here."""
+def _base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
+    app = spark.sparkContext.applicationId
     if not base:
-        app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if app not in _own_dirs:
             _own_dirs[app] = tempfile.mkdtemp(prefix="tallyspark-")
-        base = _own_dirs[app]
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        base = f"file://{_own_dirs[app]}"
+    return f"{base.rstrip('/')}/tallyspark-{app}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh path below spark.checkpoint.dir. Where that is unset, below a folder made here if Spark runs in one process (tests, a laptop), else an error."""
+    return f"{_base(spark)}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts the lineage, so that lost executors cost no rework."""
+    """Writes a table to the shared folder and reads it back: cuts the lineage, so that lost executors cost no rework.
+
+    Tables stay until ``clear``, as results may read them.
+    """
     spark = df.sparkSession
     path = path or shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_all(*frames: DataFrame) -> list[DataFrame]:
+    """Several tables that don't depend on each other, written at the same time, so that small ones don't wait in turn."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return list(pool.map(stored, frames))
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables. For the end of a job: results that still read them are lost."""
+    jvm, path = spark.sparkContext._jvm, _base(spark)
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
