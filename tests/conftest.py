@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from tallyspark.sources.shared import clear  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -22,4 +24,5 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    clear(s)
     s.stop()
