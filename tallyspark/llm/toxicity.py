@@ -3,7 +3,7 @@
 The kernel of two words sums over the subsequences of three letters they share, gaps allowed and weighed down by
 ``decay`` for each letter spanned, normalised to 1 for equal words, and is sharpened by a Gaussian of the distance it
 defines; so inserted characters and changed endings keep a word near. A mark at its front lets a word's beginning count. Words are the runs between white space, lower-cased; marks in and around a word are dropped, and where they stand
-inside, its parts are looked at as well. A word of over 32 characters is looked at in overlapping pieces of 32, so that no part of it is left out.
+inside, its parts are looked at as well; three or more single letters in a row are also looked at put together. A word of over 32 characters is looked at in overlapping pieces of 32, so that no part of it is left out.
 
 A word's features are its kernel values to a few dozen landmark words, whitened by the landmarks' own kernel matrix (Nyström).
 The machine is fitted on labelled texts by taking, in turns, each text's strongest word as its example
@@ -11,16 +11,19 @@ The machine is fitted on labelled texts by taking, in turns, each text's stronge
 margins of its four strongest words, so that one borderline word weighs less than several. Fitting reads at most ``bound`` labelled texts of each class, the first by a hash of doc_id; scoring reads
 every whole text, and each worker keeps the margins of words it has met.
 
-Null and empty texts, and texts without words of three letters, get the score of four words at the bare bias, near 0. Without labelled
-texts of both classes every score is 0. Repeated rows are scored alike. Empty tables give no rows. Of the documents only doc_id
+Null and empty texts, and texts without a piece of three letters, score 0. With fewer than FEWEST labelled texts that have pieces in either
+class outside the held-out fold, nothing is fitted and every score is 0. Repeated rows are scored alike. Empty tables give no rows. Of the documents only doc_id
 and text are read, and doc_id only for the fold; of several labels of one doc_id the highest holds, null ones don't count.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -30,18 +33,28 @@ from pyspark.sql import functions as F
 from tallyspark.llm import common
 
 ORDER, LONGEST, TOP = 3, 32, 4
+#: Fewer labelled texts with words than this in either class, and nothing is fitted.
+FEWEST = 5
 #: How fast nearness falls with the kernel's distance; landmarks are less near to each other than ALIKE.
 SHARPNESS, ALIKE, FRONT = 3.0, 0.4, "^"
 
 
+#: Three or more single letters in a row, a word spelt out.
+_SPELT = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»„“”‘’…–—"
+
+
 def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    """The runs between white space, lower-cased, and after them each run of three or more single letters put together."""
+    text = text.lower()
+    return text.split() + ["".join(x.split()) for x in _SPELT.findall(text)]
 
 
 def pieces_of(word: str) -> list[str]:
     """What of a word is looked at: its letters and digits put together and, where marks stand between them, each run of them too."""
-    if word.isalnum():
-        found = [word]
+    core = word if word.isalnum() else word.strip(_MARKS)
+    if core.isalnum():
+        found = [core]
     else:
         runs = "".join(x if x.isalnum() else " " for x in word).split()
         found = list(dict.fromkeys(["".join(runs), *runs]))
@@ -59,48 +72,79 @@ def codes_of(words: list[str]) -> np.ndarray:
     return np.array([w.ljust(width, "\0") for w in words], dtype=f"U{width}").view(np.uint32).reshape(len(words), width) if words else np.zeros((0, 1), np.uint32)
 
 
+@functools.lru_cache(maxsize=64)
+def _places(n: int, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """The places (i < j < k) of all subsequences of three of n letters, and decay for each letter that they span."""
+    at = np.array(list(combinations(range(n), ORDER)), np.int32).reshape(-1, ORDER).T
+    return at, np.power(decay, at[2] - at[0] + 1.0)
+
+
+class _Index:
+    """The landmarks' subsequences of three letters, an inverted list for each: which landmarks have it, with what weight."""
+
+    def __init__(self, landmarks: tuple[str, ...], decay: float):
+        weight: dict[tuple[str, ...], dict[int, float]] = {}
+        for m, word in enumerate(landmarks):
+            at, spans = _places(len(word), decay)
+            for i, j, k, x in zip(*at.tolist(), spans.tolist()):
+                row = weight.setdefault((word[i], word[j], word[k]), {})
+                row[m] = row.get(m, 0.0) + x
+        norm = np.zeros(len(landmarks))
+        for row in weight.values():
+            for m, x in row.items():
+                norm[m] += x * x
+        self.letters = np.array(sorted({ord(x) for t in weight for x in t}), np.uint32)
+        place, self.base = {chr(x): i for i, x in enumerate(self.letters.tolist())}, len(self.letters) + 1
+        self.table = np.full(self.base**ORDER, -1, np.int32)
+        self.first = np.zeros(len(weight) + 1, np.int64)
+        owner, value = [], []
+        for row, (t, lists) in enumerate(weight.items()):
+            self.table[(place[t[0]] * self.base + place[t[1]]) * self.base + place[t[2]]] = row
+            owner += lists
+            value += [x / norm[m] ** 0.5 for m, x in lists.items()]
+            self.first[row + 1] = len(owner)
+        self.owner, self.value, self.size = np.array(owner, np.int64), np.array(value), len(landmarks)
+
+    def products(self, w: np.ndarray, decay: float) -> np.ndarray:
+        """Of words of one length, the kernel with each landmark, normalised on the landmark's side."""
+        at, spans = _places(w.shape[1], decay)
+        place = np.searchsorted(self.letters, w)
+        letter = np.where(self.letters[np.minimum(place, len(self.letters) - 1)] == w, place, self.base - 1)
+        row = self.table[(letter[:, at[0]] * self.base + letter[:, at[1]]) * self.base + letter[:, at[2]]].ravel()
+        hit = np.flatnonzero(row >= 0)
+        row, word, x = row[hit], hit // len(spans), spans[hit % len(spans)]
+        many = self.first[row + 1] - self.first[row]
+        spot = np.repeat(self.first[row] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        cell = np.repeat(word * self.size, many) + self.owner[spot]
+        return np.bincount(cell, self.value[spot] * np.repeat(x, many), len(w) * self.size).reshape(len(w), self.size)
+
+
+@functools.lru_cache(maxsize=8)
+def _index(landmarks: tuple[str, ...], decay: float) -> _Index:
+    return _Index(landmarks, decay)
+
+
 def kernel(words: list[str], landmarks: list[str], decay: float = 0.6) -> np.ndarray:
     """The normalised subsequence kernel of every word with every landmark.
 
-    Dynamic programming, one letter of all words at a time. singles[j] and pairs[j] sum, over common subsequences of one and
-    two letters before letter j of the landmark, decay to the minus their beginnings in both words; a third common letter at (i, j)
-    then adds decay^(i + j + 2) times pairs[j].
+    Each word's subsequences are looked up among the landmarks', words of one length at a time; those that no landmark has, most
+    of them, cost no more than the lookup.
     """
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    marks = codes_of(landmarks)
-    m, width = marks.shape
-    letters = np.unique(marks[marks != 0])
-    # for each letter, and last for any other, where the landmarks have it: by place in the landmark
-    where = np.concatenate([marks.T[None] == letters[:, None, None], np.zeros((1, width, m), bool)]).astype(np.float32)
-    own = np.sqrt(_self_kernel(marks, decay))
-    down, up = (np.float32(decay) ** np.arange(width + LONGEST + 2, dtype=np.float32) for _ in range(2))
-    up = (1 / up).astype(np.float32)
-    for at in range(0, len(order), 500):
-        some = order[at : at + 500]
-        w = codes_of([words[i] for i in some])
-        n = len(some)
-        place = np.minimum(np.searchsorted(letters, w), len(letters) - 1)
-        letter = np.where(letters[place] == w, place, len(letters))
-        singles, pairs, total = np.zeros((width + 1, n, m), np.float32), np.zeros((width + 1, n, m), np.float32), np.zeros((n, m), np.float32)
-        for i in range(w.shape[1]):
-            same = where.transpose(1, 0, 2)[:, letter[:, i]]
-            found, run = np.zeros((n, m), np.float32), np.zeros((n, m), np.float32)
-            for j in range(1, width):
-                run += same[j] * singles[j]
-                if j > 1:
-                    found += same[j] * pairs[j] * down[j]
-                    pairs[j] += last
-                last = run.copy()
-            pairs[width] += last if width > 1 else 0
-            total += found * down[i + 2]
-            run = np.zeros((n, m), np.float32)
-            for j in range(width):
-                run += same[j] * up[i + j]
-                singles[j + 1] += run
-        mine = np.sqrt(_self_kernel(w, decay))
-        scale = mine[:, None] * own[None, :]
-        out[some] = np.where(scale > 0, total / np.maximum(scale, 1e-12), 0)
+    index = _index(tuple(landmarks), decay)
+    by_length: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        by_length.setdefault(len(w), []).append(i)
+    for n, which in by_length.items():
+        if n < ORDER or not len(index.letters):
+            continue
+        step = max(1, 50_000 // len(_places(n, decay)[1]))
+        for a in range(0, len(which), 4096):
+            some = np.array(which[a : a + 4096])
+            w = codes_of([words[i] for i in some.tolist()])
+            own = np.sqrt(np.maximum(_self_kernel(w, decay), 1e-12))[:, None]
+            for b in range(0, len(some), step):
+                out[some[b : b + step]] = index.products(w[b : b + step], decay) / own[b : b + step]
     return out
 
 
@@ -141,7 +185,7 @@ class ToxicityModel:
         return nearness(pieces, self.landmarks, self.decay) @ self.weights.astype(np.float32) + np.float32(self.bias)
 
     def strongest(self, texts: list[str], known: dict[str, float], value: dict[str, float] | None = None) -> np.ndarray:
-        """The margins of each text's TOP strongest words, falling; the bias where there are fewer. known, value: margins of words and of pieces met so far."""
+        """The margins of each text's TOP strongest words, falling; minus infinity where there are fewer words with pieces. known, value: margins of words and of pieces met so far."""
         value = {} if value is None else value
         split = [words_of(t) for t in texts]
         new: set[str] = set()
@@ -152,8 +196,8 @@ class ToxicityModel:
         ask = sorted({p for ps in cut.values() for p in ps} - value.keys())
         value.update(zip(ask, self.of_pieces(ask).tolist()))
         for w, ps in cut.items():
-            known[w] = max([value.get(p, self.bias) for p in ps], default=self.bias)
-        out = np.full((len(texts), TOP), self.bias)
+            known[w] = max([value[p] for p in ps], default=-np.inf)
+        out = np.full((len(texts), TOP), -np.inf)
         for i, words in enumerate(split):
             if words:
                 m = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
@@ -162,7 +206,10 @@ class ToxicityModel:
         return out
 
     def score(self, strongest: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(strongest @ self.slopes + self.offset, -60, 60)))
+        """0 for a text without pieces; missing words count as the bare bias."""
+        margins = np.where(np.isneginf(strongest), self.bias, strongest)
+        likely = 1.0 / (1.0 + np.exp(-np.clip(margins @ self.slopes + self.offset, -60, 60)))
+        return np.where(np.isneginf(strongest[:, 0]), 0.0, likely)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -205,7 +252,8 @@ def fit(rows: list[tuple[int, str, bytes]], landmarks: int = 72, turns: int = 5)
     at: dict[str, int] = {}
     docs = [np.array([at.setdefault(w, len(at)) for w in words.split()], dtype=np.int32) for _, words, _ in rows]
     y = np.array([2.0 * v - 1 for v, _, _ in rows])
-    if not (y > 0).any() or not (y < 0).any() or not at:
+    worded = np.array([len(d) > 0 for d in docs], bool)
+    if min(np.count_nonzero(worded & (y > 0)), np.count_nonzero(worded & (y < 0))) < FEWEST:
         return None
     words = list(at)
     del at
@@ -214,11 +262,16 @@ def fit(rows: list[tuple[int, str, bytes]], landmarks: int = 72, turns: int = 5)
     name = np.array(words)
     telling = [words[i] for i in np.lexsort((name, -have[1] * odds))[: 40 * landmarks] if have[1][i] >= 2]
     chosen: list[str] = []
-    for w in telling:
+    for at in range(0, len(telling), 64):
         if len(chosen) >= landmarks * 8 // 9:
             break
-        if not chosen or nearness([w], chosen).max() < ALIKE:
-            chosen.append(w)
+        some = telling[at : at + 64]
+        near = nearness(some, chosen + some)
+        picked = np.arange(len(chosen) + len(some)) < len(chosen)
+        for i, w in enumerate(some):
+            if len(chosen) < landmarks * 8 // 9 and not (near[i] >= ALIKE)[picked].any():
+                picked[len(picked) - len(some) + i] = True
+                chosen.append(w)
     chosen += [w for w in (words[i] for i in np.lexsort((name, -have[0]))[: 2 * landmarks]) if w not in chosen][: landmarks - len(chosen)]
     del name
     value, vector = np.linalg.eigh(nearness(chosen, chosen).astype(np.float64))

@@ -365,15 +365,28 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_odd(spark):
+    """No text for any label, and labelled texts too few to learn from: nothing goes."""
     labels = spark.createDataFrame([(i, None, i % 2) for i in range(20)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
-    train = spark.createDataFrame([(i, f"plain words number {i} " + ("idiot" if i % 2 else "kind")) for i in range(20)], "doc_id long, text string")
-    got = toxicity.score_documents(odd(spark).select("doc_id", "text").unionByName(train), labels).collect()
-    assert len(got) == 30 and all(r.score is not None and r.held_out is not None for r in got)
-    kept = toxicity.drop_toxic(odd(spark), labels)  # labels without texts: nothing to learn from, nothing goes
-    assert kept.columns == odd(spark).columns and kept.count() == 10
+    elsewhere = labels.withColumn("doc_id", labels.doc_id + 1000)
+    for some in (elsewhere, labels):
+        assert toxicity.train(odd(spark), some) is None
+        kept = toxicity.drop_toxic(odd(spark), some)
+        assert kept.columns == odd(spark).columns and kept.count() == 10
+        assert {r.score for r in toxicity.score_documents(odd(spark), some).collect()} == {0.0}
     assert toxicity.score_documents(empty(spark), labels).count() == 0
 
 
+def test_toxicity_of_a_tiny_training_set(spark):
+    labels = spark.createDataFrame([(100 + i, None, i % 2) for i in range(40)] + [(None, 1, 1), (103, 1, None)], "doc_id long, quality int, toxic int")
+    train = spark.createDataFrame([(100 + i, f"plain words number {i} " + ("idiot" if i % 2 else "kind")) for i in range(40)], "doc_id long, text string")
+    docs = odd(spark).select("doc_id", "text").unionByName(train).unionByName(spark.createDataFrame([(900, "so i d i o t said"), (901, "a b c and more")], train.schema))
+    got = toxicity.score_documents(docs, labels).collect()
+    assert len(got) == 52 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    score = {r.doc_id: r.score for r in got}
+    assert score[2] == score[3] == score[4] == 0.0 and len({r.score for r in got if r.doc_id == 1}) <= 2
+    assert score[900] >= 0.5 > max(score[901], score[5], score[7]) and all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got if 100 <= (r.doc_id or 0) < 200)
+
+
 def unigram_library():
     from tokenizers import Tokenizer, models
 
@@ -459,7 +472,15 @@ def test_pipeline_against_brute_force(spark, docs):
 
 
 def test_pipeline_odd(spark):
-    for df in (odd(spark), empty(spark)):
-        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            before, df = df, common.stored(stage(spark, df, SF))
-            assert k == 3 or df.columns == before.columns
+    """Too few labels to learn from: toxicity keeps all 10 rows; line dedup keeps rows; the join keeps one of each group, here all; packing cuts the long text."""
+    df, kept = odd(spark), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before, df = df, common.stored(stage(spark, df, SF))
+        assert k == 3 or df.columns == before.columns
+        kept.append(Counter(r.doc_id for r in df.select("doc_id", *(["text"] if k < 3 else [])).collect()))
+    every = Counter({1: 3, 2: 1, 3: 1, 4: 1, 5: 1, None: 1, 7: 1, 8: 1})
+    assert kept[0] == kept[1] == kept[2] == every and set(kept[3]) == set(every) and kept[3][5] == -(-(len(reference_ids([LONG])[0]) + 1) // 2048)
+    df = empty(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        df = common.stored(stage(spark, df, SF))
+        assert df.count() == 0
