@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import functools
 import heapq
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import common
 
-SPACE, LONG = "▁", 64
+SPACE, LONG, INF = "▁", 64, float("inf")
+_HEAD = struct.Struct("<dd")
 
 
 class Pieces:
@@ -51,7 +53,7 @@ class Pieces:
         self.automaton.make_automaton()
         self.unknown_score = min(self.scores.values()) - 10.0
         self.counts: dict[str, tuple[int, float]] = {}
-        self.nbest: dict[int, dict[str, list]] = {}
+        self.single: dict[str, bytes] = {}
         self.bytes = [bytes([int(p[3:5], 16)]) if p in self.byte_ids else p.replace(SPACE, " ").encode() for p in self.pieces]
 
     def edges(self, word: str) -> list[list[tuple[int, float, int]]]:
@@ -79,32 +81,82 @@ class Pieces:
                     loose[end] = i < 0
         return pieces[n], best[n]
 
+    def _ids(self, text: str, start: int, i: int) -> list[int]:
+        return [i] if i >= 0 else [self.byte_ids.get(f"<0x{b:02X}>", self.unknown) for b in text[start].encode("utf-8", "surrogatepass")]
+
+    def viterbi(self, word: str) -> bytes:
+        """Of ``▁word``: the best segmentation's score, what the second best loses against it (infinite if there is none), and its ids, packed."""
+        text = SPACE + word
+        n, ends = len(text), self.edges(text)
+        forward, second, came = [0.0] * (n + 1), [-INF] * (n + 1), [None] * (n + 1)
+        for end in range(1, n + 1):
+            top = other = -INF
+            for edge in ends[end]:
+                start, score, _ = edge
+                value = forward[start] + score
+                if value > top:
+                    top, other, came[end] = value, top, edge
+                elif value > other:
+                    other = value
+                value = second[start] + score
+                if value > other:
+                    other = value
+            forward[end], second[end] = top, other
+        path, at = [], n
+        while at:
+            path.append(came[at])
+            at = came[at][0]
+        ids: list[int] = []
+        for start, _, i in reversed(path):
+            ids += self._ids(text, start, i)
+        return _HEAD.pack(forward[n], forward[n] - second[n]) + struct.pack(f"<{len(ids)}I", *ids)
+
     def best(self, word: str, n_best: int) -> list[tuple[float, bytes]]:
         """The n best segmentations of ``▁word`` as (score, ids): forward Viterbi scores, then backward A* search.
 
         A hypothesis covers the word from some place to its end; the forward score of that place is exactly the best that can
-        still come, so complete hypotheses leave the queue in order of their score. Ties: the hypothesis made first.
+        still come, so complete hypotheses leave the queue in order of their score. Ties: the one that reaches further back, then the one made first.
         """
         text = SPACE + word
         ends = self.edges(text)
         forward = [0.0] * (len(text) + 1)
         for end in range(1, len(forward)):
             forward[end] = max(forward[start] + score for start, score, _ in ends[end])
-        queue, made, out = [(-forward[-1], 0, len(text), 0.0, None)], 0, []
+        queue, made, out = [(-forward[-1], len(text), 0, 0.0, None)], 0, []
         while queue and len(out) < n_best:
-            _, _, place, behind, path = heapq.heappop(queue)
+            _, place, _, behind, path = heapq.heappop(queue)
             if place == 0:
                 ids: list[int] = []
                 while path is not None:
                     start, i, path = path
-                    ids += [i] if i >= 0 else [self.byte_ids.get(f"<0x{b:02X}>", self.unknown) for b in text[start].encode("utf-8", "surrogatepass")]
+                    ids += self._ids(text, start, i)
                 out.append((behind, np.array(ids, "<u4").tobytes()))
                 continue
             for start, score, i in ends[place]:
                 made += 1
-                heapq.heappush(queue, (-(forward[start] + score + behind), made, start, score + behind, (start, i, path)))
+                heapq.heappush(queue, (-(forward[start] + score + behind), start, made, score + behind, (start, i, path)))
         return out
 
+    def nbest_of(self, words: list[str], n_best: int) -> list[tuple[float, bytes]]:
+        """The n best segmentations of a text of these words. Each word's best is kept, in a record of some 80 bytes."""
+        if not words:
+            return [(0.0, b"")]
+        known = self.single
+        if len(known) > self.limit:
+            known.clear()
+        found = list(map(known.get, words))
+        for k, x in enumerate(found):
+            if x is None:
+                w = words[k]
+                x = known.get(w)
+                if x is None:
+                    x = self.viterbi(w)
+                    if len(w) <= LONG:
+                        known[w] = x
+                found[k] = x
+        heads = np.frombuffer(b"".join([x[:16] for x in found]), "<f8").reshape(-1, 2)
+        return combine(heads[:, 0], heads[:, 1], [x[16:] for x in found], lambda k, n: self.best(words[k], n), n_best)
+
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: pieces put together, byte pieces as UTF-8, ``▁`` as space, without the one at the front."""
         text = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
@@ -162,26 +214,25 @@ def token_counts(docs: DataFrame, model: str | None = None) -> DataFrame:
 ENCODED = "doc_id long, ids array<array<int>>, scores array<double>"
 
 
-def combine(words: list[list[tuple[float, bytes]]], n_best: int) -> list[tuple[float, bytes]]:
-    """The n best of a text from the n best of its words.
+def combine(scores: np.ndarray, gaps: np.ndarray, first: list[bytes], options_of: Callable[[int, int], list[tuple[float, bytes]]], n_best: int) -> list[tuple[float, bytes]]:
+    """The n best of a text: scores, gaps (what a word's second best loses) and best ids of its words; options_of(k, n) gives word k's n best.
 
     At most n_best - 1 words can differ from their best within the n best, and they are among those with the smallest
-    first loss (in ties the earlier word); their losses are merged best first.
+    gap (in ties the earlier word): only those are searched further. Their losses are merged best first.
     """
-    gaps = np.array([w[0][0] - w[1][0] if len(w) > 1 else np.inf for w in words])
-    chosen = sorted(np.argsort(gaps, kind="stable")[: n_best - 1].tolist())
+    near = np.flatnonzero(gaps <= np.partition(gaps, n_best - 2)[n_best - 2]) if 1 < n_best <= len(gaps) else np.arange(len(gaps))
+    chosen = sorted(near[np.argsort(gaps[near], kind="stable")][: n_best - 1].tolist())
+    options = {k: options_of(k, n_best) for k in chosen if gaps[k] < INF}
     merged: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
-    for k in chosen:
-        options = words[k]
-        merged = sorted(((loss + options[0][0] - s, picks + (i,)) for loss, picks in merged for i, (s, _) in enumerate(options)), key=lambda x: x)[:n_best]
-    best = sum(w[0][0] for w in words)
-    first, out = [w[0][1] for w in words], []
+    for some in options.values():
+        merged = sorted((loss + some[0][0] - s, picks + (i,)) for loss, picks in merged for i, (s, _) in enumerate(some))[:n_best]
+    best, out = float(scores.sum()), []
     for loss, picks in merged:
         parts = first
-        if any(picks):
+        if options:
             parts = first.copy()
-            for k, i in zip(chosen, picks):
-                parts[k] = words[k][i][1]
+            for (k, some), i in zip(options.items(), picks):
+                parts[k] = some[i][1]
         out.append((best - loss, b"".join(parts)))
     return out
 
@@ -192,23 +243,12 @@ def encode_nbest(docs: DataFrame, n_best: int = 3, model: str | None = None) ->
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = pieces_of(path)
-        known = vocabulary.nbest.setdefault(n_best, {})
         for batch in batches:
             texts, keys = batch["text"].tolist(), batch["doc_id"].tolist()
-            for a, b in common.slices(texts, 1_000_000):
+            for a, b in common.slices(texts):
                 rows = []
                 for key, text in zip(keys[a:b], texts[a:b]):
-                    if len(known) > vocabulary.limit * 5 // 8:
-                        known.clear()
-                    found = []
-                    for w in words_of(text):
-                        got = known.get(w)
-                        if got is None:
-                            got = vocabulary.best(w, n_best)
-                            if len(w) <= LONG:
-                                known[w] = got
-                        found.append(got)
-                    done = combine(found, n_best) if found else [(0.0, b"")]
+                    done = vocabulary.nbest_of(words_of(text), n_best)
                     rows.append((None if pd.isna(key) else int(key), [np.frombuffer(x, "<i4") for _, x in done], [s for s, _ in done]))
                 out = pd.DataFrame(rows, columns=["doc_id", "ids", "scores"])
                 out["doc_id"] = out["doc_id"].astype("Int64")

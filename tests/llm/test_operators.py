@@ -421,11 +421,13 @@ def test_nbest_of_words_and_texts():
     for w in words:
         want = all_segmentations(v, w)
         assert [s for s, _ in v.best(w, 5)] == want[:5]
+        score, gap = unigram._HEAD.unpack(v.viterbi(w)[:16])
+        assert v.viterbi(w)[16:] == v.best(w, 1)[0][1] and np.isclose(score, want[0]) and (np.isclose(gap, want[0] - want[1]) if len(want) > 1 else gap == np.inf)
     lists = [v.best(w, 4) for w in words]
     every = [0.0]
     for options in lists:
         every = sorted((x + s for x in every for s, _ in options), reverse=True)[:200]
-    got = unigram.combine(lists, 4)
+    got = v.nbest_of(words, 4)
     assert np.allclose([s for s, _ in got], every[:4]) and v.decode(np.frombuffer(got[0][1], "<u4")) == " ".join(words)
 
 
