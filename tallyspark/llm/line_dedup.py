@@ -1,12 +1,15 @@
-"""Line dedup by hashes of windows of lines, in DataFrame functions only.
+"""Line dedup by winnowing over line hashes, in DataFrame functions only.
 
 Lines are compared with white space at their ends removed; lines without words are neither compared nor deleted. A window
-is a run of consecutive such lines that just reaches ``words`` words, grown forward from a line or backward to one. Its
-fingerprint is its smallest line hash (the first one, in ties) together with the hash of the whole window, so a frequent line
-in other surroundings makes no match. Every repeated run of at least ``words`` words contains whole
-windows, whose minima are chosen alike in every copy: such a run can't be missed. Each fingerprint's earliest
-position, by (doc_id, line), is joined to its later ones; each match is extended both ways as long as
-the line hashes agree, and the later run is deleted.
+is a run of consecutive such lines that just reaches ``words`` words, grown forward from a line or backward to one. Of each
+window the place of its smallest line hash (the first, in ties) is selected; neighbouring windows mostly select the same place, so
+a text has far fewer fingerprints than windows. Every repeated run of at least ``words`` words contains whole
+windows, whose minima stand at the same place in every copy: such a run can't be missed.
+
+Fingerprints are joined on the line hash: most meet no other and are done with. A frequent line meets many, so of the
+places left the windows that selected them are compared by their hashes, each with the earliest of its kind, by (doc_id,
+line), and no two places are paired otherwise. Matched windows that overlap or touch make up one run, the match extended both
+ways as far as lines agree (all windows in a longer match are matched); later runs are deleted.
 
 So a line goes if and only if it is part of a run of consecutive lines, of at least ``words`` words together, that also stands
 at an earlier place. The first copy of a line always stays.
@@ -35,16 +38,16 @@ def _key(docs: DataFrame) -> tuple[Column, Column]:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """One row for each line with words: doc (doc_id, hash of the text), line number from 0, hash, words."""
+    """One row for each line with words: doc (doc_id, hash of the text), line number from 0, hash, words. By document, repeated rows once."""
     key, text = _key(docs)
     lines = docs.select(key.alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "text"))
     lines = lines.select("doc", "line", F.regexp_replace("text", _EDGES, "").alias("text")).where("text != ''")
     lines = lines.select("doc", "line", F.xxhash64("text").alias("hash"), F.size(F.split("text", _SPACE)).cast("long").alias("words"))
-    return lines
+    return lines.repartition("doc").dropDuplicates(["doc", "line"])
 
 
-def windows_of(lines: DataFrame, words: int) -> DataFrame:
-    """The fingerprints: minimum (smallest line hash), window (hash of all its lines), doc, place and length.
+def fingerprints_of(lines: DataFrame, words: int) -> DataFrame:
+    """The selected places: minimum (the line hash there), doc, spot, and the windows that selected it (first place, size, hash of all lines).
 
     Places count a document's lines with words from 1. A window has at most ``words`` lines, as each has a word.
     """
@@ -58,45 +61,43 @@ def windows_of(lines: DataFrame, words: int) -> DataFrame:
         F.collect_list("hash").over(ahead).alias("ahead"), F.sum("words").over(ahead).alias("ahead_words"),
         F.collect_list("hash").over(behind).alias("behind"), F.sum("words").over(behind).alias("behind_words"),
     )
-    back = (F.col("place") - F.size("behind") + 1).alias("place")
-    runs = at.select("doc", F.explode(F.array(F.struct(F.col("place"), F.col("ahead").alias("run"), F.col("ahead_words").alias("n")), F.struct(back, F.col("behind").alias("run"), F.col("behind_words").alias("n")))).alias("w"))
-    runs = runs.where(F.col("w.n") >= words)
-    return runs.select("doc", F.col("w.place").alias("place"), F.array_min("w.run").alias("minimum"), F.xxhash64("w.run").alias("window"))
-
-
-def repeated_lines(docs: DataFrame, words: int = 50) -> DataFrame:
-    """doc, gone: the line numbers to delete, for each document that loses any."""
-    lines = common.stored(lines_of(docs))
-    found = windows_of(lines, words)
-    spot = F.struct("doc", "place")
-    origins = found.groupBy("minimum", "window").agg(F.min(spot).alias("origin"), F.max(spot).alias("last")).where("origin < last")
-    origins = common.stored(origins.drop("last"))
-    matches = found.join(origins, ["minimum", "window"]).where(spot > F.col("origin"))
-    # all windows on one diagonal (same two documents, same distance) are extended together
-    matches = matches.select("doc", F.col("origin.doc").alias("other"), (F.col("place") - F.col("origin.place")).alias("shift"), "place").distinct()
-    matches = common.stored(matches.groupBy("doc", "other", "shift").agg(F.collect_list("place").alias("places")))
-    ends = matches.select("doc").union(matches.select(F.col("other").alias("doc"))).distinct()
-    whole = lines.join(ends, "doc", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("line", "hash"))).alias("own"))
-    whole = common.stored(whole)
-    both = matches.join(whole, "doc").join(whole.select(F.col("doc").alias("other"), F.col("own.hash").alias("theirs")), "other")
-    # where the diagonal's two sides differ; a matched run reaches from one such place to the next
-    hashes, n = F.col("own.hash"), F.size("own")
-    differs = F.filter(F.sequence(F.lit(1), n), lambda p: (p - F.col("shift") < 1) | (p - F.col("shift") > F.size("theirs")) | (F.get(hashes, p - 1) != F.coalesce(F.get(F.col("theirs"), p - F.col("shift") - 1), F.lit(0))))
-    both = both.select("doc", "own", "places", F.concat(F.array(F.lit(0)), differs, F.array(n + 1)).alias("walls"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("walls") - 1), lambda k: F.struct((F.get("walls", k - 1) + 1).alias("a"), (F.get("walls", k) - 1).alias("b")))
-    runs = F.filter(F.filter(runs, lambda r: r["a"] <= r["b"]), lambda r: F.arrays_overlap(F.sequence(r["a"], r["b"]), F.col("places")))
-    gone = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(r["a"], r["b"]), lambda p: F.get(F.col("own.line"), p - 1))))
-    return both.select("doc", F.explode(gone).alias("line")).groupBy("doc").agg(F.collect_set("line").alias("gone"))
+    back = (F.col("place") - F.size("behind") + 1).alias("first")
+    both = F.array(F.struct(F.col("place").alias("first"), F.col("ahead").alias("run"), F.col("ahead_words").alias("n")), F.struct(back, F.col("behind").alias("run"), F.col("behind_words").alias("n")))
+    runs = at.select("doc", F.explode(both).alias("w")).where(F.col("w.n") >= words)
+    runs = runs.select("doc", F.col("w.first").alias("first"), F.size("w.run").alias("size"), F.xxhash64("w.run").alias("hash"), F.array_min("w.run").alias("minimum"), F.array_position("w.run", F.array_min("w.run")).cast("int").alias("nth"))
+    return runs.groupBy("doc", (F.col("first") + F.col("nth") - 1).alias("spot"), "minimum").agg(F.collect_set(F.struct("first", "size", "hash")).alias("windows"))
+
+
+def repeated_runs(docs: DataFrame, words: int = 50) -> DataFrame:
+    """doc, runs: the (first, last) places to delete, rising and apart, for each document that loses any."""
+    prints = common.stored(fingerprints_of(lines_of(docs), words))
+    place = F.struct("doc", "spot")
+    met = prints.groupBy("minimum").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("minimum")
+    windows = prints.join(met, "minimum", "left_semi").select("minimum", "doc", F.explode("windows").alias("w")).select("minimum", "doc", "w.*")
+    windows = common.stored(windows)
+    start = F.struct("doc", "first")
+    origins = windows.groupBy("minimum", "hash").agg(F.min(start).alias("origin"), F.max(start).alias("last")).where("origin < last").drop("last")
+    matched = windows.join(origins, ["minimum", "hash"]).where(start > F.col("origin")).select("doc", "first", (F.col("first") + F.col("size") - 1).alias("last"))
+    # gaps and islands: a window that neither overlaps nor touches those before it begins a run
+    by_doc = Window.partitionBy("doc").orderBy("first", "last")
+    reach = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    islands = matched.withColumn("new", F.when(F.col("first") <= reach + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = islands.groupBy("doc", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return islands.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, words: int = 50) -> DataFrame:
     """The documents with every later copy of a repeated run of lines deleted; the columns stay as they are."""
     key, text = _key(docs)
-    gone = common.stored(repeated_lines(docs, words))
-    both = docs.select(F.struct("*").alias("row"), key.alias("doc"), text.alias("text")).join(gone.hint("merge"), "doc", "left")
+    runs = common.stored(repeated_runs(docs, words))
+    both = docs.select(F.struct("*").alias("row"), key.alias("doc"), text.alias("text")).join(runs.hint("merge"), "doc", "left")
     lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    new = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    worded = F.array_compact(F.transform(lines, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)))
+    gone = F.transform(F.array(worded), lambda w: F.flatten(F.transform("runs", lambda r: F.slice(w, r["first"], r["last"] - r["first"] + 1))))
+    both = both.withColumn("gone", F.when(F.col("runs").isNotNull(), F.get(gone, F.lit(0))))
+    # a lambda over an array of one names the lines, so that the text is split once and not for each line
+    left = F.transform(F.array(lines), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)))
+    new = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.get(left, F.lit(0)), "\n"))
     both = both.select("row", "gone", new.alias("new"))
     columns = []
     for c in docs.columns:
@@ -115,9 +116,12 @@ OP4_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(range(len(s))) AS line, unnest(s) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)
 ), t AS (
-  SELECT doc_id, line, regexp_replace(raw, '^[ 	-]+|[ 	-]+$', '', 'g') AS x FROM l
+  SELECT doc_id, line, regexp_replace(raw, '^[ 	-
+]+|[ 	-
+]+$', '', 'g') AS x FROM l
 ), w AS (
-  SELECT doc_id, line, x, len(string_split_regex(x, '[ 	-]+')) AS words FROM t WHERE x <> ''
+  SELECT doc_id, line, x, len(string_split_regex(x, '[ 	-
+]+')) AS words FROM t WHERE x <> ''
 ), c AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS place,
     CAST(sum(words) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS through FROM w

@@ -228,6 +228,18 @@ def test_line_dedup_runs(spark):
     assert got == {1: made[0][1], 2: "own2", 3: made[2][1], 4: "other", 5: made[4][1], 6: ""}
 
 
+def test_line_dedup_of_periodic_and_frequent_lines(spark):
+    """A document of one line many times over, a frequent line in other surroundings, and a row that stands twice."""
+    long, cue = " ".join(f"p{i}" for i in range(55)), "read more here"
+    own = lambda k: "\n".join(f"{k} {j} " + " ".join(f"x{k}y{j}z{i}" for i in range(12)) for j in range(8))
+    made = [(1, "\n".join([long] * 20_000)), (2, f"{long}\nend"), *((k, own(k).replace("\n", f"\n{cue}\n")) for k in range(10, 60)), (70, own(70)), (70, own(70)), (71, f"{own(70)}\nmore")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    want = dict(made) | {1: long, 2: "end", 71: "more"}
+    assert len(got) == len(made) and all(r.text == want[r.doc_id] for r in got)
+    prints = line_dedup.fingerprints_of(line_dedup.lines_of(spark.createDataFrame([(3, "\n".join(f"line {i} of few words" for i in range(400)))], "doc_id long, text string")), 50)
+    assert prints.count() < 150  # of 400 lines and some 780 windows
+
+
 def test_line_dedup_odd(spark):
     df = odd(spark)
     got = line_dedup.dedup_lines(df)
