@@ -3,8 +3,7 @@
 A rule is (host, path prefix, block or allow); it fits its host and all subdomains where the path begins with the
 prefix; of the rules that fit, the one with the most characters wins (a block in a tie). Where none fits, the model decides. It is fitted
 once, on the driver, on a small labelled table (the one below, or the caller's); the model is a fixed
-number of weights. N-grams of 3 to 5 characters are taken from ``host`` between ``^`` and ``$`` and from ``path``
-after ``/``, the two kinds hashed apart.
+number of weights. N-grams of 3 to 5 characters are taken from ``host`` between ``^`` and ``$`` and from ``path``, the two kinds hashed apart.
 
 A null url, or one without ``://``, has an empty host and path and no rule; the model sees no n-grams and its bias decides
 (allow). Very long urls are read whole. Repeated rows are judged alike; an empty table gives no rows.
@@ -24,21 +23,49 @@ from tallyspark.llm import common
 #: The rules of the query.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-#: The small labelled table: names of sites that a crawl should block or keep, and what their pages are called.
-BLOCKED = "casino casino-win online-casino free-bets sports-bets spam-farm link-farm cheap-pills cheap-meds ads-track ad-tracker click-ads adult-cams xxx-videos hot-singles payday-loans replica-watches poker-bonus lottery-prizes torrent-cracks".split()
-BLOCKED_PAGES = "win bonus order offer claim free download apply".split()
-KEPT = "theatre weather library nation station reading other therapy hearing earth north thorn heather shore ocean winter gardening recipes museum university science history railway council bookshop forum wiki school woodwork jazz physics poems rivers onshore thread tender reed tithe intonation".split()
-KEPT_PAGES = "about notes article lesson archive story guide table".split()
-
-
-def labelled() -> list[tuple[str, str, int]]:
-    """(host, path, 1 to block): every name under each kind of subdomain and ending, so that only names and pages tell the two apart."""
+#: The small labelled table, from common knowledge of what blocklists name (their usual categories) and what people read: site names made of a
+#: topic and a second word, by the rule in ``labelled``.
+BLOCK_TOPICS = {
+    "gambling": "casino poker roulette jackpot bingo betting slots lottery baccarat wager".split(),
+    "adult": "porn adult xxx sex escort nude camgirl fetish erotic webcam-girls".split(),
+    "drugs": "viagra cialis pharmacy pills steroids tramadol weightloss diet-pills meds painkiller".split(),
+    "money": "payday loans quick-cash forex get-rich bitcoin-doubler debt credit-fix investment-scam refinance".split(),
+    "piracy": "warez torrent crack keygen serials nulled cracked-games pirate free-movies streams-hd".split(),
+    "ads": "ads adserver banner popunder clicks tracker tracking affiliate pixel adclick".split(),
+    "spam": "spam backlinks link-exchange doorway seo-boost traffic-bot replica fake-watches clickbait malware".split(),
+}
+BLOCK_SECOND = "online free cheap best hot win bonus deals 24 now".split()
+KEEP_TOPICS = {
+    "public": "library museum council university school hospital archive court parliament fire-brigade".split(),
+    "nature": "garden weather forest river mountain birds ocean geology astronomy seeds".split(),
+    "home": "recipes baking knitting woodwork furniture kitchen parenting painting pottery repair".split(),
+    "culture": "theatre novels poetry orchestra film-review history philosophy language letters gallery".split(),
+    "science": "physics chemistry biology medicine statistics mathematics genetics climate robotics software".split(),
+    "places": "travel railway harbour village market maps bridges castles hiking island".split(),
+    "sport": "football cycling swimming chess rowing athletics tennis climbing running skating".split(),
+}
+KEEP_SECOND = "journal notes club society review daily house world guide group".split()
+#: Names that mean nothing, as most hosts are: syllables put together by a rule.
+SYLLABLES = "ba re lo ti nu ka ve mi so du fa li no ter an ing or es al en ur ath on is".split()
+
+
+def labelled() -> list[tuple[str, str, int, str]]:
+    """(host, path, 1 to block, name): the table, the name telling which rows stand and fall together in a held-out test.
+
+    Each topic alone and with two second words before or after it, and names without meaning to keep; subdomains, endings,
+    languages and page numbers are dealt alike to both classes, so that only names tell them apart.
+    """
+    names: list[tuple[str, int]] = []
+    for topics, second, y in ((BLOCK_TOPICS, BLOCK_SECOND, 1), (KEEP_TOPICS, KEEP_SECOND, 0)):
+        for i, topic in enumerate(t for some in topics.values() for t in some):
+            names += [(topic, y), (f"{topic}-{second[i % 10]}", y), (f"{second[(i + 3) % 10]}-{topic}", y)]
+    n = len(SYLLABLES)
+    names += [("".join(SYLLABLES[(7 * i + k * (3 + i // n)) % n] for k in range(2 + i % 3)), 0) for i in range(240)]
     out = []
-    for names, pages, y in ((BLOCKED, BLOCKED_PAGES, 1), (KEPT, KEPT_PAGES, 0)):
-        for i, name in enumerate(names):
-            for j, sub in enumerate(("", "www.", "m.", "blog.")):
-                host = f"{sub}{name}.example.{('com', 'org', 'net')[(i + j) % 3]}"
-                out += [(host, f"/{pages[(i + j) % len(pages)]}", y), (host, f"/{('en', 'de', 'fr', 'es')[j]}/{(37 * i + 251 * j) % 1000}", y)]
+    for i, (name, y) in enumerate(names):
+        for j, sub in enumerate(("", "www.", "m.")):
+            host = f"{sub}{name}.{'example.' * (i % 2)}{('com', 'org', 'net', 'info')[(i // 2 + j) % 4]}"
+            out.append((host, f"/{('en', 'de', 'fr', 'es')[(i + j) % 4]}/{(37 * i + 251 * j) % 1000}", y, name))
     return out
 
 
@@ -52,24 +79,31 @@ def grams(host: str, path: str, size: int) -> np.ndarray:
 
 
 class UrlModel:
-    def __init__(self, rows: list[tuple[str, str, int]], size: int = 1 << 16, ridge: float = 0.002, rounds: int = 300, rate: float = 0.3):
+    """Logistic regression on hashed n-grams: a fixed number of weights. rows: (host, path, 1 to block, ...)."""
+
+    def __init__(self, rows: list[tuple], size: int = 1 << 16, ridge: float = 0.002, rounds: int = 300, rate: float = 0.3):
         self.size = size
-        cells = [grams(h, p, size) for h, p, _ in rows]
+        cells = [grams(r[0], r[1], size) for r in rows]
         y = np.array([r[2] for r in rows], dtype=np.float64)
         columns = np.unique(np.concatenate(cells)) if cells else np.zeros(0, np.int64)
-        x = np.zeros((len(rows), len(columns)))
-        for i, c in enumerate(cells):
-            x[i, np.searchsorted(columns, c)] = 1 / np.sqrt(len(c))
-        w, b = np.zeros(len(columns)), -1.0
+        n = np.array([len(c) for c in cells], np.int64)
+        row, column = np.repeat(np.arange(len(rows)), n), np.searchsorted(columns, np.concatenate([*cells, np.zeros(0, np.int64)]))
+        value = np.repeat(1 / np.sqrt(np.maximum(n, 1)), n)
+        w, b = np.zeros(len(columns)), -1.0  # a name that it knows nothing of is kept
         for _ in range(rounds):
-            s = 1 / (1 + np.exp(-(x @ w + b)))
-            w -= rate * (x.T @ (s - y) / max(1, len(rows)) * 50 + ridge * w)
+            s = 1 / (1 + np.exp(-(np.bincount(row, value * w[column], len(rows)) + b)))
+            w -= rate * (np.bincount(column, value * (s - y)[row], len(columns)) / max(1, len(rows)) * 50 + ridge * w)
         self.bias, self.weights = b, np.zeros(size, np.float32)
         self.weights[columns] = w
 
-    def score(self, host: str, path: str) -> float:
-        c = grams(host, path, self.size)
-        return float(1 / (1 + np.exp(-(self.weights[c].sum() / np.sqrt(len(c)) + self.bias)))) if len(c) else float(1 / (1 + np.exp(-self.bias)))
+    def scores(self, hosts: list[str], paths: list[str]) -> np.ndarray:
+        """The probability that each url should be blocked; each distinct one is worked out once."""
+        at: dict[tuple[str, str], int] = {}
+        which = [at.setdefault(u, len(at)) for u in zip(hosts, paths)]
+        cells = [grams(h, p, self.size) for h, p in at]
+        n = np.array([len(c) for c in cells], np.int64)
+        sums = np.bincount(np.repeat(np.arange(len(n)), n), self.weights[np.concatenate([*cells, np.zeros(0, np.int64)])], len(n))
+        return (1 / (1 + np.exp(-(sums / np.sqrt(np.maximum(n, 1)) + self.bias))))[which] if at else np.zeros(0)
 
 
 def host_of(url: Column) -> Column:
@@ -91,18 +125,21 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def judge_urls(pages: DataFrame, rows: list[tuple[str, str, int]] | None = None, rules=RULES, threshold: float = 0.5) -> DataFrame:
-    """page_id, host, path, rule, verdict, and block_score, the model's probability that the url should be blocked."""
+def judge_urls(pages: DataFrame, rows: list[tuple] | None = None, rules=RULES, threshold: float = 0.5) -> DataFrame:
+    """page_id, host, path, rule, verdict, and block_score, the model's probability that the url should be blocked, null where a rule decides."""
     model = UrlModel(labelled() if rows is None else rows)
 
     @F.pandas_udf("double")
-    def score(host: pd.Series, path: pd.Series) -> pd.Series:
-        return pd.Series([model.score(h, p) for h, p in zip(host, path)], dtype="float64")
+    def score(host: pd.Series, path: pd.Series, rule: pd.Series) -> pd.Series:
+        out, free = np.full(len(host), np.nan), rule.isna().to_numpy()
+        out[free] = model.scores(host[free].tolist(), path[free].tolist())
+        return pd.Series(out)
 
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     url = F.col("url").cast("string")
     known = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
-    known = known.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("fixed"), score("host", "path").alias("block_score"))
+    known = known.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("fixed"))
+    known = known.withColumn("block_score", F.nanvl(score("host", "path", "rule"), F.lit(None).cast("double")))
     own = F.when(F.col("block_score") >= threshold, "block").otherwise("allow")
     return known.select("page_id", "host", "path", "rule", F.coalesce("fixed", own).alias("verdict"), "block_score")
 
