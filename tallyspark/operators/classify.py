@@ -139,7 +139,11 @@ def case_lines(residue: DataFrame, entities: DataFrame, candidates: DataFrame) -
     out = line(codes, "1 FINDINGS", F.col("code"), F.col("code"))
     out = out.unionByName(line(facts, "2 EVIDENCE", F.col("key"), F.concat("key", F.lit(" = "), "value")))
     out = out.unionByName(line(entities, "3 RECORDS", F.concat_ws(":", "kind", "id"), record))
-    return out.unionByName(line(candidates, "4 NEAR MISSES", at, F.concat("kind", F.lit(" "), "id", F.lit(": "), "reason")))
+    why = F.concat("kind", F.lit(" "), "id", F.lit(": "), "reason")
+    if "evidence" in candidates.columns:  # what made it near: amount, difference, reference, date
+        shown = F.transform(F.array_sort(F.map_entries("evidence")), lambda e: F.concat(e["key"], F.lit(" = "), e["value"]))
+        why = F.concat(why, F.lit(" ("), F.array_join(shown, ", "), F.lit(")"))
+    return out.unionByName(line(candidates, "4 NEAR MISSES", at, why))
 
 
 def case_pages(residue: DataFrame, entities: DataFrame, candidates: DataFrame, rows: int = 200) -> DataFrame:

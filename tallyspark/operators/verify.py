@@ -16,9 +16,9 @@ from tallyspark.schemas import CAUSES, DUPLICATE_WINDOW_SECONDS, OPENING_BALANCE
 from tallyspark.sources.shared import stored
 
 
-def _check(name: str, failures: DataFrame, what: Column, checked: DataFrame | None = None) -> DataFrame:
-    """One row: check, passed, failures (how many), detail (the least of them)."""
-    return failures.agg(F.count("*").alias("failures"), F.min(what).alias("detail")).select(F.lit(name).alias("check"), (F.col("failures") == 0).alias("passed"), "failures", F.coalesce("detail", F.lit("")).alias("detail"))
+def _check(name: str, failures: DataFrame, what: Column, times: str | None = None) -> DataFrame:
+    """One row: check, passed, failures (how many; a row counts ``times``), detail (the least of them)."""
+    return failures.agg((F.coalesce(F.sum(times), F.lit(0)) if times else F.count("*")).alias("failures"), F.min(what).alias("detail")).select(F.lit(name).alias("check"), (F.col("failures") == 0).alias("passed"), "failures", F.coalesce("detail", F.lit("")).alias("detail"))
 
 
 def batches(lines: DataFrame) -> DataFrame:
@@ -68,10 +68,10 @@ def check_label_integrity(labels: DataFrame, orders: DataFrame, lines: DataFrame
 
 
 def check_label_leak(labels: DataFrame, **sources: DataFrame) -> DataFrame:
-    """No suspicious header, no cause's name in any raw cell (a status column may hold one), no label note verbatim.
+    """No suspicious header, no cause's name in any raw cell (a status column may hold one), no label note verbatim, inside longer words too. Each cell counts once.
 
-    Notes are compared in two steps: cells are joined on their words to the notes' rarest, that is longest, word, then searched; so neither side is
-    broadcast or crossed whole.
+    Distinct cells are joined with notes on one piece of eight letters (or a shorter note itself), for each note the piece that
+    fewest notes have, and then searched; so neither side is broadcast or crossed whole.
     """
     parts = []
     causes = "|".join(CAUSES)
@@ -80,17 +80,24 @@ def check_label_leak(labels: DataFrame, **sources: DataFrame) -> DataFrame:
         texts = [k for k in df.columns if k != "settlement_status"]
         cells = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("column"), F.col(f"`{k}`").cast("string").alias("cell")) for k in texts))).alias("x")).select(F.lit(name).alias("source"), "x.*").where("cell is not null")
         parts.append((name, heads, cells))
-    cells = reduce(DataFrame.unionByName, [p[2] for p in parts])
-    words = lambda x: F.split(x, r"\W+")
-    longest = F.element_at(F.array_sort(F.transform(words(F.col("note")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-    notes = labels.select("note").where("length(note) > 0").distinct().withColumn("word", longest)
-    told = cells.select("source", "column", "cell", F.explode(F.array_distinct(words(F.col("cell")))).alias("word")).join(notes, "word").where(F.contains("cell", F.col("note"))).select(F.concat_ws(".", "source", "column").alias("at"))
-    named = cells.where(F.upper("cell").rlike(causes)).select(F.concat_ws(".", "source", "column").alias("at"))
-    bad = told.unionByName(named)
-    heads = [(f"{n}: header {h}",) for n, hs, _ in parts for h in hs]
+    cells = stored(reduce(DataFrame.unionByName, [p[2] for p in parts]).groupBy("source", "column", "cell").agg(F.count("*").alias("n")))
+    size = 8
+    pieces = lambda text, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))
+    notes = labels.select("note").where("length(note) > 0").distinct()
+    long = notes.where(F.length("note") >= size).select("note", F.explode(pieces(F.col("note"), size)).alias("piece"))
+    spread = long.join(long.groupBy("piece").agg(F.count("*").alias("notes")), "piece")
+    keyed = stored(spread.groupBy("note").agg(F.min_by("piece", F.struct("notes", "piece")).alias("piece")).unionByName(notes.where(F.length("note") < size).select("note", F.col("note").alias("piece"))))
+    sizes = [r.n for r in keyed.select(F.length("piece").alias("n")).distinct().collect()]  # at most eight
+    told = []
+    for n in sizes:
+        cut = cells.where(F.length("cell") >= n).select("source", "column", "cell", "n", F.explode(pieces(F.col("cell"), n)).alias("piece"))
+        told.append(cut.join(keyed, "piece").where(F.contains("cell", F.col("note"))).select("source", "column", "cell", "n"))
+    named = cells.where(F.upper("cell").rlike(causes))
+    bad = reduce(DataFrame.unionByName, [named, *told]).distinct().select(F.concat_ws(".", "source", "column").alias("at"), "n")
+    heads = [(f"{n}: header {h}", 1) for n, hs, _ in parts for h in hs]
     if heads:
-        bad = bad.unionByName(labels.sparkSession.createDataFrame(heads, "at string"))
-    return _check("nothing of the labels is in the sources", bad, F.col("at"))
+        bad = bad.unionByName(labels.sparkSession.createDataFrame(heads, "at string, n long"))
+    return _check("nothing of the labels is in the sources", bad, F.col("at"), "n")
 
 
 def check_chronological(name: str, df: DataFrame, at: str, seq: str) -> DataFrame:

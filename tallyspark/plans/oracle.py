@@ -135,8 +135,18 @@ base AS (
     WHEN bool_or(code = 'DUPLICATE_ORDER_PAIR') THEN 'DUPLICATE_WEBHOOK'
     WHEN bool_or(code = 'SETTLEMENT_DELAY') THEN CASE WHEN min_by(day_delta, CASE WHEN code = 'SETTLEMENT_DELAY' THEN finding_id END) >= 4 THEN 'LATE_SETTLEMENT' ELSE 'INSUFFICIENT_EVIDENCE' END
     ELSE 'INSUFFICIENT_EVIDENCE' END AS cause,
+    bool_or(code = 'ORPHAN_SETTLEMENT_LINE') AS orphan, bool_or(code = 'SETTLEMENT_DELAY') AS late, bool_or(code = 'ORDER_WITHOUT_SETTLEMENT') AS open,
     CASE WHEN bool_or(code IN ('ORPHAN_SETTLEMENT_LINE', 'SETTLEMENT_DELAY', 'ORDER_WITHOUT_SETTLEMENT')) THEN 0.3 ELSE 0.2 END AS unsure
   FROM cases LEFT JOIN delta ON cases.finding_id = 'SETTLEMENT_DELAY:' || delta.line_id GROUP BY residue_id
+), amt AS (
+  SELECT c.residue_id, coalesce(min_by(g.net, f.key) FILTER (WHERE c.code = 'SETTLEMENT_ON_HOLD'), min_by(g.net, f.key) FILTER (WHERE g.net IS NOT NULL)) AS held, max(bk.credit) AS ghost,
+    min_by(p.ordered - p.amount, f.key) FILTER (WHERE c.code = 'SHORT_CAPTURE') AS short,
+    min_by(p.fee + p.tax - (p.amount * p.bp + 5000) // 10000 - (((p.amount * p.bp + 5000) // 10000) * 18 + 50) // 100, f.key) FILTER (WHERE c.code = 'FEE_SLAB_MISMATCH') AS fee,
+    min_by(l.debit, f.key) FILTER (WHERE c.code = 'ORPHAN_SETTLEMENT_LINE') AS debit
+  FROM cases c JOIN (SELECT DISTINCT finding_id, split_part(finding_id, ':', 2) AS key FROM fe) f USING (finding_id)
+  LEFT JOIN g ON g.settlement_id = f.key LEFT JOIN bk ON bk.bank_txn_id = f.key AND c.code = 'BANK_CREDIT_WITHOUT_SETTLEMENT' LEFT JOIN pj p ON p.entity_id = f.key LEFT JOIN ln l ON l.entity_id = f.key GROUP BY c.residue_id
+), said AS (
+  SELECT v.*, CAST(CASE v.cause WHEN 'ON_HOLD' THEN held WHEN 'UNEXPLAINED' THEN ghost WHEN 'PARTIAL_CAPTURE' THEN short WHEN 'FEE_VARIANCE' THEN fee WHEN 'CHARGEBACK_DEBIT' THEN debit END AS BIGINT) AS amount FROM verdict v JOIN amt USING (residue_id)
 ), lab AS (
   SELECT 'payment' AS record_type, entity_id AS record_id, CASE WHEN key % 37 = 0 THEN 'PARTIAL_CAPTURE' WHEN key % 41 = 0 THEN 'FEE_VARIANCE' ELSE 'LATE_SETTLEMENT' END AS true_cause
   FROM bare WHERE type = 'payment' AND key % 101 <> 0 AND (key % 37 = 0 OR key % 41 = 0 OR key % 43 = 0)

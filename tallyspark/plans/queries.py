@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.functions import cells as c
 from tallyspark.operators import assemble as a
@@ -21,9 +23,30 @@ from tallyspark.operators import settlements as st
 from tallyspark.operators import verify as vf
 from tallyspark.plans.oracle import at, sql
 from tallyspark.plans.reconcile import reconcile, unreconciled_batches
-from tallyspark.schemas import CAUSES, CODES, INSUFFICIENT
+from tallyspark.schemas import (
+    ACTION_CHARGEBACK,
+    ACTION_DUPLICATE,
+    ACTION_FEE,
+    ACTION_HOLD,
+    ACTION_LATE,
+    ACTION_NORMAL,
+    ACTION_OPEN,
+    ACTION_REFUND,
+    ACTION_SHORT,
+    ACTION_STATUS,
+    ACTION_UNEXPLAINED,
+    CAUSES,
+    CODES,
+    INSUFFICIENT,
+    NEAR_BANK,
+    NEAR_BATCH,
+    PARENT,
+    TWIN_SETTLED,
+    TWIN_UNSETTLED,
+)
+from tallyspark.sources import files
 from tallyspark.sources import ledger as L
-from tallyspark.sources.shared import stored
+from tallyspark.sources.shared import shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,7 +82,7 @@ def portable(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-_made: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_made: dict[tuple, dict[str, DataFrame]] = {}
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -67,8 +90,10 @@ def ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def result(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """One reconciliation of a folder for each Spark application; the queries on its tables share it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """One reconciliation for each Spark application and state of a folder's files; the queries on its tables share it, so the first of them bears its cost."""
+    tables = [spark.read.format("binaryFile").load(f"{sf_dir}/{t}.parquet").select("path", "modificationTime", "length") for t in ("orders", "lineitem")]
+    state = tables[0].unionByName(tables[1]).agg(F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()[0]
+    key = (spark.sparkContext.applicationId, sf_dir, state)
     if key not in _made:
         tables = reconcile(*ledger(spark, sf_dir))
         for name in ("residue", "findings", "finding_entities", "residue_candidates"):
@@ -88,9 +113,162 @@ def _(s, d):
     return unreconciled_batches(L.lines(s, d), L.bank(s, d))
 
 
+# --- A: files, each written to the shared folder and read back --------------------------------------------------------
+
+_RAW_ID = "CASE WHEN {0} IS NULL THEN '' WHEN {1} % 13 = 0 THEN '  ' || upper({0}) || chr(9) ELSE {0} END AS {0}"
+_ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%SZ') AS {1}"
+
+
+def _through_csv(raw: DataFrame, read) -> DataFrame:
+    path = shared_dir(raw.sparkSession)
+    files.write_csv(raw, path)
+    return read(raw.sparkSession, path)
+
+
+@query("a1_read_orders_csv", f"SELECT {_RAW_ID.format('order_id', 'n')}, CAST(amount AS VARCHAR) AS amount_paise, 'INR' AS currency, {_ISO.format('created', 'created_at')}, status FROM (SELECT *, CAST(regexp_extract(order_id, '([0-9]+)$', 1) AS BIGINT) AS n FROM o)")
+def _(s, d):
+    return _through_csv(L.raw_orders(s, d), files.read_orders_csv)
+
+
+@query("a1_read_settlement_csv", f"SELECT {', '.join(_RAW_ID.format(k, 'key') for k in ('entity_id', 'order_id', 'payment_id', 'settlement_id'))}, type, coalesce(method, '') AS method, CASE WHEN type <> 'adjustment' THEN 'INR' ELSE '' END AS currency, CAST(debit AS VARCHAR) AS debit_paise, CAST(credit AS VARCHAR) AS credit_paise, CAST(amount AS VARCHAR) AS amount_paise, CAST(fee AS VARCHAR) AS fee_paise, CAST(tax AS VARCHAR) AS tax_paise, {_ISO.format('settled', 'settled_at')}, utr AS settlement_utr, settlement_status, CAST(stated AS VARCHAR) AS settlement_net_amount_paise, CAST(sfee AS VARCHAR) AS settlement_fee_paise, CAST(stax AS VARCHAR) AS settlement_tax_paise, {_ISO.format('settled', 'settlement_created_at')} FROM ln")
+def _(s, d):
+    return _through_csv(L.raw_lines(s, d), files.read_settlement_csv)
+
+
+@query("a1_read_bank_csv", "SELECT CASE WHEN CAST(substr(bank_txn_id, 4) AS BIGINT) % 13 = 0 THEN '  ' || upper(bank_txn_id) || chr(9) ELSE bank_txn_id END AS bank_txn_id, CASE WHEN day(value_date) % 2 = 1 THEN strftime(value_date, '%d/%m/%Y') ELSE strftime(value_date, '%Y-%m-%d') END AS value_date, description, CAST(credit AS VARCHAR) AS credit, '' AS debit, CAST(balance AS VARCHAR) AS running_balance FROM bal")
+def _(s, d):
+    back = _through_csv(L.raw_bank(s, d), files.read_bank_csv)
+    plain = lambda k: F.regexp_replace(k, "[,.]", "").cast("bigint").cast("string")  # noqa: E731  grouping is tested by b12 and b15
+    return back.withColumn("credit", plain("credit")).withColumn("running_balance", plain("running_balance"))
+
+
+@query("a2_write_csv", "SELECT order_id, 'a \"q\" ' || status || chr(10) || ', b ' AS cell FROM o")
+def _(s, d):
+    path = shared_dir(s)
+    files.write_csv(L.orders(s, d).select("order_id", F.concat(F.lit('a "q" '), "status", F.lit("\n, b ")).alias("cell")), path)
+    return s.read.csv(path, header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+@query("a3_read_labels_json", "SELECT record_type, record_id, true_cause, 'planted on ' || record_id AS note FROM lab")
+def _(s, d):
+    path, lab = shared_dir(s), L.labels(s, d)
+    part = F.pmod(F.xxhash64("record_id"), F.lit(64))  # a file holds one array, so labels are dealt over several
+    arrays = lab.groupBy(part.alias("part")).agg(F.to_json(F.collect_list(F.struct(*lab.columns))).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    return files.read_labels_json(s, path)
+
+
+def _logged(s, d) -> tuple[DataFrame, DataFrame]:
+    """Rows appended in two goes, and between them lines torn off and lines without a case."""
+    path, o = shared_dir(s), L.orders(s, d).select(F.col("order_id").alias("residue_id"), "status", F.col("amount_paise").alias("latency_ms"))
+    files.append_jsonl(o.where("status = 'paid'"), path)
+    files.append_jsonl(o.where("status != 'paid'"), path)
+    torn = F.concat(F.lit('{"residue_id":"'), "residue_id", F.when(F.col("status") == "pending", F.lit("")).otherwise(F.lit('","sta')))
+    o.where("status != 'paid'").select(torn.alias("value")).union(o.where("status = 'pending'").select(F.lit('{"status":"ok"}'))).write.mode("append").text(path)
+    return files.read_jsonl_tolerant(s, path, T.StructType([T.StructField("residue_id", T.StringType()), T.StructField("status", T.StringType()), T.StructField("latency_ms", T.LongType())]))
+
+
+@query("a4_read_jsonl_torn", """SELECT '{"residue_id":"' || order_id || CASE status WHEN 'pending' THEN '' ELSE '","sta' END AS line FROM o WHERE status <> 'paid' UNION ALL SELECT '{"status":"ok"}' FROM o WHERE status = 'pending'""")
+def _(s, d):
+    return _logged(s, d)[1]
+
+
+@query("a7_append_jsonl", "SELECT order_id AS residue_id, status, amount AS latency_ms FROM o")
+def _(s, d):
+    return _logged(s, d)[0]
+
+
+@query("a6_write_normalize_log", "SELECT 'orders' AS source, count(*) AS rows FROM o UNION ALL SELECT 'settlement_report', count(*) FROM ln UNION ALL SELECT 'bank_statement', count(*) FROM bk")
+def _(s, d):
+    path = shared_dir(s)
+    files.write_normalize_log({"rows_by_source": nm.rows_by_source(L.raw_orders(s, d), L.raw_lines(s, d), L.raw_bank(s, d))}, path)
+    return s.read.json(f"{path}/rows_by_source")
+
+
 # --- B: normalisation ------------------------------------------------------------------------------------------------
 
 
+def _odd(*cells: Column) -> Column:
+    """One of some odd forms of a cell, by the order's key."""
+    out = cells[-1]
+    for i, x in enumerate(cells[:-1]):
+        out = F.when(F.col("o_orderkey") % len(cells) == i, x).otherwise(out)
+    return out
+
+
+def _cells(s, d, *cells: Column) -> DataFrame:
+    return s.read.parquet(f"{d}/orders.parquet").withColumn("k", F.col("o_orderkey").cast("string")).withColumn("p", F.round(F.col("o_totalprice") * 100).cast("bigint")).select("o_orderkey", _odd(*cells).alias("cell"))
+
+
+def _case(*values: str) -> str:
+    return f"CASE o_orderkey % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+@query("b1_normalize_id", f"SELECT o_orderkey, {_case("'order_' || o_orderkey", "'a b' || o_orderkey", "''", "'x' || o_orderkey")} AS value FROM orders")
+def _(s, d):
+    cell = _cells(s, d, F.concat(F.lit(" \u00a0ORDER_"), "k", F.lit("\t\u3000")), F.concat(F.lit("A b"), "k"), F.lit(" \n"), F.concat(F.lit("\ufeffX"), "k"))
+    return cell.select("o_orderkey", c.normalize_id("cell").alias("value"))
+
+
+_DAY = "strftime(o_orderdate, '%Y-%m-%d')"
+
+
+@query("b2_normalize_date", f"SELECT o_orderkey, {_case(_DAY, _DAY, 'NULL', 'NULL', 'NULL', _DAY)} AS value FROM orders")
+def _(s, d):
+    o = s.read.parquet(f"{d}/orders.parquet")
+    form = lambda f: F.date_format("o_orderdate", f)
+    cell = _odd(form("dd/MM/yyyy"), form("yyyy-MM-dd"), F.concat(F.lit("31/02/"), form("yyyy")), form("yyyy/MM/dd"), F.concat(form("yyyy-MM-dd"), F.lit("x")), F.concat(F.lit(" "), form("dd/MM/yyyy"), F.lit("\t")))
+    return o.select("o_orderkey", cell.alias("cell")).select("o_orderkey", c.normalize_date("cell").alias("value"))
+
+
+_AT = "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"
+
+
+@query("b3_normalize_timestamp", f"SELECT o_orderkey, {_case(_AT, 'NULL', 'NULL', _AT, 'NULL')} AS value FROM orders")
+def _(s, d):
+    form = lambda f: F.date_format("o_orderdate", f)
+    cell = _odd(form("yyyy-MM-dd'T'HH:mm:ss'Z'"), form("yyyy-MM-dd'T'HH:mm:ss"), form("yyyy-MM-dd'T'HH:mm:ss'+00:00'"), F.concat(F.lit(" "), form("yyyy-MM-dd'T'HH:mm:ss'Z'")), F.concat(form("yyyy-MM"), F.lit("-31T25:00:00Z")))
+    return s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", cell.alias("cell")).select("o_orderkey", c.normalize_timestamp("cell").alias("value"))
+
+
+_P = "CAST(round(o_totalprice * 100) AS BIGINT)"
+
+
+def _amounts(s, d) -> DataFrame:
+    whole, rest = F.expr("p div 100").cast("string"), F.lpad((F.col("p") % 100).cast("string"), 2, "0")
+    exact = F.concat(whole, F.lit("."), rest)
+    return _cells(s, d, F.concat(F.lit(" "), exact), F.concat(F.lit("-"), exact), F.concat(whole, F.lit(".")), F.concat(exact, F.lit("9")), F.lit(""), F.concat(exact, F.lit("x")), F.concat(F.lit("1,"), F.lpad(F.expr("p div 100").cast("string"), 9, "0"), F.lit(".5")))
+
+
+@query("b4_parse_paise", f"SELECT o_orderkey, {_case(_P, f'-{_P}', f'{_P} // 100 * 100', _P, '0', 'NULL', f'100000000000 + {_P} // 100 * 100 + 50')} AS value FROM orders")
+def _(s, d):
+    return _amounts(s, d).select("o_orderkey", c.parse_paise("cell").alias("value"))
+
+
+@query("b5_parse_indian_rupees", f"SELECT o_orderkey, {_case(_P, f'-{_P}', 'NULL', 'NULL', '0', 'NULL', f'100000000000 + {_P} // 100 * 100 + 50')} AS value FROM orders")
+def _(s, d):
+    return _amounts(s, d).select("o_orderkey", c.parse_indian_rupees("cell").alias("value"))
+
+
+@query("b6_parse_integer_paise", f"SELECT o_orderkey, {_case(_P, f'-{_P}', 'NULL', 'NULL', 'NULL')} AS value FROM orders")
+def _(s, d):
+    p = F.col("p").cast("string")
+    return _cells(s, d, F.concat(F.lit(" "), p), F.concat(F.lit("-"), p), F.concat(p, F.lit(".0")), F.lit(""), F.concat(F.lit("1,"), p)).select("o_orderkey", c.parse_integer_paise("cell").alias("value"))
+
+
+_UTR = "lpad(CAST(o_orderkey AS VARCHAR), 12, '7')"
+
+
+@query("b7_extract_utr", f"SELECT o_orderkey, {_case(_UTR, _UTR, _UTR, _UTR, 'NULL', 'NULL', _UTR)} AS utr, {_case(*(f"'{x}'" for x, _ in c.DESCRIPTION_FORMATS), "'UNKNOWN_FORMAT'", 'NULL', 'NULL', "'UNKNOWN_FORMAT'")} AS format FROM orders")
+def _(s, d):
+    utr = F.lpad("k", 12, "7")
+    before_after = [re.match(r"\^(.*)\(\\d\{12\}\)(.*)\$", p).groups() for _, p in c.DESCRIPTION_FORMATS]
+    forms = [F.concat(F.lit(a), utr, F.lit(b)) for a, b in before_after]
+    cell = _cells(s, d, *forms, F.concat(F.lit("ref "), utr, F.lit(" ok")), F.concat(utr, F.lit("1")), F.concat(F.lit("UPI/"), "k", F.lit("/x")), F.concat(F.lit("a"), utr, F.lit("b 12")))
+    got = c.extract_utr("cell")
+    return cell.select("o_orderkey", got["utr"].alias("utr"), got["format"].alias("format"))
+
+
 @query("b8_normalize_orders", f"SELECT order_id, amount AS amount_paise, 'INR' AS currency, {at('created', 'created_at')}, status FROM o")
 def _(s, d):
     return nm.quarantine(nm.normalize_orders(L.raw_orders(s, d)))[0].drop("raw")
@@ -332,6 +510,13 @@ def _(s, d):
     return st.reconciled(tied(s, d))
 
 
+@query("e1_raw_headers", """SELECT settlement_id, min_by(CASE WHEN key % 13 = 0 THEN '  ' || upper(settlement_id) || chr(9) ELSE settlement_id END, (settled, settlement_id, entity_id)) AS raw_settlement_id, any_value(utr) AS raw_utr, any_value(settlement_status) AS raw_status, CAST(any_value(stated) AS VARCHAR) AS raw_net, strftime(any_value(settled), '%Y-%m-%dT%H:%M:%SZ') AS raw_created_at FROM ln GROUP BY settlement_id""")
+def _(s, d):
+    raw = F.col("raw")
+    groups = st.group_settlements(nm.quarantine(nm.normalize_lines(L.raw_lines(s, d)))[0])
+    return groups.select("settlement_id", raw["settlement_id"].alias("raw_settlement_id"), raw["settlement_utr"].alias("raw_utr"), raw["settlement_status"].alias("raw_status"), raw["settlement_net_amount_paise"].alias("raw_net"), raw["settlement_created_at"].alias("raw_created_at"))
+
+
 # --- F: delay --------------------------------------------------------------------------------------------------------
 
 _DELTA = f"order_id, line_id, day_delta, {at('created', 'created_at')}, {at('settled', 'settled_at')}, settlement_id, amount AS amount_paise, method"
@@ -377,9 +562,14 @@ def _(s, d):
     return a.connected_components(e.join(heads, "finding_id").select(F.col("head").alias("src"), F.col("key").alias("dst")))
 
 
-@query("g5_residue_entities", "SELECT residue_id, kind, id, CAST(amount AS BIGINT) AS amount_paise FROM rea")
+@query("g5_residue_entities", """SELECT rea.residue_id, rea.kind, rea.id, CAST(rea.amount AS BIGINT) AS amount_paise, CASE rea.kind WHEN 'order' THEN o.status || '|' || strftime(o.created, '%Y-%m-%d') WHEN 'settlement_line' THEN ln.type || '|' || ln.settlement_id || '|' || ln.fee || '|' || ln.tax
+    WHEN 'bank_txn' THEN bk.utr || '|' || bk.format ELSE g.utr || '|' || g.status || '|' || g.stated || '|' || g.line_count END AS told FROM rea LEFT JOIN o ON rea.kind = 'order' AND o.order_id = rea.id
+  LEFT JOIN ln ON rea.kind = 'settlement_line' AND ln.entity_id = rea.id LEFT JOIN bk ON rea.kind = 'bank_txn' AND bk.bank_txn_id = rea.id LEFT JOIN g ON rea.kind = 'settlement' AND g.settlement_id = rea.id""")
 def _(s, d):
-    return result(s, d)["residue_entities"].select("residue_id", "kind", "id", "amount_paise")
+    cell = lambda k: F.get_json_object("normalized", f"$.{k}")
+    told = F.when(F.col("kind") == "order", F.concat_ws("|", cell("status"), F.substring(cell("created_at"), 1, 10))).when(F.col("kind") == "settlement_line", F.concat_ws("|", cell("type"), cell("settlement_id"), cell("fee_paise"), cell("tax_paise")))
+    told = told.when(F.col("kind") == "bank_txn", F.concat_ws("|", cell("utr"), cell("description_format"))).otherwise(F.concat_ws("|", cell("utr"), cell("status"), cell("stated_net_paise"), cell("line_count")))
+    return result(s, d)["residue_entities"].select("residue_id", "kind", "id", "amount_paise", told.alias("told"))
 
 
 @query("g6_residue_evidence", """SELECT residue_id, 'day_delta' AS key, CAST(min_by(day_delta, finding_id) AS VARCHAR) AS value FROM cases JOIN delta ON finding_id = 'SETTLEMENT_DELAY:' || line_id GROUP BY residue_id
@@ -390,14 +580,19 @@ def _(s, d):
     return e.where(F.col("key").isin("day_delta", "SETTLEMENT_DELAY.day_delta", "shortfall_paise"))
 
 
-@query("g7_residue_candidates", """, cand AS (
-  SELECT 'DUPLICATE_ORDER_PAIR:' || group_id AS finding_id, 'order' AS kind, order_id AS id FROM seen WHERE group_id IS NOT NULL
-  UNION ALL SELECT 'ORPHAN_SETTLEMENT_LINE:' || r.entity_id, 'settlement_line', p.entity_id FROM oref r JOIN (SELECT *, row_number() OVER (PARTITION BY amount ORDER BY settled, settlement_id, entity_id) AS k FROM ln WHERE type = 'payment') p ON p.amount = r.amount AND p.k <= 5
-  UNION ALL SELECT code || ':' || settlement_id, 'bank_txn', id FROM (SELECT f.code, f.settlement_id, bk.bank_txn_id AS id, row_number() OVER (PARTITION BY f.settlement_id ORDER BY abs(credit - net), bk.bank_txn_id) AS k FROM failed f JOIN g USING (settlement_id) JOIN bk ON abs(credit - net) <= 50000 WHERE f.bank_txn_id IS NULL) WHERE k <= 5
-  UNION ALL SELECT 'BANK_CREDIT_WITHOUT_SETTLEMENT:' || bank_txn_id, 'settlement', settlement_id FROM (SELECT bank_txn_id, settlement_id, row_number() OVER (PARTITION BY bank_txn_id ORDER BY abs(credit - net), settlement_id) AS k FROM ghost JOIN g ON abs(credit - net) <= 50000) WHERE k <= 5
-) SELECT DISTINCT residue_id, kind, id FROM cand JOIN cases USING (finding_id)""")
+@query("g7_residue_candidates", f""", cand AS (
+  SELECT 'DUPLICATE_ORDER_PAIR:' || group_id AS finding_id, 1 AS stage, '0:' || group_id AS place, row_number() OVER (PARTITION BY group_id ORDER BY order_id) AS k, 'order' AS kind, order_id AS id, CASE WHEN line_id IS NULL THEN '{TWIN_UNSETTLED}' ELSE '{TWIN_SETTLED}' END AS reason,
+    'amount_paise=' || amount || ',created_at=' || strftime(created, '%Y-%m-%dT%H:%M:%SZ') || ',status=' || status AS shown FROM seen WHERE group_id IS NOT NULL
+  UNION ALL SELECT 'ORPHAN_SETTLEMENT_LINE:' || r.entity_id, 2, '0:' || r.entity_id, p.k, 'settlement_line', p.entity_id, '{PARENT}', 'amount_paise=' || p.amount || ',order_id=' || p.order_id || ',settled_at=' || strftime(p.settled, '%Y-%m-%dT%H:%M:%SZ') || ',settlement_id=' || p.settlement_id
+    FROM oref r JOIN (SELECT *, row_number() OVER (PARTITION BY amount ORDER BY settled, settlement_id, entity_id) AS k FROM ln WHERE type = 'payment') p ON p.amount = r.amount AND p.k <= 5
+  UNION ALL SELECT code || ':' || settlement_id, 3, '0:' || settlement_id, k, 'bank_txn', id, '{NEAR_BANK}', shown FROM (SELECT f.code, f.settlement_id, bk.bank_txn_id AS id, row_number() OVER (PARTITION BY f.settlement_id ORDER BY abs(credit - net), bk.bank_txn_id) AS k,
+    'credit_paise=' || credit || ',delta_paise=' || (credit - net) || ',utr=' || bk.utr || ',value_date=' || strftime(value_date, '%Y-%m-%d') AS shown FROM failed f JOIN g USING (settlement_id) JOIN bk ON abs(credit - net) <= 50000 WHERE f.bank_txn_id IS NULL) WHERE k <= 5
+  UNION ALL SELECT 'BANK_CREDIT_WITHOUT_SETTLEMENT:' || bank_txn_id, 3, '1:' || bank_txn_id, k, 'settlement', settlement_id, '{NEAR_BATCH}', shown FROM (SELECT bank_txn_id, settlement_id, row_number() OVER (PARTITION BY bank_txn_id ORDER BY abs(credit - net), settlement_id) AS k,
+    'delta_paise=' || (credit - net) || ',expected_net_paise=' || net || ',settled_at=' || strftime(g.settled, '%Y-%m-%dT%H:%M:%SZ') || ',utr=' || g.utr AS shown FROM ghost JOIN g ON abs(credit - net) <= 50000) WHERE k <= 5
+) SELECT residue_id, kind, id, reason, CAST(arg_min(k, (stage, place, k)) AS BIGINT) AS rank, arg_min(shown, (stage, place, k)) AS shown FROM cand JOIN cases USING (finding_id) GROUP BY residue_id, kind, id, reason""")
 def _(s, d):
-    return result(s, d)["residue_candidates"].select("residue_id", "kind", "id").distinct()
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("evidence")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return result(s, d)["residue_candidates"].select("residue_id", "kind", "id", "reason", F.col("first.rank").cast("bigint").alias("rank"), shown.alias("shown"))
 
 
 @query("g8_residue_findings", "SELECT residue_id, string_agg(DISTINCT code, ',' ORDER BY code) AS finding_types, count(DISTINCT finding_id) AS n_findings, (SELECT count(*) FROM re WHERE re.residue_id = cases.residue_id) AS n_entities FROM cases GROUP BY residue_id")
@@ -433,11 +628,25 @@ def _(s, d):
     return result(s, d)["metrics"]
 
 
-@query("g13_partition_audit", "SELECT kind, id, '' AS problem FROM owned WHERE false")
+@query("g13_partition_audit", """, input AS (
+  SELECT 'order' AS kind, order_id AS id FROM o UNION SELECT 'settlement_line', entity_id FROM ln UNION SELECT 'settlement', settlement_id FROM ln UNION SELECT 'bank_txn', bank_txn_id FROM bk
+), placed AS (
+  SELECT 'order' AS kind, order_id AS id, 'm' AS bucket FROM matched WHERE type = 'payment' AND order_id IS NOT NULL UNION SELECT 'settlement_line', entity_id, 'm' FROM matched UNION SELECT 'settlement', settlement_id, 'm' FROM rec UNION SELECT 'bank_txn', bank_txn_id, 'm' FROM rec
+  UNION SELECT 'order', order_id, 'e' FROM excl UNION SELECT kind, id, residue_id FROM re
+) SELECT coalesce(i.kind, p.kind) AS kind, coalesce(i.id, p.id) AS id, CASE WHEN i.id IS NULL THEN 'not in the input' WHEN p.n IS NULL THEN 'unaccounted for' ELSE 'more than once' END AS problem
+  FROM input i FULL JOIN (SELECT kind, id, count(*) AS n FROM placed GROUP BY kind, id) p ON p.kind = i.kind AND p.id = i.id WHERE i.id IS NULL OR p.n IS NULL OR p.n > 1""")
 def _(s, d):
     return result(s, d)["audit"]
 
 
+@query("a5_write_match_result", "SELECT 'matched' AS part, count(*) AS rows FROM matched UNION ALL SELECT 'residue', count(*) FROM val UNION ALL SELECT 'excluded', count(*) FROM excl")
+def _(s, d):
+    path, r = shared_dir(s), result(s, d)
+    files.write_match_result({k: r[k] for k in ("matched", "residue", "excluded")}, path)
+    counts = [s.read.parquet(f"{path}/{k}").agg(F.count("*").alias("rows")).select(F.lit(k).alias("part"), "rows") for k in ("matched", "residue", "excluded")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 @query("g14_reconcile", "SELECT 'matched' AS part, count(*) AS rows FROM matched UNION ALL SELECT 'excluded', count(*) FROM excl UNION ALL SELECT 'residue', count(*) FROM val UNION ALL SELECT 'residue_entities', count(*) FROM re UNION ALL SELECT 'reconciled', count(*) FROM rec UNION ALL SELECT 'findings', count(DISTINCT finding_id) FROM fe")
 def _(s, d):
     r = reconcile(*ledger(s, d))
@@ -453,9 +662,13 @@ def _(s, d):
 _CONF = "CASE v.cause WHEN 'ON_HOLD' THEN 0.95 WHEN 'DUPLICATE_WEBHOOK' THEN 0.85 WHEN 'LATE_SETTLEMENT' THEN 0.85 WHEN 'INSUFFICIENT_EVIDENCE' THEN v.unsure ELSE 0.9 END"
 
 
-@query("h1_rule_verdict", f"SELECT residue_id, cause, CAST({_CONF} AS DOUBLE) AS confidence FROM verdict v")
+_ACTION = f"""CASE v.cause WHEN 'ON_HOLD' THEN '{ACTION_HOLD}' WHEN 'UNEXPLAINED' THEN '{ACTION_UNEXPLAINED}' WHEN 'SILENT_UPI_FAIL' THEN '{ACTION_STATUS}' WHEN 'PARTIAL_CAPTURE' THEN '{ACTION_SHORT}' WHEN 'FEE_VARIANCE' THEN '{ACTION_FEE[0]}' || amount || '{ACTION_FEE[1]}'
+  WHEN 'CHARGEBACK_DEBIT' THEN '{ACTION_CHARGEBACK}' WHEN 'REFUND_NETTED' THEN '{ACTION_REFUND}' WHEN 'DUPLICATE_WEBHOOK' THEN '{ACTION_DUPLICATE}' WHEN 'LATE_SETTLEMENT' THEN '{ACTION_LATE}' ELSE CASE WHEN orphan THEN NULL WHEN late THEN '{ACTION_NORMAL}' WHEN open THEN '{ACTION_OPEN}' END END""".replace("merchant's", "merchant''s")
+
+
+@query("h1_rule_verdict", f"SELECT residue_id, cause, CAST({_CONF} AS DOUBLE) AS confidence, {_ACTION} AS action, amount AS amount_paise FROM said v")
 def _(s, d):
-    return cl.rule_verdict(result(s, d)["residue"]).select("residue_id", "cause", "confidence")
+    return cl.rule_verdict(result(s, d)["residue"]).select("residue_id", "cause", "confidence", "action", "amount_paise")
 
 
 @query("h2_rules_classification", f"SELECT residue_id, 'ok' AS status, v.cause AS predicted_cause, CAST({_CONF} AS DOUBLE) AS confidence, CAST(v.cause = 'INSUFFICIENT_EVIDENCE' AS BIGINT) AS requires_human_review FROM verdict v")
@@ -515,6 +728,21 @@ def _(s, d):
     return cl.pending_cases(r["residue"], _with_status(r["records"]), retry_failed=True).select("residue_id")
 
 
+@query("h8_assert_single_provider", f"""SELECT 'mixed' AS records, 'records of another provider: ' || string_agg('other/m' || h || ' (' || n || ')', ', ' ORDER BY h) AS said FROM (SELECT substr(residue_id, 5, 1) AS h, count(*) AS n FROM verdict WHERE substr(residue_id, 5, 1) < '3' GROUP BY h)
+  UNION ALL SELECT 'rules alone', '' FROM (SELECT count(*) AS n FROM verdict) WHERE n > 0""")
+def _(s, d):
+    rules, h = result(s, d)["records"], F.substring("residue_id", 5, 1)
+    mixed = rules.withColumn("model", F.when(h < "3", F.concat(F.lit("m"), h)).otherwise(F.col("model"))).withColumn("provider", F.when(h < "3", "other").otherwise(F.col("provider")))
+    said = []
+    for name, records in (("mixed", mixed), ("rules alone", rules)):
+        try:
+            cl.assert_single_provider(records, cl.RULES_NAME, cl.RULES_MODEL)
+            said.append((name, ""))
+        except ValueError as e:
+            said.append((name, str(e)))
+    return s.createDataFrame(said, "records string, said string")
+
+
 @query("h9_compact_classifications", "SELECT residue_id, CAST(2 AS BIGINT) AS seq FROM verdict WHERE substr(residue_id, 5, 1) <> '0'")
 def _(s, d):
     r = _with_status(result(s, d)["records"])
@@ -529,6 +757,17 @@ def _(s, d):
     return cl.ambiguity_rank(result(s, d)["residue"]).select("residue_id", "rank")
 
 
+_RANKED = ORACLES["h10_ambiguity_rank"]
+
+
+@query("h10_hardest_cases")
+def _(s, d):
+    return cl.ambiguity_rank(result(s, d)["residue"], limit=100).select("residue_id", "rank")
+
+
+ORACLES["h10_hardest_cases"] = _RANKED + " ORDER BY rank DESC, residue_id LIMIT 100"
+
+
 @query("h11_classification_summary", "SELECT 'cause' AS measure, cause AS key, count(*) AS n FROM verdict GROUP BY cause UNION ALL SELECT 'status', 'ok', count(*) FROM verdict UNION ALL SELECT 'gate_forced', 'false', count(*) FROM verdict UNION ALL SELECT 'review', CASE WHEN cause = 'INSUFFICIENT_EVIDENCE' THEN 'true' ELSE 'false' END, count(*) FROM verdict GROUP BY ALL")
 def _(s, d):
     return cl.classification_summary(result(s, d)["records"])
@@ -550,9 +789,10 @@ def _(s, d):
     return vf.check_one_credit_per_batch(L.lines(s, d), L.bank(s, d)).select(F.col("passed").cast("bigint").alias("passed"), "failures")
 
 
-@query("i3_check_running_balance", "SELECT CAST(1 AS BIGINT) AS passed, CAST(0 AS BIGINT) AS failures")
+@query("i3_check_running_balance", "SELECT CAST(count(*) = 0 AS BIGINT) AS passed, count(*) AS failures FROM bal WHERE day(value_date) = 7")
 def _(s, d):
-    return vf.check_running_balance(L.bank(s, d), ["value_date", "bank_txn_id"]).select(F.col("passed").cast("bigint").alias("passed"), "failures")
+    off = L.bank(s, d).withColumn("running_balance_paise", F.col("running_balance_paise") + F.when(F.dayofmonth("value_date") == 7, 1).otherwise(0))  # planted
+    return vf.check_running_balance(off, ["value_date", "bank_txn_id"]).select(F.col("passed").cast("bigint").alias("passed"), "failures")
 
 
 @query("i4_check_label_count", "SELECT CAST(count(*) = 100 AS BIGINT) AS passed, CAST(count(*) <> 100 AS BIGINT) AS failures, CASE WHEN count(*) = 100 THEN '' ELSE CAST(count(*) AS VARCHAR) END AS detail FROM lab")
@@ -560,25 +800,46 @@ def _(s, d):
     return vf.check_label_count(L.labels(s, d), 100).select(F.col("passed").cast("bigint").alias("passed"), "failures", "detail")
 
 
-@query("i5_check_label_integrity", "SELECT CAST(1 AS BIGINT) AS passed, CAST(0 AS BIGINT) AS failures")
+@query("i5_check_label_integrity", "SELECT CAST(count(*) = 0 AS BIGINT) AS passed, count(*) AS failures FROM lab WHERE record_type IN ('bank_txn', 'settlement_line')")
 def _(s, d):
-    return vf.check_label_integrity(L.labels(s, d), *ledger(s, d)).select(F.col("passed").cast("bigint").alias("passed"), "failures")
+    lab = L.labels(s, d)
+    twice = lab.where("record_type = 'bank_txn'")  # planted: these a second time, and chargebacks under ids that no record has
+    astray = lab.withColumn("record_id", F.when(F.col("record_type") == "settlement_line", F.concat("record_id", F.lit("_lost"))).otherwise(F.col("record_id")))
+    return vf.check_label_integrity(astray.unionByName(twice), *ledger(s, d)).select(F.col("passed").cast("bigint").alias("passed"), "failures")
 
 
-@query("i6_check_label_leak", "SELECT CAST(1 AS BIGINT) AS passed, CAST(0 AS BIGINT) AS failures")
+@query("i6_check_label_leak", """, told AS (
+  SELECT CASE WHEN key % 2 = 0 THEN 'xplanted on order_dup_' || key || '9 too' ELSE 'planted on order_dup' END AS cell FROM base WHERE status = 'paid' AND key % 97 = 0
+) SELECT CAST(count(*) = 0 AS BIGINT) AS passed, count(*) AS failures FROM told WHERE EXISTS (SELECT 1 FROM lab WHERE contains(told.cell, 'planted on ' || lab.record_id))""")
 def _(s, d):
-    return vf.check_label_leak(L.labels(s, d), orders=L.raw_orders(s, d), settlement_report=L.raw_lines(s, d), bank_statement=L.raw_bank(s, d)).select(F.col("passed").cast("bigint").alias("passed"), "failures")
+    raw, key = L.raw_orders(s, d), F.regexp_extract("order_id", r"(\d+)\s*$", 1)
+    # planted in the currency of twins: a note with more letters before and after it, or not quite a note
+    leak = F.when(key.cast("bigint") % 2 == 0, F.concat(F.lit("xplanted on order_dup_"), key, F.lit("9 too"))).otherwise(F.lit("planted on order_dup"))
+    raw = raw.withColumn("currency", F.when(F.contains(F.lower("order_id"), F.lit("order_dup_")), leak).otherwise(F.col("currency")))
+    return vf.check_label_leak(L.labels(s, d), orders=raw, settlement_report=L.raw_lines(s, d), bank_statement=L.raw_bank(s, d)).select(F.col("passed").cast("bigint").alias("passed"), "failures")
 
 
-@query("i7_check_chronological", "SELECT CAST(count(*) = 0 AS BIGINT) AS passed, count(*) AS failures FROM (SELECT o_orderdate < lag(o_orderdate) OVER (ORDER BY o_orderkey) AS bad FROM orders) WHERE bad")
-def _(s, d):
+_LATE = """SELECT 'orders' AS source, count(*) AS n FROM (SELECT o_orderdate < lag(o_orderdate) OVER (ORDER BY o_orderkey) AS bad FROM orders) WHERE bad
+  UNION ALL SELECT 'settlement_report', count(*) FROM (SELECT settled < lag(settled) OVER (ORDER BY entity_id) AS bad FROM ln) WHERE bad
+  UNION ALL SELECT 'bank_statement', count(*) FROM (SELECT value_date < lag(value_date) OVER (ORDER BY bank_txn_id) AS bad FROM bk) WHERE bad"""
+
+
+def _chronology(s, d) -> DataFrame:
     o = s.read.parquet(f"{d}/orders.parquet")
-    return vf.check_chronological("orders", o, "o_orderdate", "o_orderkey").select(F.col("passed").cast("bigint").alias("passed"), "failures")
+    parts = [vf.check_chronological(*x) for x in (("orders", o, "o_orderdate", "o_orderkey"), ("settlement_report", L.lines(s, d), "settled_at", "entity_id"), ("bank_statement", L.bank(s, d), "value_date", "bank_txn_id"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("i7_check_chronological", f"SELECT source, CAST(n = 0 AS BIGINT) AS passed, n AS failures FROM ({_LATE})")
+def _(s, d):
+    return _chronology(s, d).select(F.split("check", " ")[0].alias("source"), F.col("passed").cast("bigint").alias("passed"), "failures")
 
 
-@query("i8_check_integer_money", "SELECT CAST(1 AS BIGINT) AS passed, CAST(0 AS BIGINT) AS failures")
+@query("i8_check_integer_money", "SELECT CAST(sum(n) = 0 AS BIGINT) AS passed, CAST(sum(n) AS BIGINT) AS failures FROM (SELECT count(*) AS n FROM o WHERE amount % 11 = 0 UNION ALL SELECT count(*) FROM ln WHERE fee % 13 = 0)")
 def _(s, d):
-    return vf.check_integer_money(orders=L.raw_orders(s, d), settlement_report=L.raw_lines(s, d)).select(F.col("passed").cast("bigint").alias("passed"), "failures")
+    off = lambda k, n: F.when(F.col(k).cast("bigint") % n == 0, F.concat(k, F.lit(".5"))).otherwise(F.col(k))  # noqa: E731  planted
+    raw, lines = L.raw_orders(s, d), L.raw_lines(s, d)
+    return vf.check_integer_money(orders=raw.withColumn("amount_paise", off("amount_paise", 11)), settlement_report=lines.withColumn("fee_paise", off("fee_paise", 13))).select(F.col("passed").cast("bigint").alias("passed"), "failures")
 
 
 _OFF = f"SELECT entity_id, settlement_id, fee + tax - {_FEE} - ({_FEE} * 18 + 50) // 100 AS delta FROM ln WHERE type = 'payment' AND fee + tax <> {_FEE} + ({_FEE} * 18 + 50) // 100"
@@ -617,16 +878,24 @@ def _(s, d):
     return vf.defect_conformance(vf.detect_defects(*ledger(s, d)), L.labels(s, d))
 
 
-@query("i12_verification_report", f"""SELECT * FROM (VALUES ('the running balance adds up', 1, 0), ('every label names one record and no record has two', 1, 0)) v("check", passed, failures)
-  UNION ALL SELECT 'settlement net is credits less debits', CAST(count(*) = 0 AS INTEGER), count(*) FROM g WHERE stated <> net
-  UNION ALL SELECT 'a processed batch has exactly one equal bank credit, a held one none', CAST(count(*) = 0 AS INTEGER), count(*) FROM ({_ONE_CREDIT})
-  UNION ALL SELECT 'nets rebuild from the fee slabs', CAST(sum(n) = 0 AS INTEGER), CAST(sum(n) AS BIGINT) FROM ({_REBUILT})
-  UNION ALL SELECT 'all', 0, (SELECT count(*) FROM g WHERE stated <> net) + (SELECT count(*) FROM ({_ONE_CREDIT})) + (SELECT CAST(sum(n) AS BIGINT) FROM ({_REBUILT}))""")
+_REPORT = f"""SELECT 'settlement net is credits less debits' AS "check", count(*) AS n FROM g WHERE stated <> net
+  UNION ALL SELECT 'a processed batch has exactly one equal bank credit, a held one none', count(*) FROM ({_ONE_CREDIT})
+  UNION ALL SELECT 'the running balance adds up', count(*) FROM (SELECT balance, 25000000 + sum(credit) OVER (ORDER BY bank_txn_id ROWS UNBOUNDED PRECEDING) AS b FROM bal) WHERE balance <> b
+  UNION ALL SELECT 'there are as many labels as expected', CAST(count(*) <> 100 AS BIGINT) FROM lab
+  UNION ALL SELECT 'every label names one record and no record has two', (SELECT count(*) FROM lab WHERE record_id NOT IN (SELECT order_id FROM o UNION SELECT entity_id FROM ln UNION SELECT settlement_id FROM ln UNION SELECT bank_txn_id FROM bk)) + (SELECT count(*) FROM (SELECT 1 FROM lab GROUP BY record_type, record_id HAVING count(*) > 1))
+  UNION ALL SELECT 'nothing of the labels is in the sources', (SELECT count(*) FROM o WHERE contains(order_id || status, 'planted on ')) + (SELECT count(*) FROM ln WHERE contains(entity_id || type || utr, 'planted on ')) + (SELECT count(*) FROM bk WHERE contains(bank_txn_id || description, 'planted on '))
+  UNION ALL SELECT source || ' is in order of time', n FROM ({_LATE})
+  UNION ALL SELECT 'every amount is a whole number of paise', (SELECT count(*) FROM o WHERE amount IS NULL) + (SELECT count(*) FROM ln WHERE amount IS NULL OR fee IS NULL)
+  UNION ALL SELECT 'nets rebuild from the fee slabs', CAST(sum(n) AS BIGINT) FROM ({_REBUILT})"""
+
+
+@query("i12_verification_report", f"""SELECT "check", CAST(n = 0 AS BIGINT) AS passed, n AS failures FROM ({_REPORT}) UNION ALL SELECT 'all', CAST(sum(n) = 0 AS BIGINT), CAST(sum(n) AS BIGINT) FROM ({_REPORT})""")
 def _(s, d):
     o, li, b = (stored(x) for x in ledger(s, d))
-    lab = stored(L.labels(s, d))
-    report = vf.verification_report(vf.check_settlement_net(li, lab), vf.check_one_credit_per_batch(li, b), vf.check_running_balance(b, ["value_date", "bank_txn_id"]), vf.check_label_integrity(lab, o, li, b), vf.check_fee_reconstruction(li, lab))
-    return report.select("check", F.col("passed").cast("bigint").alias("passed"), "failures")
+    lab, raw = stored(L.labels(s, d)), {"orders": L.raw_orders(s, d), "settlement_report": L.raw_lines(s, d)}
+    checks = [vf.check_settlement_net(li, lab), vf.check_one_credit_per_batch(li, b), vf.check_running_balance(b, ["value_date", "bank_txn_id"]), vf.check_label_count(lab, 100), vf.check_label_integrity(lab, o, li, b)]
+    checks += [vf.check_label_leak(lab, **raw, bank_statement=L.raw_bank(s, d)), _chronology(s, d), vf.check_integer_money(**raw), vf.check_fee_reconstruction(li, lab)]
+    return vf.verification_report(*checks).select("check", F.col("passed").cast("bigint").alias("passed"), "failures")
 
 
 # --- J, K: scoring ----------------------------------------------------------------------------------------------------
@@ -682,10 +951,10 @@ def _(s, d):
     return sc.accuracy_headline(_observed(s, d), result(s, d)["labels"], result(s, d)["residue"])
 
 
-@query("k3_auto_approval_exposure", "SELECT count(*) AS auto_approved, count(*) FILTER (WHERE NOT ok) AS wrong FROM (SELECT residue_id, bool_or(correct) AS ok FROM ob WHERE auto GROUP BY residue_id)")
+@query("k3_auto_approval_exposure", "SELECT count(*) AS auto_approved, CAST(sum(amount) AS BIGINT) AS exposure_paise, count(*) FILTER (WHERE NOT ok) AS wrong, CAST(coalesce(sum(amount) FILTER (WHERE NOT ok), 0) AS BIGINT) AS wrong_exposure_paise FROM (SELECT residue_id, bool_or(correct) AS ok, coalesce(any_value(s.amount), 0) AS amount FROM ob JOIN said s USING (residue_id) WHERE auto GROUP BY residue_id)")
 def _(s, d):
     r = result(s, d)
-    return sc.auto_approval_exposure(r["residue_entities"], r["labels"], r["records"])[0].select("auto_approved", "wrong")
+    return sc.auto_approval_exposure(r["residue_entities"], r["labels"], r["records"])[0]
 
 
 @query("k4_gate_split", "SELECT CASE WHEN auto THEN 'auto' ELSE 'review' END AS bucket, count(DISTINCT residue_id) AS entries, count(*) AS defects, count(*) FILTER (WHERE correct) AS correct, round(count(*) FILTER (WHERE correct) / count(*), 4) AS accuracy FROM ob WHERE gold <> '(no defect)' GROUP BY auto")
@@ -719,6 +988,12 @@ def _(s, d):
     return rv.review_queue(result(s, d)["residue"], result(s, d)["records"]).select("residue_id", "predicted_cause", "bucket")
 
 
+@query("l1_review_first", "SELECT residue_id, CASE WHEN cause = 'INSUFFICIENT_EVIDENCE' THEN 'review' ELSE 'auto' END AS bucket, amount AS proposed_amount_paise FROM said WHERE cause <> 'INSUFFICIENT_EVIDENCE' ORDER BY coalesce(amount, 0) DESC, residue_id LIMIT 100")
+def _(s, d):
+    queue = rv.review_queue(result(s, d)["residue"], result(s, d)["records"])
+    return rv.filter_bucket(queue, "auto").limit(100).select("residue_id", "bucket", "proposed_amount_paise")
+
+
 def _decisions(s, d) -> DataFrame:
     """Decisions made up from the cases by their ids, some of them not allowed."""
     q = result(s, d)["residue"].select("residue_id")

@@ -1,19 +1,21 @@
-"""Every registered query of the reconciliation against its SQL on the smallest tables."""
+"""Every registered query of the reconciliation against its SQL on the two smaller sets of tables."""
 
 import duckdb
 import pytest
 
 from tallyspark.plans import queries as q
 
-SF = "/root/testdata/sf0.001"
+FOLDERS = {sf: f"/root/testdata/{sf}" for sf in ("sf0.001", "sf0.01")}
 
 
 @pytest.fixture(scope="module")
-def sql():
-    con = duckdb.connect()
-    for t in ("orders", "lineitem"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    return con
+def engines():
+    out = {}
+    for sf, folder in FOLDERS.items():
+        out[sf] = duckdb.connect()
+        for t in ("orders", "lineitem"):
+            out[sf].execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return out
 
 
 def rows(df):
@@ -23,12 +25,13 @@ def rows(df):
 
 
 @pytest.mark.parametrize("name", sorted(q.QUERIES))
-def test_query(spark, sql, name):
-    got = q.QUERIES[name](spark, SF)
+@pytest.mark.parametrize("sf", FOLDERS)
+def test_query(spark, engines, name, sf):
+    got = q.QUERIES[name](spark, FOLDERS[sf])
     if name not in q.ORACLES:
         assert got.count() > 0
         return
-    have, want = rows(got.toPandas()), rows(sql.execute(q.ORACLES[name]).df())
+    have, want = rows(got.toPandas()), rows(engines[sf].execute(q.ORACLES[name]).df())
     assert have[0] == want[0]
     plain = lambda table: [tuple(x[:-2] if x.endswith(".0") else x for x in r) for r in table]
     assert plain(have[1]) == plain(want[1])

@@ -243,6 +243,22 @@ def test_audit_reports_dropped_and_doubled(tables, result):
         a.partition_audit(o, li, b, fewer, result["reconciled"], result["residue_entities"], result["excluded"], strict=True)
 
 
+def test_payment_of_an_unknown_order_in_a_held_batch(spark, tables):
+    """The line is an orphan and belongs to the held batch; its order id is nobody's, so the partition stays whole."""
+    o, li, b = tables
+    held = li.where("settlement_status = 'on_hold' and type = 'payment'").limit(1).withColumn("order_id", F.lit("order_nowhere")).withColumn("entity_id", F.lit("pay_nowhere")).withColumn("payment_id", F.lit("pay_nowhere"))
+    assert held.count() == 1
+    both = li.unionByName(held)
+    r = reconcile(o, both, b)
+    case = {x.kind + ":" + x.id: x.residue_id for x in r["residue_entities"].collect()}
+    assert "order:order_nowhere" not in case and case["settlement_line:pay_nowhere"] == case["settlement:" + held.first().settlement_id]
+    codes = {x.residue_id: set(x.finding_types) for x in r["residue"].collect()}
+    assert {"ORPHAN_SETTLEMENT_LINE", "SETTLEMENT_ON_HOLD"} <= codes[case["settlement_line:pay_nowhere"]]
+    assert r["audit"].where("problem = 'not in the input'").count() == 0
+    near = r["residue_candidates"].where("kind = 'bank_txn'").first()
+    assert near is None or set(near.evidence) == {"credit_paise", "delta_paise", "utr", "value_date"}
+
+
 def test_order_of_rows_and_partitions_does_not_matter(tables, result):
     again = reconcile(*(t.orderBy(F.rand(7)).repartition(3) for t in tables))
     key = lambda r: sorted((x.residue_id, x.kind, x.id) for x in r["residue_entities"].collect())
