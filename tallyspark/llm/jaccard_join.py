@@ -9,7 +9,8 @@ share T = ceil(0.75 n) of each; the search narrows down in steps that each keep
 2. The same over the whole sets of what is left: nodes that share fewer than T shingles go.
 3. Shingles are ordered by the length of their lists. Two linked sets share one of the n - T + 1 first in this order, so the lists of
    those hold all links. The list's most central node is compared with the others first; components
-   of the links found say which lists are done. In the rest, nodes of different components are compared.
+   of the links found say which lists are done. In the rest, nodes of different components whose sizes and places allow a link
+   are compared, long lists in blocks.
 4. Comparing a node with a block of others is a T-occurrence search (DivideSkip): inverted lists over the block, the
    longest ones set aside, a heap merge of the short ones for nodes that can still reach T, binary probes into the long ones.
 
@@ -312,7 +313,28 @@ def document_sets(docs: DataFrame, heavy_share: int = 400) -> DataFrame:
     return docs.withColumn("text_hash", F.xxhash64("text")).mapInPandas(each, "doc_id long, n_shingles long, sig long, many boolean, text_hash long")
 
 
-def links(docs: DataFrame, documents: DataFrame, heavy: dict[int, int], bits: int = 26, rounds: int = 2) -> DataFrame:
+def pairs_within_lists(rows: DataFrame, sizes: DataFrame, block: int = 2000) -> DataFrame:
+    """(probe, target) of nodes in one list that can link, as far as sizes and places tell, each pair once. rows: token, sig, n, place, component; sizes: token, size.
+
+    From its place on a node has r shingles, so its partner has at most r * 175 / 75 - n of them, and at least 75 % of n. The smaller
+    of two nodes stands in the band of its size, the larger looks into the bands that it can link with, so nodes that can't link
+    don't meet. A list of more than ``block`` nodes is dealt into a grid of such blocks, each a join key of its own.
+    """
+    n = F.col("n")
+    most = F.floor((n - F.col("place")) * (100 + PERCENT) / PERCENT) - n
+    least = F.ceil(n * PERCENT / 100)
+    band = lambda x: F.floor(F.log(x.cast("double")) / float(np.log(1.03))).cast("int")
+    rows = rows.join(sizes, "token").withColumn("most", most).withColumn("least", least).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    own, every = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    larger = rows.where("most >= least").withColumn("band", F.explode(F.sequence(band(F.col("least")), band(F.least("n", "most")))))
+    larger = larger.withColumn("i", own).withColumn("j", every).select("token", "band", "i", "j", "sig", "n", "least", "most", "component")
+    smaller = rows.where("most >= n").withColumn("band", band(n)).withColumn("j", own).withColumn("i", every)
+    smaller = smaller.select("token", "band", "i", "j", *(F.col(c).alias(f"{c}2") for c in ("sig", "n", "most", "component")))
+    met = larger.join(smaller, ["token", "band", "i", "j"]).where("component != component2 and n2 between least and most and n <= most2 and (n2 < n or (n2 = n and sig2 < sig))")
+    return met.select(F.least("sig", "sig2").alias("probe"), F.greatest("sig", "sig2").alias("target")).distinct()
+
+
+def links(docs: DataFrame, documents: DataFrame, heavy: dict[int, int], most_bits: int = 28, rounds: int = 2) -> DataFrame:
     """Links between nodes that join every component: (src, dst). documents: doc_id, n_shingles, sig."""
     total = documents.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = slabs = max(64, total // 2_000_000)  # of some megabytes each
@@ -333,8 +355,11 @@ def links(docs: DataFrame, documents: DataFrame, heavy: dict[int, int], bits: in
     postings = docs.mapInPandas(prefixes, POSTINGS)
     left = _shared(postings, slabs, heavy, False).groupBy("slab").applyInPandas(able, "sig long")
     owners = documents.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    # of each node left, the one document that hands on its set: a bit map of fixed size that lets few others through
-    mark = owners.join(left, "sig").select(F.col("sig").bitwiseXOR(F.col("doc_id")).bitwiseAND(F.lit((1 << bits) - 1)).alias("b"))
+    # of each node left, the one document that hands on its set: a bit map, 16 bits a node but at most 32 MB, that lets few others
+    # through; beyond some 10^8 nodes it lets more through, which then go by the counts below, and loses none
+    left = common.stored(owners.join(left, "sig").select("sig", "doc_id"))
+    bits = min(most_bits, max(16, (16 * left.count()).bit_length()))
+    mark = left.select(F.col("sig").bitwiseXOR(F.col("doc_id")).bitwiseAND(F.lit((1 << bits) - 1)).alias("b"))
     words = mark.select(F.shiftright("b", 6).alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
     bitmap = np.zeros(1 << (bits - 6), np.uint64)
     bitmap[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
@@ -376,21 +401,17 @@ def links(docs: DataFrame, documents: DataFrame, heavy: dict[int, int], bits: in
     done = docs.sparkSession.createDataFrame([], "probe long, target long")
     open_ = tokens.withColumn("component", F.col("sig"))
     for step in range(rounds + 1):
-        lists = open_.groupBy("token").agg(F.max_by(F.struct("sig", "n", "place", "component"), F.struct("central", "sig")).alias("lead"), F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("token", "lead")
+        lists = open_.groupBy("token").agg(F.max_by(F.struct("sig", "n", "place", "component"), F.struct("central", "sig")).alias("lead"), F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a != b").select("token", "lead", "size")
         lists = common.stored(lists)
         if lists.isEmpty():
             break
         # x and y link only if their shingles from the first common one on are enough
         fits = lambda x, y: (F.least(x["n"] - x["place"], y["n"] - y["place"]) * (100 + PERCENT) >= PERCENT * (x["n"] + y["n"])) & (x["component"] != y["component"])
         if step < rounds:
-            met = open_.join(lists, "token").where(fits(F.col("lead"), open_))
+            met = open_.join(lists.drop("size"), "token").where(fits(F.col("lead"), open_))
             pairs = met.select(F.col("lead.sig").alias("probe"), F.col("sig").alias("target")).distinct()
         else:
-            x = common.stored(open_.join(lists.select("token"), "token").select("token", "sig", "n", "place", "component"))
-            y = x.select("token", *(F.col(c).alias(f"{c}2") for c in ("sig", "n", "place", "component")))
-            other = {c: F.col(f"{c}2") for c in ("n", "place", "component")}
-            met = x.join(y, "token").where(F.col("sig") < F.col("sig2")).where(fits(x, other))
-            pairs = met.select(F.col("sig").alias("probe"), F.col("sig2").alias("target")).distinct()
+            pairs = pairs_within_lists(open_.select("token", "sig", "n", "place", "component"), lists.select("token", "size"))
         pairs = pairs.join(done, ["probe", "target"], "left_anti").join(done.select(F.col("probe").alias("target"), F.col("target").alias("probe")), ["probe", "target"], "left_anti")
         pairs = common.stored(pairs)
         found = common.stored(found.unionByName(_compare(pairs, sets)))

@@ -187,6 +187,29 @@ def test_jaccard_join_of_edited_copies(spark):
     assert {r.doc_id: r.component_id for r in jaccard_join.join_documents(df).collect()} == want
 
 
+def test_jaccard_join_of_a_passage_in_half_of_the_documents(spark):
+    """A passage that many documents have and that links none of them, beside copies that do link."""
+    passage = " ".join(f"p{i}" for i in range(50))
+    texts = {k: passage + " " + " ".join(f"own{k}x{i}" for i in range(10 + k % 7)) if k % 2 else " ".join(f"free{k // 6}x{i}" for i in range(40)) for k in range(5000)}
+    first = {}
+    want = {k: k if k % 2 else first.setdefault(k // 6, k) for k in texts}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.join_documents(df).collect()} == want
+
+
+def test_pairs_within_lists_are_those_that_fit(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(t), int(s), int(n), int(rng.integers(0, n)), int(rng.integers(0, 5))) for t in range(3) for s, n in enumerate(rng.integers(1, 60, 90))]
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] < b[1] and a[4] != b[4] and 175 * min(a[2] - a[3], b[2] - b[3]) >= 75 * (a[2] + b[2]):
+                want.add((a[1], b[1]))
+    df = spark.createDataFrame(rows, "token long, sig long, n long, place long, component long")
+    got = [tuple(r) for r in jaccard_join.pairs_within_lists(df, df.groupBy("token").count().withColumnRenamed("count", "size"), block=20).collect()]
+    assert set(got) == want and len(got) == len(set(got))
+
+
 def test_jaccard_join_odd(spark):
     got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.join_documents(odd(spark)).collect()}
     assert got[2, 0] == 2 and got[3, 0] == 3 and got[4, 0] == 4 and got[1, 1] == 1 and (None, 1) not in got
