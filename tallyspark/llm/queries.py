@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import fuzzy, jaccard_join, line_dedup, media, packing, token_files, toxicity, unigram, url_filter
+from tallyspark.llm import fuzzy, jaccard_join, line_dedup, media, packing, suffix_dedup, token_files, toxicity, unigram, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_counts": unigram.op9_token_counts,
     "op10_document_fingerprints": fuzzy.op10_document_fingerprints,
+    "op11_suffix_array_dedup": suffix_dedup.op11_suffix_array_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": jaccard_join.OP2_SQL, "op4_line_dedup": line_dedup.OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": jaccard_join.OP2_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op11_suffix_array_dedup": suffix_dedup.OP11_SQL}
