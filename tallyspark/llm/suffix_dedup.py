@@ -142,7 +142,7 @@ def _rounds(length: int, step: int) -> list[int]:
 
 def merged_intervals(texts: list[bytes], length: int = LENGTH, step: int = STEP, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, prefix, place): the merged suffix order of all texts as places in their concatenation, the common prefix of each row with the one
-    before (in whole steps, ``length`` at most), and where each text begins. ``length`` is a multiple of step // 2, and no text is shorter.
+    before (as of the round that told them apart, ``length`` at most), and where each text begins. ``length`` is a multiple of step // 2, and no text is shorter.
 
     Texts of a shard stand one after the other and round; a window that leaves its text isn't one, and callers leave it out.
     """
