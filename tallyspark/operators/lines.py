@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import cells as c
 from tallyspark.operators.joins import top_k_per_key
-from tallyspark.operators.orders import LINE_ORDER
-from tallyspark.schemas import RESOLVES_ADJUSTMENT, RESOLVES_PAYMENT, RESOLVES_REFUND
+from tallyspark.operators.orders import line_order
+from tallyspark.schemas import ORDINAL, RESOLVES_ADJUSTMENT, RESOLVES_PAYMENT, RESOLVES_REFUND
 
 _ORPHAN = ["debit_paise", "credit_paise", "amount_paise", "settlement_id", "settled_at"]
 
@@ -32,8 +32,8 @@ def find_orphan_refunds(orders: DataFrame, lines: DataFrame) -> DataFrame:
 
 def refund_parent_candidates(orphan_refunds: DataFrame, lines: DataFrame, k: int = 5) -> DataFrame:
     """The first k payment lines of a refund's amount. They are ranked before the join: no amount brings more than k rows."""
-    paid = lines.where("type = 'payment'").select("amount_paise", F.col("entity_id").alias("candidate_id"), F.col("settlement_id"), "settled_at", "order_id", "entity_id")
-    first = top_k_per_key(paid, ["amount_paise"], LINE_ORDER, k).drop("entity_id")
+    paid = lines.where("type = 'payment'").select("amount_paise", F.col("entity_id").alias("candidate_id"), F.col("settlement_id"), "settled_at", "order_id", "entity_id", *(k for k in line_order(lines) if k == ORDINAL))
+    first = top_k_per_key(paid, ["amount_paise"], line_order(lines), k).drop("entity_id")
     return orphan_refunds.select("line_id", "amount_paise").join(first, "amount_paise").select("line_id", "rank", "candidate_id", "amount_paise", "settlement_id", "settled_at", "order_id")
 
 

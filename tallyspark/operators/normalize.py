@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import cells as c
-from tallyspark.schemas import LINE_TYPES, SETTLEMENT_STATUSES
+from tallyspark.schemas import LINE_TYPES, ORDINAL, SETTLEMENT_STATUSES
 
 
 def _typed(raw: DataFrame, fields: dict[str, tuple[str, Column]], optional: tuple[str, ...] = ()) -> DataFrame:
-    """fields: name -> (source column, value). A required value that came out null is an error with field and raw text."""
+    """fields: name -> (source column, value). A required value that came out null is an error with field and raw text. A record's place in the file stays beside it."""
     bad = [F.when(v.isNull(), F.struct(F.lit(name).alias("field"), F.col(source).alias("raw"))) for name, (source, v) in fields.items() if name not in optional]
-    row = F.create_map(*(x for k in raw.columns for x in (F.lit(k), F.col(f"`{k}`"))))
-    return raw.select(*(v.alias(k) for k, (_, v) in fields.items()), row.alias("raw"), F.array_compact(F.array(*bad)).alias("errors"))
+    row = F.create_map(*(x for k in raw.columns if k != ORDINAL for x in (F.lit(k), F.col(f"`{k}`"))))
+    return raw.select(*(v.alias(k) for k, (_, v) in fields.items()), *(k for k in raw.columns if k == ORDINAL), row.alias("raw"), F.array_compact(F.array(*bad)).alias("errors"))
 
 
 def _one_of(name: str, domain: list[str]) -> Column:
@@ -75,7 +75,9 @@ def quarantine(df: DataFrame, mode: str = "quarantine") -> tuple[DataFrame, Data
 
 
 def corrections(orders: DataFrame, lines: DataFrame, bank: DataFrame) -> DataFrame:
-    """source, field, raw, normalized: every cell whose text changed; all transfer references found; amounts written with ``,`` or ``.``"""
+    """source, field, raw, normalized, and if all three carry it the record's place in the file with the cell's in the record: every cell whose text changed; all transfer references found; amounts written with ``,`` or ``.``"""
+
+    ordered = all(ORDINAL in df.columns for df in (orders, lines, bank))
 
     def changed(df: DataFrame, source: str, cells: list[tuple[str, str, Column]]) -> DataFrame:
         made = []
@@ -88,8 +90,9 @@ def corrections(orders: DataFrame, lines: DataFrame, bank: DataFrame) -> DataFra
             else:
                 text = F.coalesce(value.cast("string"), F.lit(""))
                 made.append(F.struct(F.lit(field).alias("field"), raw.alias("raw"), text.alias("normalized"), (raw != text).alias("keep")))
-        rows = df.select(F.explode(F.array(*made)).alias("x")).where("x.keep")
-        return rows.select(F.lit(source).alias("source"), F.col("x.field"), F.col("x.raw"), F.col("x.normalized"))
+        place = [k for k in df.columns if k == ORDINAL and ordered]
+        rows = df.select(*place, F.posexplode(F.array(*made)).alias("cell", "x")).where("x.keep")
+        return rows.select(F.lit(source).alias("source"), F.col("x.field"), F.col("x.raw"), F.col("x.normalized"), *place, *(["cell"] if place else []))
 
     def same(*names: str) -> list[tuple[str, str, Column]]:
         return [(k, k, F.col(k)) for k in names]
@@ -102,7 +105,7 @@ def corrections(orders: DataFrame, lines: DataFrame, bank: DataFrame) -> DataFra
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("source", F.concat_ws(".", "source", "field").alias("field"), "raw", "normalized")
+    return out.select("source", F.concat_ws(".", "source", "field").alias("field"), *out.columns[2:])
 
 
 def correction_counts(orders: DataFrame, lines: DataFrame, bank: DataFrame) -> DataFrame:
@@ -112,8 +115,12 @@ def correction_counts(orders: DataFrame, lines: DataFrame, bank: DataFrame) -> D
 
 
 def correction_samples(orders: DataFrame, lines: DataFrame, bank: DataFrame, per_field: int = 3) -> DataFrame:
-    """The first few distinct corrections of each field, by raw text."""
-    found = corrections(orders, lines, bank).select("field", "raw", "normalized")
+    """The first few corrections of each field, in the order of the files if the records carry it; else the first few distinct ones, by raw text."""
+    found = corrections(orders, lines, bank)
+    if ORDINAL in found.columns:
+        first = F.row_number().over(Window.partitionBy("field").orderBy(ORDINAL, "cell"))  # Spark cuts each task's rows before the shuffle
+        return found.withColumn("rank", first).where(F.col("rank") <= per_field).select("field", "rank", "raw", "normalized")
+    found = found.select("field", "raw", "normalized")
     # only the least few of each group leave a task: distinct pairs first, then a rank that Spark limits before the shuffle
     ranked = found.distinct().select("*", F.row_number().over(Window.partitionBy("field").orderBy("raw", "normalized")).alias("rank")).where(F.col("rank") <= per_field)
     return ranked.select("field", "rank", "raw", "normalized")

@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.operators.joins import last_per_key, runs_by_gap
-from tallyspark.schemas import DUPLICATE_WINDOW_SECONDS, NOT_EXPECTED
+from tallyspark.schemas import DUPLICATE_WINDOW_SECONDS, NOT_EXPECTED, ORDINAL
 
-#: Lines have no file order on Spark; this is the order in which "last" and "first" are meant.
+#: The order in which "last" and "first" are meant for lines that don't carry their place in the file.
 LINE_ORDER = ["settled_at", "settlement_id", "entity_id"]
 
 
+def line_order(lines: DataFrame) -> list[str]:
+    return [ORDINAL] if ORDINAL in lines.columns else LINE_ORDER
+
+
 def payment_line_per_order(lines: DataFrame) -> DataFrame:
     """Payment lines with an order id, one for each order: the last."""
-    return last_per_key(lines.where("type = 'payment' and order_id is not null"), "order_id", LINE_ORDER)
+    return last_per_key(lines.where("type = 'payment' and order_id is not null"), "order_id", line_order(lines))
 
 
 def duplicate_groups(orders: DataFrame, window_seconds: int = DUPLICATE_WINDOW_SECONDS) -> DataFrame:
@@ -48,11 +52,8 @@ def count_duplicate_orders(twins: DataFrame) -> DataFrame:
 
 
 def find_duplicate_orders(orders: DataFrame, lines: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """DUPLICATE_ORDER_PAIR with all ids of a group in its row, the form that the SQL has. The reconciliation takes duplicate_twins and count_duplicate_orders."""
-    twins = duplicate_twins(orders, lines, seen)
-    ids = twins.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("order_id", "line_id"))).alias("twins"))
-    counts = count_duplicate_orders(twins)
-    return counts.join(ids, "group_id").select("group_id", F.col("twins.order_id").alias("order_ids"), *counts.columns[1:], F.array_compact(F.col("twins.line_id")).alias("line_ids"))
+    """DUPLICATE_ORDER_PAIR, one row for each group: its representative (group_id, the least order) and counts. duplicate_twins lists its members."""
+    return count_duplicate_orders(duplicate_twins(orders, lines, seen))
 
 
 def unsettled_orders(orders: DataFrame, lines: DataFrame, seen: DataFrame | None = None) -> DataFrame:
@@ -62,11 +63,11 @@ def unsettled_orders(orders: DataFrame, lines: DataFrame, seen: DataFrame | None
 
 
 def find_orders_without_settlement(orders: DataFrame, lines: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """unsettled_orders with all ids of the twins in duplicate_of, the form that the SQL has; its size is the square of a group's. The reconciliation takes unsettled_orders."""
+    """unsettled_orders, those with twins beside their group's counts; duplicate_twins lists the twins, so the result grows like the orders."""
     seen = seen or with_settling_line(orders, lines)
-    twins = duplicate_twins(orders, lines, seen).groupBy(F.col("group_id").alias("duplicate_group")).agg(F.sort_array(F.collect_list("order_id")).alias("ids"))
-    open_ = unsettled_orders(orders, lines, seen).join(twins, "duplicate_group", "left")
-    return open_.select("order_id", "order_status", "amount_paise", "created_at", F.array_join(F.array_except("ids", F.array("order_id")), ",").alias("duplicate_of"))
+    counts = find_duplicate_orders(orders, lines, seen).select(F.col("group_id").alias("duplicate_group"), (F.col("orders_in_group") - 1).alias("twins"), F.col("settled_orders").alias("settled_twins"))
+    open_ = unsettled_orders(orders, lines, seen).join(counts, "duplicate_group", "left")
+    return open_.select("order_id", "order_status", "amount_paise", "created_at", "duplicate_group", F.coalesce("twins", F.lit(0)).alias("twins"), F.coalesce("settled_twins", F.lit(0)).alias("settled_twins"))
 
 
 def find_status_contradictions(orders: DataFrame, lines: DataFrame, seen: DataFrame | None = None) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.operators.joins import band_join, top_k_per_key
-from tallyspark.operators.orders import LINE_ORDER
+from tallyspark.operators.joins import nearest_k
+from tallyspark.operators.orders import line_order
 from tallyspark.schemas import CANDIDATE_WINDOW_PAISE, NET_TOLERANCE_PAISE
 
 #: What of a batch's first line is kept as it stood in the file.
@@ -16,7 +16,7 @@ _RAW_HEADER = ["settlement_id", "settlement_utr", "settlement_status", "settleme
 def group_settlements(lines: DataFrame) -> DataFrame:
     """One row for each batch; header fields, and their raw cells if the lines have any, come from its first line. Lines are summed up, not gathered."""
     cells = [F.struct(*(F.coalesce(F.col("raw")[k], F.lit("")).alias(k) for k in _RAW_HEADER)).alias("raw")] if "raw" in lines.columns else []
-    head = F.min_by(F.struct("settlement_utr", "settlement_status", "settled_at", "settlement_net_amount_paise", *cells), F.struct(*LINE_ORDER))
+    head = F.min_by(F.struct("settlement_utr", "settlement_status", "settled_at", "settlement_net_amount_paise", *cells), F.struct(*line_order(lines)))
     g = lines.groupBy("settlement_id").agg(head.alias("h"), F.sum(F.col("credit_paise") - F.col("debit_paise")).alias("expected_net_paise"), F.count("*").alias("line_count"))
     return g.select("settlement_id", F.col("h.settlement_utr").alias("utr"), F.col("h.settlement_status").alias("status"), F.col("h.settled_at").alias("settled_at"), "expected_net_paise", F.col("h.settlement_net_amount_paise").alias("stated_net_paise"), "line_count", *([F.col("h.raw").alias("raw")] if cells else []))
 
@@ -63,16 +63,15 @@ def find_unclaimed_bank_credits(groups: DataFrame, bank: DataFrame) -> DataFrame
 
 def nearby_bank_candidates(groups: DataFrame, bank: DataFrame, window_paise: int = CANDIDATE_WINDOW_PAISE, k: int = 5) -> DataFrame:
     """For each batch the nearest bank rows by amount; ties by id."""
-    near = band_join(groups.select("settlement_id", "expected_net_paise"), bank.select("bank_txn_id", "credit_paise", F.col("utr"), "value_date"), "expected_net_paise", "credit_paise", window_paise)
-    near = near.withColumn("delta_paise", F.col("credit_paise") - F.col("expected_net_paise"))
-    return top_k_per_key(near, ["settlement_id"], [F.abs("delta_paise"), "bank_txn_id"], k).select("settlement_id", "rank", "bank_txn_id", "credit_paise", "delta_paise", "utr", "value_date")
+    rows = bank.select("bank_txn_id", "credit_paise", F.col("utr"), "value_date")
+    near = nearest_k(groups.select("settlement_id", "expected_net_paise"), rows, "expected_net_paise", "credit_paise", "bank_txn_id", window_paise, k)
+    return near.select("settlement_id", "rank", "bank_txn_id", "credit_paise", (F.col("credit_paise") - F.col("expected_net_paise")).alias("delta_paise"), "utr", "value_date")
 
 
 def nearby_settlement_candidates(bank: DataFrame, groups: DataFrame, window_paise: int = CANDIDATE_WINDOW_PAISE, k: int = 5) -> DataFrame:
     """For each bank row the nearest batches by net; ties by id."""
-    near = band_join(bank.select("bank_txn_id", "credit_paise"), groups.select("settlement_id", "expected_net_paise", "utr", "settled_at"), "credit_paise", "expected_net_paise", window_paise)
-    near = near.withColumn("delta_paise", F.col("credit_paise") - F.col("expected_net_paise"))
-    return top_k_per_key(near, ["bank_txn_id"], [F.abs("delta_paise"), "settlement_id"], k).select("bank_txn_id", "rank", "settlement_id", "expected_net_paise", "delta_paise", "utr", "settled_at")
+    near = nearest_k(bank.select("bank_txn_id", "credit_paise"), groups.select("settlement_id", "expected_net_paise", "utr", "settled_at"), "credit_paise", "expected_net_paise", "settlement_id", window_paise, k)
+    return near.select("bank_txn_id", "rank", "settlement_id", "expected_net_paise", (F.col("credit_paise") - F.col("expected_net_paise")).alias("delta_paise"), "utr", "settled_at")
 
 
 def settlement_ownership(failed: DataFrame, lines: DataFrame, orders: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import cells as c
 from tallyspark.operators.joins import running_sum
-from tallyspark.schemas import CAUSES, DUPLICATE_WINDOW_SECONDS, OPENING_BALANCE_PAISE
+from tallyspark.schemas import CAUSES, DUPLICATE_WINDOW_SECONDS, OPENING_BALANCE_PAISE, ORDINAL
 from tallyspark.sources.shared import stored
 
 
@@ -100,8 +100,8 @@ def check_label_leak(labels: DataFrame, **sources: DataFrame) -> DataFrame:
     return _check("nothing of the labels is in the sources", bad, F.col("at"), "n")
 
 
-def check_chronological(name: str, df: DataFrame, at: str, seq: str) -> DataFrame:
-    """A source is sorted by its own time. ``seq`` is the row order, which files don't have on Spark.
+def check_chronological(name: str, df: DataFrame, at: str, seq: str = ORDINAL) -> DataFrame:
+    """A source is sorted by its own time. ``seq`` is the order of its rows, by itself their place in the file.
 
     Rows are compared with the row before within range partitions of seq, and partitions by their edges.
     """

@@ -40,6 +40,7 @@ from tallyspark.schemas import (
     INSUFFICIENT,
     NEAR_BANK,
     NEAR_BATCH,
+    ORDINAL,
     PARENT,
     TWIN_SETTLED,
     TWIN_UNSETTLED,
@@ -336,6 +337,71 @@ SELECT field, CAST(row_number() OVER (PARTITION BY field ORDER BY raw, normalize
 )
 
 
+#: In their files orders and lines stand by falling number, and the bank's rows by falling id.
+_IN_FILES = """, numbered AS (
+  SELECT *, row_number() OVER (ORDER BY CAST(regexp_extract(order_id, '([0-9]+)$', 1) AS BIGINT) DESC, order_id) AS place FROM o
+), listed AS (
+  SELECT *, row_number() OVER (ORDER BY key DESC, entity_id) AS place FROM ln
+), stated AS (
+  SELECT *, row_number() OVER (ORDER BY bank_txn_id DESC) AS place FROM bal
+)"""
+
+
+def _from_files(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three sources written as CSV files in the order of _IN_FILES, read back with each record's place, and normalised."""
+    number = lambda k: F.regexp_extract(F.trim(F.regexp_replace(k, "\t", "")), r"(\d+)$", 1).cast("bigint").desc()
+    plain = lambda k: F.lower(F.trim(F.regexp_replace(k, "\t", "")))
+    made = []
+    for raw, order, read, clean in (
+        (L.raw_orders(s, d), [number("order_id"), plain("order_id")], files.read_orders_csv, nm.normalize_orders),
+        (L.raw_lines(s, d), [number("entity_id"), plain("entity_id")], files.read_settlement_csv, nm.normalize_lines),
+        (L.raw_bank(s, d), [plain("bank_txn_id").desc()], files.read_bank_csv, nm.normalize_bank),
+    ):
+        path = shared_dir(s)
+        files.write_csv(raw.orderBy(*order), path)  # range partitions, and files in their order
+        made.append(clean(read(s, path, ORDINAL)))
+    return tuple(made)
+
+
+@query("b12_first_corrections")
+def _(s, d):
+    return nm.correction_samples(*_from_files(s, d)).where("field not like '%running_balance' and field not like '%credit'")
+
+
+ORACLES["b12_first_corrections"] = sql(
+    _IN_FILES
+    + """, raws AS (
+  SELECT 'orders.order_id' AS field, order_id AS id, CAST(regexp_extract(order_id, '([0-9]+)$', 1) AS BIGINT) AS key, place FROM numbered
+  UNION ALL SELECT 'settlement_report.' || unnest(['entity_id', 'settlement_id', 'order_id', 'payment_id']), unnest([entity_id, settlement_id, order_id, payment_id]), key, place FROM listed
+  UNION ALL SELECT 'bank_statement.bank_txn_id', bank_txn_id, CAST(substr(bank_txn_id, 4) AS BIGINT), place FROM stated
+), fixes AS (
+  SELECT field, '  ' || upper(id) || chr(9) AS raw, id AS normalized, place FROM raws WHERE key % 13 = 0 AND id IS NOT NULL
+  UNION ALL SELECT 'bank_statement.value_date', strftime(value_date, '%d/%m/%Y'), strftime(value_date, '%Y-%m-%d'), place FROM stated WHERE day(value_date) % 2 = 1
+  UNION ALL SELECT 'bank_statement.description[' || format || ']', description, utr, place FROM stated
+)
+SELECT field, CAST(row_number() OVER w AS BIGINT) AS rank, raw, normalized FROM fixes WINDOW w AS (PARTITION BY field ORDER BY place) QUALIFY row_number() OVER w <= 3"""
+)
+
+
+@query("c1_last_line_of_the_file", f"{_IN_FILES} SELECT 'order_' || key % 50 AS order_id, max_by(entity_id, place) AS entity_id, max_by(amount, place) AS amount_paise, max_by(settlement_id, place) AS settlement_id FROM listed WHERE type = 'payment' AND order_id IS NOT NULL GROUP BY key % 50")
+def _(s, d):
+    # many lines of few orders, so that there is a last one to find
+    lines = nm.quarantine(_from_files(s, d)[1])[0]
+    few = F.concat(F.lit("order_"), (F.regexp_extract("entity_id", r"(\d+)$", 1).cast("bigint") % 50).cast("string"))
+    lines = lines.withColumn("order_id", F.when(F.col("order_id").isNotNull(), few))
+    return od.payment_line_per_order(lines).select("order_id", "entity_id", "amount_paise", "settlement_id")
+
+
+@query("i7_check_file_order", f"""{_IN_FILES} SELECT source, CAST(n = 0 AS BIGINT) AS passed, n AS failures FROM (
+  SELECT 'orders' AS source, count(*) AS n FROM (SELECT created < lag(created) OVER (ORDER BY place) AS bad FROM numbered) WHERE bad
+  UNION ALL SELECT 'settlement_report', count(*) FROM (SELECT settled < lag(settled) OVER (ORDER BY place) AS bad FROM listed) WHERE bad
+  UNION ALL SELECT 'bank_statement', count(*) FROM (SELECT value_date < lag(value_date) OVER (ORDER BY place) AS bad FROM stated) WHERE bad)""")
+def _(s, d):
+    orders, lines, bank = _from_files(s, d)
+    parts = [vf.check_chronological(*x) for x in (("orders", orders, "created_at"), ("settlement_report", lines, "settled_at"), ("bank_statement", bank, "value_date"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(F.split("check", " ")[0].alias("source"), F.col("passed").cast("bigint").alias("passed"), "failures")
+
+
 @query("b13_rows_by_source", "SELECT 'orders' AS source, count(*) AS rows FROM o UNION ALL SELECT 'settlement_report', count(*) FROM ln UNION ALL SELECT 'bank_statement', count(*) FROM bk")
 def _(s, d):
     return nm.rows_by_source(L.raw_orders(s, d), L.raw_lines(s, d), L.raw_bank(s, d))
@@ -371,15 +437,21 @@ def _(s, d):
     return od.duplicate_groups(L.orders(s, d))
 
 
-@query("c3_duplicate_orders", """SELECT group_id, string_agg(order_id, ',' ORDER BY order_id) AS order_ids, any_value(amount) AS amount_paise,
-  CAST(abs(epoch(max_by(created, order_id)) - epoch(min_by(created, order_id))) AS BIGINT) AS seconds_apart, count(*) AS orders_in_group, count(line_id) AS settled_orders, count(*) - count(line_id) AS unsettled_orders,
-  coalesce(string_agg(line_id, ',' ORDER BY order_id), '') AS line_ids FROM seen WHERE group_id IS NOT NULL GROUP BY group_id""")
+_TWINS = "SELECT group_id, any_value(amount) AS amount_paise, CAST(abs(epoch(max_by(created, order_id)) - epoch(min_by(created, order_id))) AS BIGINT) AS seconds_apart, count(*) AS orders_in_group, count(line_id) AS settled_orders, count(*) - count(line_id) AS unsettled_orders FROM seen WHERE group_id IS NOT NULL GROUP BY group_id"
+
+
+@query("c3_duplicate_orders", _TWINS)
 def _(s, d):
     return od.find_duplicate_orders(*ledger(s, d)[:2])
 
 
-@query("c4_orders_without_settlement", f"""SELECT order_id, status AS order_status, amount AS amount_paise, {at('created', 'created_at')},
-  (SELECT string_agg(t.order_id, ',' ORDER BY t.order_id) FROM dup t WHERE t.group_id = seen.group_id AND t.order_id <> seen.order_id) AS duplicate_of FROM seen WHERE status = 'paid' AND line_id IS NULL""")
+@query("c3_duplicate_members", f"SELECT group_id, order_id, amount AS amount_paise, {at('created', 'created_at')}, status, CAST(line_id IS NOT NULL AS BIGINT) AS settled, line_id FROM seen WHERE group_id IS NOT NULL")
+def _(s, d):
+    return od.duplicate_twins(*ledger(s, d)[:2]).withColumn("settled", F.col("settled").cast("bigint"))
+
+
+@query("c4_orders_without_settlement", f"""SELECT order_id, status AS order_status, seen.amount AS amount_paise, {at('created', 'created_at')}, group_id AS duplicate_group,
+  coalesce(orders_in_group - 1, 0) AS twins, coalesce(settled_orders, 0) AS settled_twins FROM seen LEFT JOIN ({_TWINS}) USING (group_id) WHERE status = 'paid' AND line_id IS NULL""")
 def _(s, d):
     return od.find_orders_without_settlement(*ledger(s, d)[:2])
 

@@ -12,14 +12,17 @@ LINE_COLUMNS = [
 ]
 BANK_COLUMNS = ["bank_txn_id", "value_date", "description", "credit", "debit", "running_balance"]
 
-# Domains.
+#: Where a source has it: each record's place in the order of its files, as the readers give it. "First" and "last" go by it.
+ORDINAL = "file_order"
+
+# Domains, codes and causes, in the order they are declared in.
 LINE_TYPES = ["payment", "refund", "adjustment"]
 SETTLEMENT_STATUSES = ["processed", "on_hold"]
 CODES = [
-    "BANK_CREDIT_WITHOUT_SETTLEMENT", "DUPLICATE_ORDER_PAIR", "FEE_SLAB_MISMATCH", "NET_MISMATCH", "ORDER_STATUS_CONTRADICTION", "ORDER_WITHOUT_SETTLEMENT",
-    "ORPHAN_SETTLEMENT_LINE", "SETTLEMENT_DELAY", "SETTLEMENT_ON_HOLD", "SETTLEMENT_WITHOUT_BANK_CREDIT", "SHORT_CAPTURE", "UNEXPECTED_BANK_CREDIT_ON_HOLD",
+    "DUPLICATE_ORDER_PAIR", "ORDER_WITHOUT_SETTLEMENT", "ORPHAN_SETTLEMENT_LINE", "SHORT_CAPTURE", "SETTLEMENT_DELAY", "SETTLEMENT_WITHOUT_BANK_CREDIT",
+    "BANK_CREDIT_WITHOUT_SETTLEMENT", "NET_MISMATCH", "UNEXPECTED_BANK_CREDIT_ON_HOLD", "FEE_SLAB_MISMATCH", "SETTLEMENT_ON_HOLD", "ORDER_STATUS_CONTRADICTION",
 ]
-CAUSES = ["CHARGEBACK_DEBIT", "DUPLICATE_WEBHOOK", "FEE_VARIANCE", "LATE_SETTLEMENT", "ON_HOLD", "PARTIAL_CAPTURE", "REFUND_NETTED", "SILENT_UPI_FAIL", "UNEXPLAINED"]
+CAUSES = ["LATE_SETTLEMENT", "REFUND_NETTED", "PARTIAL_CAPTURE", "FEE_VARIANCE", "ON_HOLD", "DUPLICATE_WEBHOOK", "SILENT_UPI_FAIL", "CHARGEBACK_DEBIT", "UNEXPLAINED"]
 INSUFFICIENT = "INSUFFICIENT_EVIDENCE"
 NO_DEFECT = "(no defect)"
 

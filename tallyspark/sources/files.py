@@ -7,37 +7,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.schemas import BANK_COLUMNS, LABELS, LINE_COLUMNS, ORDER_COLUMNS
+from tallyspark.sources.blocks import CsvCells, JsonObjects, read_records
 
 
-def _read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode="PERMISSIVE", enforceSchema=True)
-    return raw.select(*(F.coalesce(c, F.lit("")).alias(c) for c in columns))
+def read_orders_csv(spark: SparkSession, path: str, ordinal: str | None = None) -> DataFrame:
+    """All cells as text, by header name, missing ones empty. One large file is read by as many tasks as it has blocks; ``ordinal`` names a column with each record's place in the files."""
+    return read_records(spark, path, CsvCells(ORDER_COLUMNS), ordinal)
 
 
-def read_orders_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All cells as text, missing ones empty."""
-    return _read_csv(spark, path, ORDER_COLUMNS)
+def read_settlement_csv(spark: SparkSession, path: str, ordinal: str | None = None) -> DataFrame:
+    return read_records(spark, path, CsvCells(LINE_COLUMNS), ordinal)
 
 
-def read_settlement_csv(spark: SparkSession, path: str) -> DataFrame:
-    return _read_csv(spark, path, LINE_COLUMNS)
-
-
-def read_bank_csv(spark: SparkSession, path: str) -> DataFrame:
-    return _read_csv(spark, path, BANK_COLUMNS)
+def read_bank_csv(spark: SparkSession, path: str, ordinal: str | None = None) -> DataFrame:
+    return read_records(spark, path, CsvCells(BANK_COLUMNS), ordinal)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="")
 
 
-def read_labels_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of labels; anything else is an error."""
-    rows = spark.read.schema(T.StructType([*LABELS.fields, T.StructField("_corrupt", T.StringType())])).json(path, multiLine=True, columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE")
-    bad = rows.where("_corrupt is not null or (record_id is null and true_cause is null)")
-    checked = F.when(F.lit(not bad.isEmpty()), F.raise_error(F.lit("labels must be a JSON array of objects")).cast("string")).otherwise(F.col("record_type"))
-    return rows.select(checked.alias("record_type"), "record_id", "true_cause", "note")
+def read_labels_json(spark: SparkSession, path: str, ordinal: str | None = None) -> DataFrame:
+    """A JSON array of labels, also in one large file; reading anything else fails."""
+    return read_records(spark, path, JsonObjects(LABELS.names), ordinal)
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType, key: str = "residue_id") -> tuple[DataFrame, DataFrame]:

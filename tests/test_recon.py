@@ -1,6 +1,8 @@
 """Cells, files, each kind of finding, the partition, cases, classification, review and settlement building on small tables."""
 
+import csv
 import json
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -21,6 +23,7 @@ from tallyspark.operators.components import connected_components
 from tallyspark.plans.reconcile import reconcile
 from tallyspark.schemas import BANK_COLUMNS, LINE_COLUMNS, ORDER_COLUMNS, RECORD, TWIN_UNSETTLED
 from tallyspark.sources import files
+from tallyspark.sources.blocks import CsvCells, read_records
 
 T0 = datetime(2025, 5, 1, 12, 0, 0)
 
@@ -70,6 +73,60 @@ def test_fnv_and_fees(spark):
         spark.createDataFrame([(1, "cash")], "a long, m string").select(c.expected_fee("a", "m")).collect()
 
 
+def test_quoted_files_across_blocks(spark, tmp_path):
+    """Quotes, line ends of all kinds and long cells across block edges: the records, their order, and as many tasks as blocks."""
+    draw = random.Random(3)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for block in (300, 10**8):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            folder, want = tmp_path / str(block), []
+            folder.mkdir()
+            for k, end in enumerate(("\n", "\r\n")):
+                rows = [[draw.choice(["a", "", 'q"x', "l\nm", '",\n"\n\r', " s ", "é,日"]) + str(i) + "z\n" * draw.choice([0, 0, 0, 0, 200]), f"p{k}", draw.choice(["", "x"])] for i in range(120)]
+                with (folder / f"f{k}.csv").open("w", newline="") as out:
+                    w = csv.writer(out, lineterminator=end)
+                    w.writerow(["extra", "  order_id ", "status"] if k else ["status", "order_id", "extra"])
+                    w.writerows([[r[2], r[0], r[1]] if k else [r[1], r[0], r[2]] for r in rows])
+                want += [(r[0], r[1], "") for r in rows]
+            got = read_records(spark, str(folder), CsvCells(["order_id", "status", "absent"]), "at")
+            if block == 300:
+                assert got.rdd.getNumPartitions() > sum(f.stat().st_size for f in folder.iterdir()) // 400
+            found = got.orderBy("at").collect()
+            assert [(r.order_id, r.status, r["absent"]) for r in found] == want and len({r["at"] for r in found}) == len(found)
+            labels = [{"record_type": "t", "record_id": f"r{i}", "true_cause": draw.choice(["A}", 'B"{', "C\\"]), "note": draw.choice(["x}", "\n", None]), "more": {"a": [{}, "}"]}} for i in range(60)]
+            for indent in (None, 2):
+                (tmp_path / "a.json").write_text(json.dumps(labels, indent=indent))
+                read = files.read_labels_json(spark, str(tmp_path / "a.json"), "at").orderBy("at").collect()
+                assert [(r.record_id, r.true_cause, r.note) for r in read] == [(x["record_id"], x["true_cause"], x["note"]) for x in labels]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_csv_dialect(spark, tmp_path):
+    (tmp_path / "x.csv").write_bytes(b'\xef\xbb\xbforder_id,status\r\r\n\n"",\na"b,c"d,e,extra\r"x""y",""\nlast')
+    got = read_records(spark, str(tmp_path / "x.csv"), CsvCells(["status", "order_id"]), "at").orderBy("at").collect()
+    assert [(r.order_id, r.status) for r in got] == [("", ""), ("ab,cd", "e"), ('x"y', ""), ("last", "")]
+    (tmp_path / "none.csv").write_bytes(b"")
+    assert read_records(spark, str(tmp_path / "none.csv"), CsvCells(["status"])).count() == 0
+
+
+@pytest.mark.parametrize("text", ['{"record_id":"a"}', "null", '[{"record_id":"a"} x]', "[1]", '[{"record_id":"a"} {"record_id":"b"}]', '[{"x":1}]', '[{"record_id":"a"}'])
+def test_labels_that_are_no_array_of_objects(spark, tmp_path, text):
+    (tmp_path / "l.json").write_text(text)
+    with pytest.raises(Exception, match="array of objects"):
+        files.read_labels_json(spark, str(tmp_path / "l.json")).collect()
+
+
+def test_first_and_last_by_file_order(spark):
+    row = lambda place, id_, order, amount: (place, id_, "payment", order, amount, "s", datetime(2025, 1, 9 - place), "u")
+    lines = spark.createDataFrame([row(2, "pay_a", "o", 5), row(1, "pay_b", "o", 5), row(3, "pay_c", "p", 5)], "file_order long, entity_id string, type string, order_id string, amount_paise long, settlement_id string, settled_at timestamp, payment_id string")
+    assert {r.order_id: r.entity_id for r in od.payment_line_per_order(lines).collect()} == {"o": "pay_a", "p": "pay_c"}
+    assert {r.order_id: r.entity_id for r in od.payment_line_per_order(lines.drop("file_order")).collect()} == {"o": "pay_b", "p": "pay_c"}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "o.csv").write_text(",".join(ORDER_COLUMNS) + '\r\n"a ""q""\nb",1,INR,2025-05-01T00:00:00Z,paid\r\nshort,2\r\n')
     got = files.read_orders_csv(spark, str(tmp_path / "o.csv")).collect()
@@ -188,8 +245,9 @@ def ids(df, key):
 def test_stage_1(tables):
     o, li, _ = tables
     dup = od.find_duplicate_orders(o, li).collect()
-    assert [(d.order_ids, d.seconds_apart, d.settled_orders, d.unsettled_orders, d.line_ids) for d in dup] == [(["order_d1", "order_d2", "order_d3"], 120, 1, 2, ["pay_d1"])]
-    assert {r.order_id: r.duplicate_of for r in od.find_orders_without_settlement(o, li).collect()} == {"order_d2": "order_d1,order_d3", "order_d3": "order_d1,order_d2", "order_open": None}
+    assert [(d.group_id, d.seconds_apart, d.orders_in_group, d.settled_orders, d.unsettled_orders) for d in dup] == [("order_d1", 120, 3, 1, 2)]
+    assert sorted((t.group_id, t.order_id, t.line_id) for t in od.duplicate_twins(o, li).collect()) == [("order_d1", "order_d1", "pay_d1"), ("order_d1", "order_d2", None), ("order_d1", "order_d3", None)]
+    assert {r.order_id: (r.duplicate_group, r.twins, r.settled_twins) for r in od.find_orders_without_settlement(o, li).collect()} == {"order_d2": ("order_d1", 2, 1), "order_d3": ("order_d1", 2, 1), "order_open": (None, 0, 0)}
     assert ids(od.find_status_contradictions(o, li), "order_id") == ["order_pending"] and ids(od.excluded_orders(o, li), "order_id") == ["order_gone"]
 
 
@@ -332,9 +390,45 @@ def test_runs_past_midnight(spark):
     assert got == {**{f"o{k}": "o0" for k in range(6)}, "x": "x", "y": "y"}
 
 
-def test_band_asof_running(spark):
-    left, right = spark.createDataFrame([(-60,), (10,), (205,)], "a long"), spark.createDataFrame([(-10,), (-61,), (60,), (61,), (250,)], "b long")
-    assert sorted(map(tuple, jn.band_join(left, right, "a", "b", 50).collect())) == [(-60, -61), (-60, -10), (10, -10), (10, 60), (205, 250)]
+def test_runs_of_one_instant_are_summed_up_before_the_shuffle(spark):
+    """Half of all orders have one amount and one time: they meet as one row, and no window holds them."""
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") * 200))
+    df = spark.range(200_000).select(F.concat(F.lit("o"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("id"), F.lit(5).cast("long").alias("amount"), at.alias("at"))
+    runs = jn.runs_by_gap(df, "amount", "at", "id", 90)
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan
+    got = runs.groupBy("run").count().agg(F.count("*"), F.max("count"), F.min("run")).first()
+    assert tuple(got) == (100_001, 100_000, "o0000000")
+    some = spark.createDataFrame([("a", None, datetime(2025, 1, 1)), ("b", 1, None), ("c", 1, datetime(2025, 1, 1))], "id string, amount long, at timestamp")
+    assert {r.id: r.run for r in jn.runs_by_gap(some, "amount", "at", "id", 90).collect()} == {"a": None, "b": None, "c": "c"}
+
+
+def nearest_by_hand(left, right, width, k):
+    return sorted((a, i + 1, b, n) for a, x in left for i, (_, b, n) in enumerate(sorted((abs(x - n), b, n) for b, n in right if abs(x - n) <= width)[:k]))
+
+
+def test_nearest_k(spark):
+    draw = random.Random(6)
+    for spread, width in ((10, 3), (2000, 50), (3, 0)):
+        left = [(f"l{i}", draw.randint(-spread, spread)) for i in range(80)]
+        right = [(f"r{i}", draw.randint(-spread, spread)) for i in range(90)]
+        a = spark.createDataFrame([*left, ("none", None)], "a string, x long").repartition(3)
+        b = spark.createDataFrame([*right, ("none", None)], "b string, y long").repartition(5)
+        got = jn.nearest_k(a, b, "x", "y", "b", width, 5)
+        assert sorted((r.a, r["rank"], r.b, r.y) for r in got.collect()) == nearest_by_hand(left, right, width, 5)
+    assert jn.nearest_k(a, b.where("y > 99"), "x", "y", "b", 5, 2).count() == 0 == jn.nearest_k(a.where("x > 99"), b, "x", "y", "b", 5, 2).count()
+
+
+def test_nearest_k_of_equal_amounts(spark):
+    """10^5 equal amounts on both sides: five rows for each, and no pair more is made."""
+    n = 100_000
+    left = spark.range(n).select("id", F.lit(7).cast("long").alias("x"))
+    right = spark.range(n).select(F.col("id").alias("b"), F.lit(9).cast("long").alias("y"))
+    got = jn.nearest_k(left, right, "x", "y", "b", 50, 5)
+    assert tuple(got.agg(F.count("*"), F.max("b"), F.count_distinct("id")).first()) == (5 * n, 4, n)
+
+
+def test_asof_running(spark):
     days = [date(2025, 1, 5), date(2025, 3, 2), date(2025, 3, 9)]
     due = [date(2025, 1, 1), date(2025, 1, 5), date(2025, 1, 6), date(2025, 3, 5), date(2025, 4, 1)]
     got = {r.due_day: r.batch_day for r in se.assign_debits_to_batch(spark.createDataFrame([(x,) for x in due], "due_day date"), spark.createDataFrame([(x,) for x in days], "batch_day date")).collect()}
