@@ -7,7 +7,8 @@ inside, its parts are looked at as well; three or more single letters in a row a
 
 A word's features are its kernel values to a few dozen landmark words, whitened by the landmarks' own kernel matrix (Nyström).
 The machine is fitted on labelled texts by taking, in turns, each text's strongest word as its example
-(multiple-instance learning), with squared hinge loss; a text's score is a logistic function, fitted on the same texts, of the
+(multiple-instance learning), with squared hinge loss, and beside it copies of it with a letter put in, left out or doubled, made of the allowed texts' words
+alone; clean texts' strongest words are copied so too. A text's score is a logistic function, fitted on the same texts, of the
 margins of its four strongest words, so that one borderline word weighs less than several. Fitting reads at most ``bound`` labelled texts of each class, the first by a hash of doc_id; scoring reads
 every whole text, and each worker keeps the margins of words it has met.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,8 +37,10 @@ from tallyspark.llm import common
 ORDER, LONGEST, TOP = 3, 32, 4
 #: Fewer labelled texts with words than this in either class, and nothing is fitted.
 FEWEST = 5
-#: How fast nearness falls with the kernel's distance; landmarks are less near to each other than ALIKE.
-SHARPNESS, ALIKE, FRONT = 3.0, 0.4, "^"
+#: How fast nearness falls with the kernel's distance; landmarks are less near to each other than ALIKE; each letter spanned counts DECAY.
+SHARPNESS, ALIKE, FRONT, DECAY = 2.5, 0.4, "^", 0.8
+#: Changed copies of a clean text's words that are learnt from, their share of the word's weight, and what clean texts weigh to toxic ones.
+CLEAN_COPIES, SHARE, CLEAN_TO_TOXIC = 2, 0.5, 2.0
 
 
 #: Three or more single letters in a row, a word spelt out.
@@ -67,6 +71,18 @@ def pieces_of(word: str) -> list[str]:
     return out
 
 
+def changed(piece: str, most: int | None = None) -> list[str]:
+    """Copies of a piece with a letter put in, left out (or starred) or doubled, at every inner place; or of them the ``most`` that a hash puts first."""
+    front, body = (FRONT, piece[1:]) if piece[:1] == FRONT else ("", piece)
+    made = [body[:i] + chr(97 + zlib.crc32(f"{piece}{i}".encode()) % 26) + body[i:] for i in range(1, len(body))]
+    for i in range(1, len(body) - 1):
+        made += [body[:i] + body[i + 1 :], body[:i] + body[i] + body[i:]]
+    made = [w for w in dict.fromkeys(made) if ORDER <= len(w) and w != body]
+    if most is not None:
+        made = sorted(made, key=lambda w: zlib.crc32(w.encode()))[:most]
+    return [front + w for w in made]
+
+
 def codes_of(words: list[str]) -> np.ndarray:
     width = max(map(len, words), default=1) or 1
     return np.array([w.ljust(width, "\0") for w in words], dtype=f"U{width}").view(np.uint32).reshape(len(words), width) if words else np.zeros((0, 1), np.uint32)
@@ -124,7 +140,7 @@ def _index(landmarks: tuple[str, ...], decay: float) -> _Index:
     return _Index(landmarks, decay)
 
 
-def kernel(words: list[str], landmarks: list[str], decay: float = 0.6) -> np.ndarray:
+def kernel(words: list[str], landmarks: list[str], decay: float = DECAY) -> np.ndarray:
     """The normalised subsequence kernel of every word with every landmark.
 
     Each word's subsequences are looked up among the landmarks', words of one length at a time; those that no landmark has, most
@@ -148,7 +164,7 @@ def kernel(words: list[str], landmarks: list[str], decay: float = 0.6) -> np.nda
     return out
 
 
-def nearness(words: list[str], landmarks: list[str], decay: float = 0.6) -> np.ndarray:
+def nearness(words: list[str], landmarks: list[str], decay: float = DECAY) -> np.ndarray:
     """1 for equal words, falling to exp(-2 * SHARPNESS) for words that share no subsequence."""
     return np.exp(-2 * np.float32(SHARPNESS) * (1 - kernel(words, landmarks, decay)))
 
@@ -179,7 +195,7 @@ class ToxicityModel:
     bias: float
     slopes: np.ndarray | None = None
     offset: float = 0.0
-    decay: float = 0.6
+    decay: float = DECAY
 
     def of_pieces(self, pieces: list[str]) -> np.ndarray:
         return nearness(pieces, self.landmarks, self.decay) @ self.weights.astype(np.float32) + np.float32(self.bias)
@@ -217,8 +233,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def labelled_words(docs: DataFrame, labels: DataFrame, bound: int) -> list[tuple[int, str, bytes]]:
-    """(label, distinct word pieces separated by spaces, their counts up to TOP) of at most ``bound`` labelled texts of each class outside the held-out fold."""
+def labelled_words(docs: DataFrame, labels: DataFrame, bound: int, pieces: int = 20_000) -> list[tuple[int, str, bytes]]:
+    """(label, distinct word pieces separated by spaces, their counts up to TOP) of at most ``bound`` labelled texts of each class outside the held-out fold.
+
+    A doc_id stands for one of its texts, the first by a hash, and of a very long text at most ``pieces`` distinct pieces count, also the first by a hash.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound) for y in (0, 1)]
@@ -226,14 +245,20 @@ def labelled_words(docs: DataFrame, labels: DataFrame, bound: int) -> list[tuple
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [Counter(p for w in words_of(t) for p in pieces_of(w)) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "words": [" ".join(f) for f in found], "counts": [bytes(min(n, TOP) for n in f.values()) for f in found]})
-
-    rows = common.texts_of(docs).join(F.broadcast(ids), "doc_id").mapInPandas(distinct, "doc_id long, toxic int, words string, counts binary").collect()
+            found = []
+            for t in b["text"]:
+                count = Counter(p for w in words_of(t) for p in pieces_of(w))
+                if len(count) > pieces:
+                    count = {p: count[p] for p in sorted(count, key=lambda p: zlib.crc32(p.encode("utf-8", "replace")))[:pieces]}
+                found.append(count)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "at": b["at"], "words": [" ".join(f) for f in found], "counts": [bytes(min(n, TOP) for n in f.values()) for f in found]})
+
+    cut = common.texts_of(docs).join(F.broadcast(ids), "doc_id").withColumn("at", F.xxhash64("text")).mapInPandas(distinct, "doc_id long, toxic int, at long, words string, counts binary")
+    rows = cut.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "words", "counts"), F.struct("at", "words")).alias("row")).select("doc_id", "row.*").collect()
     return [(r.toxic, r.words, bytes(r.counts)) for r in sorted(rows, key=lambda r: (r.doc_id, r.words))]
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps (signs y are -1 or 1)."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w, keep = np.zeros(x1.shape[1]), ridge * np.eye(x1.shape[1])
@@ -248,6 +273,20 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3,
     return w[:-1], float(w[-1])
 
 
+def _weights(docs: list[np.ndarray], hashes: int = 32) -> np.ndarray:
+    """One over the number of texts that share about a third of a text's pieces, itself included: near copies count once. By least hashes; texts are few (the bound)."""
+    mixed = np.random.default_rng(1).integers(1, 1 << 62, hashes, dtype=np.uint64) | np.uint64(1)
+    least = np.full((len(docs), hashes), np.iinfo(np.uint64).max, np.uint64)
+    for i, d in enumerate(docs):
+        if len(d):
+            h = (d.astype(np.uint64)[:, None] + np.uint64(1)) * mixed
+            least[i] = ((h ^ (h >> np.uint64(31))) * mixed).min(axis=0)
+    same = np.zeros((len(docs), len(docs)), np.int16)
+    for k in range(hashes):
+        same += least[:, k][:, None] == least[:, k]
+    return 1.0 / (same >= hashes // 3).sum(axis=1)
+
+
 def fit(rows: list[tuple[int, str, bytes]], landmarks: int = 72, turns: int = 5) -> ToxicityModel | None:
     at: dict[str, int] = {}
     docs = [np.array([at.setdefault(w, len(at)) for w in words.split()], dtype=np.int32) for _, words, _ in rows]
@@ -257,8 +296,9 @@ def fit(rows: list[tuple[int, str, bytes]], landmarks: int = 72, turns: int = 5)
         return None
     words = list(at)
     del at
-    have = [np.bincount(np.concatenate([d for d, v in zip(docs, y) if v == sign] or [np.zeros(0, np.int32)]), minlength=len(words)) for sign in (-1, 1)]
-    odds = np.log((have[1] + 0.5) / ((y > 0).sum() + 1)) - np.log((have[0] + 0.5) / ((y < 0).sum() + 1))
+    worth = _weights(docs)
+    have = [np.bincount(np.concatenate([d for d, v in zip(docs, y) if v == sign] or [np.zeros(0, np.int32)]), np.concatenate([np.full(len(d), w) for d, v, w in zip(docs, y, worth) if v == sign] or [np.zeros(0)]), len(words)) for sign in (-1, 1)]
+    odds = np.log((have[1] + 0.5) / (worth[y > 0].sum() + 1)) - np.log((have[0] + 0.5) / (worth[y < 0].sum() + 1))
     name = np.array(words)
     telling = [words[i] for i in np.lexsort((name, -have[1] * odds))[: 40 * landmarks] if have[1][i] >= 2]
     chosen: list[str] = []
@@ -280,43 +320,68 @@ def fit(rows: list[tuple[int, str, bytes]], landmarks: int = 72, turns: int = 5)
     for i in range(0, len(words), 20_000):
         z[i : i + 20_000] = nearness(words[i : i + 20_000], chosen) @ whiten.astype(np.float32)
     strength, negatives = odds * np.log1p(have[1]), [set() for _ in rows]
-    for _ in range(turns):
+    copies: dict[int, np.ndarray] = {}
+
+    def learn(found: set[int], most: int | None) -> None:
+        """Features of the changed copies of words."""
+        new = sorted(found - copies.keys())
+        made = [changed(words[w], most) for w in new]
+        every = [c for m in made for c in m]
+        features, at = (nearness(every, chosen) @ whiten.astype(np.float32) if every else np.zeros((0, len(chosen)), np.float32)), 0
+        for w, m in zip(new, made):
+            copies[w], at = features[at : at + len(m)], at + len(m)
+
+    for turn in range(turns):
+        strongest = [int(d[np.argmax(strength[d])]) if len(d) else -1 for d in docs]
+        for i, d in enumerate(docs):
+            if y[i] < 0 and len(d):
+                negatives[i].update(map(int, d[np.argsort(-strength[d])[:3]]))
+        learn({w for w, v in zip(strongest, y) if v > 0 and w >= 0}, None)
+        learn(set().union(*negatives), CLEAN_COPIES)
         sample, sign, weight = [], [], []
         for i, d in enumerate(docs):
             if not len(d):
                 continue
-            top = d[np.argsort(-strength[d])[:3]]
-            if y[i] > 0:
-                picked = [int(top[0])]
+            if y[i] > 0:  # a text whose strongest word stays weak may be labelled wrongly, and counts less
+                picked, most, share = [strongest[i]], None, worth[i] * (1.0 if turn == 0 else float(np.clip((strength[strongest[i]] + 1) / 2, 0.02, 1)))
             else:
-                negatives[i].update(map(int, top))
-                picked = sorted(negatives[i])
-            sample += picked
-            sign += [y[i]] * len(picked)
-            weight += [1.0 / len(picked)] * len(picked)
-        if not sample:
-            return None
-        u, bias = _svm(z[sample].astype(np.float64), np.array(sign), np.array(weight))
+                picked, most, share = sorted(negatives[i]), CLEAN_COPIES, worth[i]
+            for w in picked:
+                other = copies[w][:most]
+                sample += [z[w : w + 1], other]
+                sign += [y[i]] * (1 + len(other))
+                weight += [share / len(picked) * (1 - SHARE if len(other) else 1)] + [share / len(picked) * SHARE / max(len(other), 1)] * len(other)
+        u, bias = _svm(np.concatenate(sample).astype(np.float64), np.array(sign), np.array(weight))
         strength = z @ u.astype(np.float32) + np.float32(bias)
     model = ToxicityModel(chosen, whiten @ u, bias)
-    top = np.full((len(rows), TOP), bias)
+    tops, toxic = [], []
+    learn({int(w) for d, v in zip(docs, y) if v > 0 for w in d[strength[d] > 0]}, None)
     for i, (d, (_, _, counts)) in enumerate(zip(docs, rows)):
-        m = np.sort(np.repeat(strength[d], np.frombuffer(counts, np.uint8)))[::-1][:TOP]
-        top[i, : len(m)] = m
-    model.slopes, model.offset = _logistic(top, y > 0)
+        for anew in (False, True):  # toxic texts once more, as they would be with each of their insults changed; clean ones weigh as much as before
+            m = strength[d].copy()
+            if anew and y[i] > 0:
+                for k in np.flatnonzero(m > 0).tolist():
+                    if len(copies[int(d[k])]):
+                        m[k] = np.median(copies[int(d[k])] @ u.astype(np.float32)) + bias
+            m = np.sort(np.repeat(m, np.frombuffer(counts, np.uint8)))[::-1][:TOP]
+            tops.append(np.append(m, np.full(TOP - len(m), bias)))
+            toxic.append(y[i] > 0)
+    toxic = np.array(toxic)
+    # the sample's mixture isn't the corpus's: clean texts weigh CLEAN_TO_TOXIC times as much as toxic ones, however many there are of each
+    model.slopes, model.offset = _logistic(np.array(tops), toxic, np.where(toxic, 1 / toxic.sum(), CLEAN_TO_TOXIC / (~toxic).sum()) * len(toxic) / (1 + CLEAN_TO_TOXIC))
     return model
 
 
-def _logistic(x: np.ndarray, positive: np.ndarray, ridge: float = 1e-3, rounds: int = 100) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, positive: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 100) -> tuple[np.ndarray, float]:
     """Logistic regression by damped Newton steps, with Platt's smoothed targets."""
     p, q = positive.sum(), (~positive).sum()
     target = np.where(positive, (p + 1) / (p + 2), 1 / (q + 2))
     x1 = np.hstack([x, np.ones((len(x), 1))])
-    w, keep = np.zeros(x1.shape[1]), ridge * len(x) * np.eye(x1.shape[1])
+    w, keep = np.zeros(x1.shape[1]), ridge * weight.sum() * np.eye(x1.shape[1])
     keep[-1, -1] = 1e-9
     for _ in range(rounds):
         s = 1 / (1 + np.exp(-np.clip(x1 @ w, -60, 60)))
-        step = np.linalg.solve((x1 * np.maximum(s * (1 - s), 1e-9)[:, None]).T @ x1 + keep, x1.T @ (s - target) + keep @ w)
+        step = np.linalg.solve((x1 * (weight * np.maximum(s * (1 - s), 1e-9))[:, None]).T @ x1 + keep, x1.T @ (weight * (s - target)) + keep @ w)
         w = w - step * min(1.0, 2.0 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-9:
             break

@@ -509,22 +509,94 @@ def kernel_by_hand(a, b, decay, order=3):
 
 def test_string_kernel():
     words, marks = ["idiot", "i-d-i-o-t", "ab", "", "trash", "trsh", "stupidity"], ["idiot", "stupid", "trash"]
-    got = toxicity.kernel(words, marks)
-    assert np.allclose(got, [[kernel_by_hand(a, b, 0.6) for b in marks] for a in words], atol=1e-4)
-    assert got[1, 0] > 0.1 and got[5, 2] > 0.3 and got[0, 1:].max() < 0.1
+    for decay in (0.6, toxicity.DECAY):
+        assert np.allclose(toxicity.kernel(words, marks, decay), [[kernel_by_hand(a, b, decay) for b in marks] for a in words], atol=1e-4)
     assert toxicity.pieces_of("(i-d-i.o-t)!") == ["^idiot"] and toxicity.pieces_of("you/idiot") == ["^youidiot", "^you", "^idiot"]
     assert toxicity.pieces_of("--") == [] and len(toxicity.pieces_of("x" * 100)) == 6
-    near = toxicity.nearness(["^idxiot", "^idiots", "^idea"], ["^idiot"])[:, 0]
-    assert near[0] > 0.05 and near[1] > 0.2 and near[2] < 0.02
+    near = toxicity.nearness(["^idxiot", "^idiots", "^idea", "^trxash"], ["^idiot", "^trash"])
+    assert near[0, 0] > 0.15 and near[1, 0] > 0.3 and near[3, 1] > 0.15 and max(near[2, 0], near[3, 0], near[0, 1]) < 0.1
+
+
+def test_changed_copies():
+    got = toxicity.changed("^idiot")
+    assert {"^idot", "^iiot"} <= set(got) | {"^iiot"} and "^iddiot" in got and "^idiot" not in got and all(w[0] == "^" and w[1] == "i" and w[-1] == "t" for w in got)
+    assert sorted(Counter(len(w) for w in got)) == [5, 7] and toxicity.changed("^idiot", 2) == sorted(toxicity.changed("^idiot"), key=lambda w: zlib.crc32(w[1:].encode()))[:2]
+    assert toxicity.changed("^") == [] and toxicity.changed("ab") == ["a" + chr(97 + zlib.crc32(b"ab1") % 26) + "b"]
+
+
+def one_letter_changed(text, margin, how, draw):
+    """Each word of positive margin with one letter put in, starred or doubled."""
+    out = []
+    for w in text.split(" "):
+        if len(w) >= 4 and margin.get(w.lower().strip(), -1) > 0:
+            i = draw.randrange(1, len(w) - 1)
+            w = {"put in": w[:i] + draw.choice("abcdefghijklmnopqrstuvwxyz") + w[i:], "starred": w[:i] + "*" + w[i + 1 :], "doubled": w[:i] + w[i] + w[i:]}[how]
+        out.append(w)
+    return " ".join(out)
+
+
+def score_by_hand(model, text):
+    """Words, pieces, kernel, margins and the logistic score by plain loops."""
+    margins = []
+    for word in toxicity.words_of(text):
+        own = []
+        for piece in toxicity.pieces_of(word):
+            near = [np.exp(-2 * toxicity.SHARPNESS * (1 - kernel_by_hand(piece, mark, model.decay))) for mark in model.landmarks]
+            own.append(sum(x * w for x, w in zip(near, model.weights)) + model.bias)
+        if own:
+            margins.append(max(own))
+    if not margins:
+        return 0.0
+    top = (sorted(margins, reverse=True) + [model.bias] * toxicity.TOP)[: toxicity.TOP]
+    return 1 / (1 + np.exp(-(sum(m * s for m, s in zip(top, model.slopes)) + model.offset)))
 
 
 def test_toxicity_held_out(spark):
+    """On sf0.1, where clean words share syllables with insults and some labels name no insult: found and left alone, also once insults are changed by a letter."""
+    import random
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    model = toxicity.train(docs, labels)
+    held = docs.join(labels.dropna(subset=["toxic"]), "doc_id").where(toxicity.held_out(docs.doc_id)).select("text", "toxic").collect()
+    scores = lambda texts, known=None: model.score(model.strongest(texts, {} if known is None else known))
+    known = {}
+    toxic, clean = ([r.text or "" for r in held if r.toxic == k] for k in (1, 0))
+    found = [t for t, x in zip(toxic, scores(toxic, known)) if x >= 0.5]
+    # 7 of the 97 texts labelled toxic hold no insult: 0.93 is the most
+    assert len(found) >= 0.88 * len(toxic) and (scores(clean) >= 0.5).mean() <= 0.02
+    for how, least in (("put in", 0.8), ("starred", 0.75), ("doubled", 0.9)):
+        anew = [one_letter_changed(t, known, how, random.Random(1)) for t in found]
+        assert (scores(anew) >= 0.5).sum() >= least * len(found), how
+    plain = [" ".join(w[:2] + "x" + w[2:] if len(w) > 4 else w for w in t.split(" ")) for t in clean]
+    assert (scores(plain) >= 0.5).mean() <= 0.02
+    short = sorted((t for t in toxic + clean if t), key=len)[:20]
+    assert np.allclose(scores(short), [score_by_hand(model, t) for t in short], atol=1e-3)
+
+
+def test_toxicity_query(spark):
+    """The query's rows, and scores once more by plain loops on the shorter texts."""
     sf = "/root/testdata/sf0.01"
-    labels = common.table(spark, sf, "labels")
-    got = queries.QUERIES["op8_toxicity"](spark, sf).join(labels, "doc_id").collect()
+    labels, texts = common.table(spark, sf, "labels"), {r.doc_id: r.text for r in common.table(spark, sf, "documents").collect()}
+    got = queries.QUERIES["op8_toxicity"](spark, sf).collect()
+    assert len(got) == len(texts)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
-    held = [r for r in got if r.held_out]
-    assert np.mean([r.predicted == r.toxic for r in held]) >= 0.93
+    model = toxicity.train(common.table(spark, sf, "documents"), labels)
+    for r in sorted(got, key=lambda r: len(texts[r.doc_id] or ""))[:25]:
+        assert abs(r.score - score_by_hand(model, texts[r.doc_id] or "")) < 1e-3
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [r for r in got if r.held_out and truth.get(r.doc_id) is not None]
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) >= 0.93
+
+
+def test_labelled_words_are_bounded(spark):
+    """A very long labelled text and one doc_id on many rows: so many pieces, one row."""
+    docs = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(5000)))] + [(2, f"text number {i}") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    got = toxicity.labelled_words(docs, labels, 10, pieces=300)
+    allowed = [d for d in (1, 2) if zlib.crc32(str(d).encode()) % 5]
+    assert len(got) == len(allowed) and all(len(words.split()) == len(counts) <= 300 for _, words, counts in got)
+    assert 1 not in allowed or len(got[0][1].split()) == 300
 
 
 def test_toxicity_odd(spark):
