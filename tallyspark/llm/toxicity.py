@@ -40,7 +40,7 @@ FEWEST = 5
 #: How fast nearness falls with the kernel's distance; landmarks are less near to each other than ALIKE; each letter spanned counts DECAY.
 SHARPNESS, ALIKE, FRONT, DECAY = 2.5, 0.4, "^", 0.8
 #: Changed copies of a clean text's words that are learnt from, their share of the word's weight, and what clean texts weigh to toxic ones.
-CLEAN_COPIES, SHARE, CLEAN_TO_TOXIC = 2, 0.5, 2.0
+CLEAN_COPIES, SHARE, CLEAN_TO_TOXIC = 2, 0.5, 2.5
 
 
 #: Three or more single letters in a row, a word spelt out.
@@ -351,6 +351,8 @@ def fit(rows: list[tuple[int, str, bytes]], landmarks: int = 72, turns: int = 5)
                 sample += [z[w : w + 1], other]
                 sign += [y[i]] * (1 + len(other))
                 weight += [share / len(picked) * (1 - SHARE if len(other) else 1)] + [share / len(picked) * SHARE / max(len(other), 1)] * len(other)
+        # a word that is near no landmark is clean, also where the sample has none such
+        sample, sign, weight = [*sample, np.zeros((1, len(chosen)), np.float32)], [*sign, -1.0], [*weight, 0.3 * sum(weight)]
         u, bias = _svm(np.concatenate(sample).astype(np.float64), np.array(sign), np.array(weight))
         strength = z @ u.astype(np.float32) + np.float32(bias)
     model = ToxicityModel(chosen, whiten @ u, bias)
@@ -366,6 +368,9 @@ def fit(rows: list[tuple[int, str, bytes]], landmarks: int = 72, turns: int = 5)
             m = np.sort(np.repeat(m, np.frombuffer(counts, np.uint8)))[::-1][:TOP]
             tops.append(np.append(m, np.full(TOP - len(m), bias)))
             toxic.append(y[i] > 0)
+    for _ in range(len(rows) // 5 + 1):  # and so is a text of such words
+        tops.append(np.full(TOP, bias))
+        toxic.append(False)
     toxic = np.array(toxic)
     # the sample's mixture isn't the corpus's: clean texts weigh CLEAN_TO_TOXIC times as much as toxic ones, however many there are of each
     model.slopes, model.offset = _logistic(np.array(tops), toxic, np.where(toxic, 1 / toxic.sum(), CLEAN_TO_TOXIC / (~toxic).sum()) * len(toxic) / (1 + CLEAN_TO_TOXIC))
