@@ -45,7 +45,7 @@ from tallyspark.schemas import (
     TWIN_SETTLED,
     TWIN_UNSETTLED,
 )
-from tallyspark.sources import files
+from tallyspark.sources import files, log
 from tallyspark.sources import ledger as L
 from tallyspark.sources.shared import shared_dir, stored
 
@@ -179,6 +179,35 @@ def _(s, d):
     return _logged(s, d)[0]
 
 
+def _commits(s, d) -> tuple[str, T.StructType]:
+    """A log of three commits and a torn one: all orders, every third anew, every seventh once more."""
+    path, o = shared_dir(s), L.orders(s, d).select(F.col("order_id").alias("residue_id"), F.lit("first").alias("status"), F.col("amount_paise").alias("latency_ms"))
+    number = F.regexp_extract("residue_id", r"(\d+)$", 1).cast("bigint")
+    log.append(o, path, "residue_id")
+    log.append(o.where(number % 3 == 0).withColumn("status", F.lit("second")), path, "residue_id")
+    log.append(o.where(number % 7 == 0).withColumn("status", F.lit("third")), path, "residue_id")
+    torn = o.where(number % 5 == 0).select(F.concat(F.lit('{"residue_id":"'), "residue_id", F.lit('","sta')).alias("value"), F.pmod(F.xxhash64("residue_id"), F.lit(64)).alias("bucket"))
+    torn.write.mode("append").partitionBy("bucket").text(path)
+    return path, T.StructType([T.StructField("residue_id", T.StringType()), T.StructField("status", T.StringType()), T.StructField("latency_ms", T.LongType())])
+
+
+_LAST = "SELECT order_id AS residue_id, CASE WHEN n % 7 = 0 THEN 'third' WHEN n % 3 = 0 THEN 'second' ELSE 'first' END AS status, amount AS latency_ms, CASE WHEN n % 7 = 0 THEN 3 WHEN n % 3 = 0 THEN 2 ELSE 1 END AS commit FROM (SELECT *, CAST(regexp_extract(order_id, '([0-9]+)$', 1) AS BIGINT) AS n FROM o)"
+
+
+@query("a7_append_log", _LAST)
+def _(s, d):
+    path, schema = _commits(s, d)
+    return log.latest(log.read(s, path, schema, "residue_id")[0], "residue_id").drop("ordinal")
+
+
+@query("h9_compacted_log", f"{_LAST} UNION ALL SELECT 'torn', 'lines', 0, count(*) FROM o WHERE false")
+def _(s, d):
+    path, schema = _commits(s, d)
+    log.compact(s, path, schema, "residue_id")
+    rows, torn = log.read(s, path, schema, "residue_id")  # nothing left to choose among
+    return rows.drop("ordinal").unionByName(torn.agg(F.count("*").alias("commit")).select(F.lit("torn").alias("residue_id"), F.lit("lines").alias("status"), F.lit(0).cast("long").alias("latency_ms"), "commit"))
+
+
 @query("a6_write_normalize_log", "SELECT 'orders' AS source, count(*) AS rows FROM o UNION ALL SELECT 'settlement_report', count(*) FROM ln UNION ALL SELECT 'bank_statement', count(*) FROM bk")
 def _(s, d):
     path = shared_dir(s)

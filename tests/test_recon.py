@@ -7,6 +7,7 @@ from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.functions import cells as c
 from tallyspark.operators import assemble as a
@@ -22,7 +23,7 @@ from tallyspark.operators import verify as vf
 from tallyspark.operators.components import connected_components
 from tallyspark.plans.reconcile import reconcile
 from tallyspark.schemas import BANK_COLUMNS, LINE_COLUMNS, ORDER_COLUMNS, RECORD, TWIN_UNSETTLED
-from tallyspark.sources import files
+from tallyspark.sources import files, log
 from tallyspark.sources.blocks import CsvCells, read_records
 
 T0 = datetime(2025, 5, 1, 12, 0, 0)
@@ -120,6 +121,26 @@ def test_labels_that_are_no_array_of_objects(spark, tmp_path, text):
         files.read_labels_json(spark, str(tmp_path / "l.json")).collect()
 
 
+def test_log_keeps_the_order_of_appends(spark, tmp_path):
+    path, schema = str(tmp_path / "log"), T.StructType([T.StructField("residue_id", T.StringType()), T.StructField("status", T.StringType())])
+    make = lambda *rows: spark.createDataFrame(list(rows), schema)
+    assert log.append(make(("a", "1"), ("b", "1"), ("c", "1"), (None, "x")), path, "residue_id", 8) == 1
+    assert log.compact(spark, path, schema, "residue_id") == []  # nothing superseded, nothing rewritten
+    assert log.append(make(("a", "2"), ("b", "2"), ("b", "3")).coalesce(1), path, "residue_id", 8) == 2
+    log.claim(spark, path)  # an append that failed after its claim
+    assert log.append(make(("a", "0")), path, "residue_id", 8) == 4
+    spark.createDataFrame([('{"residue_id":"c","sta', 3)], "value string, bucket long").write.mode("append").partitionBy("bucket").text(path)
+    last = lambda: {r.residue_id: (r.status, r.commit) for r in log.latest(log.read(spark, path, schema, "residue_id")[0], "residue_id").collect()}
+    want = {"a": ("0", 4), "b": ("3", 2), "c": ("1", 1)}
+    assert last() == want and log.read(spark, path, schema, "residue_id")[1].count() == 1
+    home = {k: spark.createDataFrame([(k,)], "k string").select(F.pmod(F.xxhash64("k"), F.lit(8))).first()[0] for k in "abc"}
+    kept = {f for f in (tmp_path / "log").rglob("*.json") if f.parent.name not in {f"bucket={b}" for b in (home["a"], home["b"], 3)}}
+    assert log.compact(spark, path, schema, "residue_id") == sorted({home["a"], home["b"], 3})
+    rows, torn = log.read(spark, path, schema, "residue_id")
+    assert last() == want and rows.count() == 3 and torn.count() == 0 and all(f.exists() for f in kept)
+    assert log.compact(spark, path, schema, "residue_id") == []
+
+
 def test_first_and_last_by_file_order(spark):
     row = lambda place, id_, order, amount: (place, id_, "payment", order, amount, "s", datetime(2025, 1, 9 - place), "u")
     lines = spark.createDataFrame([row(2, "pay_a", "o", 5), row(1, "pay_b", "o", 5), row(3, "pay_c", "p", 5)], "file_order long, entity_id string, type string, order_id string, amount_paise long, settlement_id string, settled_at timestamp, payment_id string")
