@@ -6,7 +6,7 @@ once, on the driver, on a small labelled table (the one below, or the caller's);
 number of weights. N-grams of 3 to 5 characters are taken from ``host`` between ``^`` and ``$`` and from ``path``, the two kinds hashed apart.
 
 A null url, or one without ``://``, has an empty host and path and no rule; the model sees no n-grams and its bias decides
-(allow). Very long urls are read whole. Repeated rows are judged alike; an empty table gives no rows.
+(allow, as most of the table is). Very long urls are read whole. Repeated rows are judged alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -89,10 +89,11 @@ class UrlModel:
         n = np.array([len(c) for c in cells], np.int64)
         row, column = np.repeat(np.arange(len(rows)), n), np.searchsorted(columns, np.concatenate([*cells, np.zeros(0, np.int64)]))
         value = np.repeat(1 / np.sqrt(np.maximum(n, 1)), n)
-        w, b = np.zeros(len(columns)), -1.0  # a name that it knows nothing of is kept
+        w, b = np.zeros(len(columns)), 0.0
         for _ in range(rounds):
             s = 1 / (1 + np.exp(-(np.bincount(row, value * w[column], len(rows)) + b)))
             w -= rate * (np.bincount(column, value * (s - y)[row], len(columns)) / max(1, len(rows)) * 50 + ridge * w)
+            b -= rate * (s - y).sum() / max(1, len(rows))
         self.bias, self.weights = b, np.zeros(size, np.float32)
         self.weights[columns] = w
 
