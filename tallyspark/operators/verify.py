@@ -177,6 +177,14 @@ def defect_conformance(detected: DataFrame, labels: DataFrame) -> DataFrame:
     return both.groupBy("cause").agg(F.sum("t").alias("labelled"), F.sum("f").alias("detected"), F.sum(F.col("t") * F.col("f")).alias("recalled"), F.sum(F.col("t") * (1 - F.col("f"))).alias("missed"), F.sum((1 - F.col("t")) * F.col("f")).alias("extra"))
 
 
+def check_conformance(detected: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each cause's labels show in the sources, and no record looks defective without a label: a failure for each cause and kind of miss."""
+    rows = defect_conformance(detected, labels)
+    told = F.array(F.when(F.col("missed") > 0, F.concat("cause", F.lit(": "), F.col("missed").cast("string"), F.lit(" labels don't show"))), F.when(F.col("extra") > 0, F.concat("cause", F.lit(": "), F.col("extra").cast("string"), F.lit(" records without a label look defective"))))
+    bad = rows.select(F.explode(F.array_compact(told)).alias("what"))
+    return _check("every defect shows exactly as its cause says", bad, F.col("what"))
+
+
 def verification_report(*checks: DataFrame) -> DataFrame:
     """All checks, and a row ``all`` that passes if they all do."""
     every = stored(reduce(DataFrame.unionByName, checks))

@@ -979,7 +979,12 @@ def _(s, d):
     return vf.defect_conformance(vf.detect_defects(*ledger(s, d)), L.labels(s, d))
 
 
-_REPORT = f"""SELECT 'settlement net is credits less debits' AS "check", count(*) AS n FROM g WHERE stated <> net
+_CONFORM = f"""SELECT cause, CAST(sum(t) AS BIGINT) AS labelled, CAST(sum(f) AS BIGINT) AS detected, CAST(sum(t * f) AS BIGINT) AS recalled, CAST(sum(t * (1 - f)) AS BIGINT) AS missed, CAST(sum((1 - t) * f) AS BIGINT) AS extra FROM (
+  SELECT coalesce(l.true_cause, x.cause) AS cause, CAST(l.record_id IS NOT NULL AS INTEGER) AS t, CAST(x.record_id IS NOT NULL AS INTEGER) AS f FROM lab l FULL JOIN ({_DETECTED}) x ON x.cause = l.true_cause AND x.record_id = l.record_id) GROUP BY cause"""
+
+
+_REPORT = f"""SELECT 'every defect shows exactly as its cause says' AS "check", CAST(coalesce(sum(CAST(missed > 0 AS BIGINT) + CAST(extra > 0 AS BIGINT)), 0) AS BIGINT) AS n FROM ({_CONFORM})
+  UNION ALL SELECT 'settlement net is credits less debits' AS "check", count(*) AS n FROM g WHERE stated <> net
   UNION ALL SELECT 'a processed batch has exactly one equal bank credit, a held one none', count(*) FROM ({_ONE_CREDIT})
   UNION ALL SELECT 'the running balance adds up', count(*) FROM (SELECT balance, 25000000 + sum(credit) OVER (ORDER BY bank_txn_id ROWS UNBOUNDED PRECEDING) AS b FROM bal) WHERE balance <> b
   UNION ALL SELECT 'there are as many labels as expected', CAST(count(*) <> 100 AS BIGINT) FROM lab
@@ -990,12 +995,18 @@ _REPORT = f"""SELECT 'settlement net is credits less debits' AS "check", count(*
   UNION ALL SELECT 'nets rebuild from the fee slabs', CAST(sum(n) AS BIGINT) FROM ({_REBUILT})"""
 
 
+@query("i11_conformance_check", f"""SELECT "check", CAST(n = 0 AS BIGINT) AS passed, n AS failures, coalesce((SELECT min(t) FROM (SELECT CASE WHEN missed > 0 THEN cause || ': ' || missed || ' labels don''t show' END AS t FROM ({_CONFORM}) UNION ALL SELECT CASE WHEN extra > 0 THEN cause || ': ' || extra || ' records without a label look defective' END FROM ({_CONFORM}))), '') AS detail
+  FROM ({_REPORT}) WHERE "check" = 'every defect shows exactly as its cause says'""")
+def _(s, d):
+    return vf.check_conformance(vf.detect_defects(*ledger(s, d)), L.labels(s, d)).withColumn("passed", F.col("passed").cast("bigint"))
+
+
 @query("i12_verification_report", f"""SELECT "check", CAST(n = 0 AS BIGINT) AS passed, n AS failures FROM ({_REPORT}) UNION ALL SELECT 'all', CAST(sum(n) = 0 AS BIGINT), CAST(sum(n) AS BIGINT) FROM ({_REPORT})""")
 def _(s, d):
     o, li, b = (stored(x) for x in ledger(s, d))
     lab, raw = stored(L.labels(s, d)), {"orders": L.raw_orders(s, d), "settlement_report": L.raw_lines(s, d)}
     checks = [vf.check_settlement_net(li, lab), vf.check_one_credit_per_batch(li, b), vf.check_running_balance(b, ["value_date", "bank_txn_id"]), vf.check_label_count(lab, 100), vf.check_label_integrity(lab, o, li, b)]
-    checks += [vf.check_label_leak(lab, **raw, bank_statement=L.raw_bank(s, d)), _chronology(s, d), vf.check_integer_money(**raw), vf.check_fee_reconstruction(li, lab)]
+    checks += [vf.check_label_leak(lab, **raw, bank_statement=L.raw_bank(s, d)), _chronology(s, d), vf.check_integer_money(**raw), vf.check_fee_reconstruction(li, lab), vf.check_conformance(vf.detect_defects(o, li, b), lab)]
     return vf.verification_report(*checks).select("check", F.col("passed").cast("bigint").alias("passed"), "failures")
 
 
