@@ -52,13 +52,15 @@ from tallyspark.sources.shared import shared_dir, stored
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: The same without the common table expressions, for queries whose SQL builds on another's.
+_SELECTS: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def put(f: Query) -> Query:
         QUERIES[name] = lambda spark, sf_dir: portable(f(spark, sf_dir))
         if oracle is not None:
-            ORACLES[name] = sql(oracle)
+            ORACLES[name], _SELECTS[name] = sql(oracle), oracle
         return f
 
     return put
@@ -801,7 +803,73 @@ def _(s, d):
     return cl.validate_classification(odd).select("residue_id", "errors")
 
 
-@query("h5_case_brief")
+def _told(name: str, code: str, stage: int, place: int, key: str, *leave: str, more: str = "", rename: str = "") -> str:
+    """The evidence of one kind of finding: the other columns of its query's SQL, a row for each that isn't null."""
+    columns = f"* EXCLUDE ({', '.join([key, *leave])})"
+    old, _, new = rename.partition(" ")
+    name_of = f"CASE k WHEN '{old}' THEN '{new}' ELSE k END" if rename else "k"
+    return f"""SELECT '{code}:' || _id AS finding_id, {stage} AS stage, '{place}:' || _id AS place, '{code}' AS code, {name_of} AS key,
+    CASE WHEN regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9:]{{8}}') THEN replace(v, ' ', 'T') || 'Z' WHEN k IN ('shortfall_pct', 'effective_bp') THEN regexp_replace(v, '[.]0$', '') ELSE v END AS value
+    FROM (UNPIVOT (SELECT {key} AS _id, CAST(COLUMNS({columns}) AS VARCHAR){more} FROM ({_SELECTS[name]})) ON COLUMNS(* EXCLUDE (_id)) INTO NAME k VALUE v)"""
+
+
+_BATCH = {"key": "settlement_id", "rename": "status settlement_status"}
+_EVIDENCE = " UNION ALL ".join(
+    [
+        _told("c3_duplicate_orders", "DUPLICATE_ORDER_PAIR", 1, 0, "group_id"),
+        _told("c4_orders_without_settlement", "ORDER_WITHOUT_SETTLEMENT", 1, 1, "order_id", "twins", "settled_twins"),
+        _told("c5_status_contradictions", "ORDER_STATUS_CONTRADICTION", 1, 1, "order_id", "line_id"),
+        *(_told(k, "ORPHAN_SETTLEMENT_LINE", 2, 0, "line_id") for k in ("d2_orphan_adjustments", "d3_orphan_refunds", "d5_orphan_payments")),
+        _told("d6_short_captures", "SHORT_CAPTURE", 2, 0, "line_id", "order_id"),
+        _told("d7_fee_mismatches", "FEE_SLAB_MISMATCH", 2, 0, "line_id", "order_id"),
+        _told("e3_settlements_on_hold", "SETTLEMENT_ON_HOLD", 3, 0, more=", '0' AS bank_rows_for_utr", **_BATCH),
+        _told("e4_unexpected_credit_on_hold", "UNEXPECTED_BANK_CREDIT_ON_HOLD", 3, 0, **_BATCH),
+        _told("e5_missing_bank_credit", "SETTLEMENT_WITHOUT_BANK_CREDIT", 3, 0, **_BATCH),
+        _told("e6_net_mismatch", "NET_MISMATCH", 3, 0, more=", '1' AS tolerance_paise", **_BATCH),
+        _told("e7_unclaimed_bank_credits", "BANK_CREDIT_WITHOUT_SETTLEMENT", 3, 1, "bank_txn_id"),
+        _told("f3_settlement_delays", "SETTLEMENT_DELAY", 4, 0, "line_id", "order_id", rename="created_at order_created_at"),
+    ]
+)
+_JSON_AT = "strftime({0}, '%Y-%m-%dT%H:%M:%S.000Z')"
+
+
+def _json(*fields: str) -> str:
+    """name:value for numbers, name=value for texts; fields that are null are left out."""
+    parts = []
+    for f in fields:
+        name, text, value = f.partition("=") if "=" in f else f.partition(":")
+        parts.append(f"""'"{name}":' || """ + (f"""'"' || {value} || '"'""" if text == "=" else f"{value}"))
+    return "'{' || concat_ws(',', " + ", ".join(parts) + ") || '}'"
+
+
+_RECORD_JSON = {
+    "order": ("o.order_id", "o", _json("order_id=o.order_id", "amount_paise:o.amount", "currency='INR'", f"created_at={_JSON_AT.format('o.created')}", "status=o.status")),
+    "settlement_line": ("ln.entity_id", "ln", _json("entity_id=ln.entity_id", "type=ln.type", "order_id=ln.order_id", "payment_id=ln.payment_id", "method=ln.method", "currency=CASE WHEN ln.type IN ('payment', 'refund') THEN 'INR' END", "debit_paise:ln.debit", "credit_paise:ln.credit", "amount_paise:ln.amount", "fee_paise:ln.fee", "tax_paise:ln.tax", "settlement_id=ln.settlement_id", f"settled_at={_JSON_AT.format('ln.settled')}", "settlement_utr=ln.utr", "settlement_status=ln.settlement_status", "settlement_net_amount_paise:ln.stated", "settlement_fee_paise:ln.sfee", "settlement_tax_paise:ln.stax", f"settlement_created_at={_JSON_AT.format('ln.settled')}")),
+    "bank_txn": ("bal.bank_txn_id", "bal", _json("bank_txn_id=bal.bank_txn_id", "value_date=strftime(bal.value_date, '%Y-%m-%d')", "description=bal.description", "utr=bal.utr", "description_format=bal.format", "credit_paise:bal.credit", "debit_paise:0", "running_balance_paise:bal.balance")),
+    "settlement": ("g.settlement_id", "g", _json("settlement_id=g.settlement_id", "utr=g.utr", "status=g.status", f"settled_at={_JSON_AT.format('g.settled')}", "expected_net_paise:g.net", "stated_net_paise:g.stated", "line_count:g.line_count")),
+}
+
+
+@query(
+    "h5_case_brief",
+    _SELECTS["g7_residue_candidates"].split(") SELECT residue_id, kind")[0]
+    + f"""), evidence AS (
+  SELECT residue_id, key, code, min((stage, place, code)) AS first, arg_min(value, (stage, place, code)) AS first_value, max((stage, place, code)) AS last, arg_max(value, (stage, place, code)) AS last_value
+  FROM ({_EVIDENCE}) JOIN (SELECT finding_id, residue_id FROM cases) USING (finding_id) GROUP BY residue_id, key, code
+), kept AS (
+  SELECT *, min(first) OVER (PARTITION BY residue_id, key) AS head FROM evidence
+), lines_of AS (
+  SELECT residue_id, key, first_value AS value FROM kept WHERE first = head UNION ALL SELECT residue_id, code || '.' || key, last_value FROM kept WHERE last > head
+), near AS (
+  SELECT residue_id, kind, id, reason, min((stage, place, k)) AS first, arg_min(shown, (stage, place, k)) AS shown, arg_min(stage, (stage, place, k)) AS stage, arg_min(place, (stage, place, k)) AS place, arg_min(k, (stage, place, k)) AS k
+  FROM cand JOIN cases USING (finding_id) GROUP BY residue_id, kind, id, reason
+)
+SELECT DISTINCT residue_id, '1 FINDINGS' AS section, code AS place, code AS text FROM cases
+UNION ALL SELECT residue_id, '2 EVIDENCE', key, key || ' = ' || value FROM lines_of
+"""
+    + "".join(f"UNION ALL SELECT re.residue_id, '3 RECORDS', kind || ':' || id, kind || ' ' || id || ': ' || {made} FROM re JOIN {table} ON kind = '{kind}' AND {key} = id\n" for kind, (key, table, made) in _RECORD_JSON.items())
+    + "UNION ALL SELECT residue_id, '4 NEAR MISSES', stage || ':' || place || ':' || lpad(CAST(k AS VARCHAR), 10, '0') || ':' || kind || ':' || id, kind || ' ' || id || ': ' || reason || ' (' || replace(replace(shown, ',', ', '), '=', ' = ') || ')' FROM near",
+)
 def _(s, d):
     r = result(s, d)
     return cl.case_lines(r["residue"], r["residue_entities"], r["residue_candidates"])
