@@ -28,6 +28,7 @@ from tallyspark.schemas import (
     INSUFFICIENT,
     RECORD,
 )
+from tallyspark.sources import log
 
 RULES_NAME, RULES_MODEL = "rules-baseline", "deterministic-rules-v1"
 
@@ -203,8 +204,8 @@ def classify_with(briefs: DataFrame, provider: Callable[[str], dict], name: str,
     """Classification records of a caller's function, called once for each case.
 
     An answer that breaks the schema is asked for again with the error added to the brief; after that, and when the call itself
-    fails, a record that needs review is returned, so that one case never fails the job. Retried tasks call again: write results in
-    batches and resume with pending_cases.
+    fails, a record that needs review is returned, so that one case never fails the job. Retried tasks call again: classify_logged commits
+    records batch by batch and asks for no committed case.
     """
 
     def one(case: str, brief: str) -> str:
@@ -242,6 +243,24 @@ def classify_with(briefs: DataFrame, provider: Callable[[str], dict], name: str,
     return lines.select(F.from_json("line", RECORD).alias("r")).select("r.*")
 
 
+def classify_logged(briefs: DataFrame, provider: Callable[[str], dict], name: str, model: str, path: str, batches: int = 16, retry_failed: bool = False) -> DataFrame:
+    """classify_with through a log (sources.log): cases are asked in batches, dealt by a hash of their id, each one commit; gives the last record of every case.
+
+    Cases with a committed record aren't asked again, so a run that breaks off, or a task that is lost, costs the calls of the batch it was in and no more.
+    Records of another provider or model are refused before anything is asked.
+    """
+    spark = briefs.sparkSession
+    log.claim(spark, path)  # so that there is a folder to read
+    for k in range(batches):
+        done = log.latest(log.read(spark, path, RECORD, "residue_id")[0], "residue_id")
+        if k == 0:
+            assert_single_provider(done, name, model)
+        pending = pending_cases(briefs, done, retry_failed).where(F.pmod(F.xxhash64("residue_id"), F.lit(batches)) == k)
+        if not pending.isEmpty():
+            log.append(classify_with(pending, provider, name, model), path, "residue_id")
+    return log.latest(log.read(spark, path, RECORD, "residue_id")[0], "residue_id").drop("commit", "ordinal")
+
+
 def _resumable(retry_failed: bool) -> Column:
     return (F.col("status") != "transport_failure") & (F.lit(not retry_failed) | (F.col("status") != "schema_failure"))
 

@@ -875,14 +875,27 @@ def _(s, d):
     return cl.case_lines(r["residue"], r["residue_entities"], r["residue_candidates"])
 
 
-@query("h6_classify_with", "SELECT residue_id, 'ok' AS status, CASE WHEN bool_or(code = 'SETTLEMENT_ON_HOLD') THEN 'ON_HOLD' ELSE 'INSUFFICIENT_EVIDENCE' END AS predicted_cause FROM cases GROUP BY residue_id")
+def _by_codes(brief: str) -> dict:
+    """A provider: a held batch is on hold, all else isn't known."""
+    held = "SETTLEMENT_ON_HOLD" in brief.split("EVIDENCE")[0].replace("UNEXPECTED_BANK_CREDIT_ON_HOLD", "")
+    return {"predicted_cause": "ON_HOLD" if held else INSUFFICIENT, "confidence": 0.9, "reasoning": "by its findings", "proposed_adjusting_entry": None, "requires_human_review": not held}
+
+
+_CALLED = "SELECT residue_id, 'ok' AS status, CASE WHEN bool_or(code = 'SETTLEMENT_ON_HOLD') THEN 'ON_HOLD' ELSE 'INSUFFICIENT_EVIDENCE' END AS predicted_cause FROM cases GROUP BY residue_id"
+
+
+@query("h6_classify_with", _CALLED)
 def _(s, d):
-    def provider(brief: str) -> dict:
-        held = "SETTLEMENT_ON_HOLD" in brief.split("EVIDENCE")[0].replace("UNEXPECTED_BANK_CREDIT_ON_HOLD", "")
-        return {"predicted_cause": "ON_HOLD" if held else INSUFFICIENT, "confidence": 0.9, "reasoning": "by its findings", "proposed_adjusting_entry": None, "requires_human_review": not held}
+    r = result(s, d)
+    out = cl.classify_with(cl.case_brief(r["residue"], r["residue_entities"], r["residue_candidates"]), _by_codes, "codes", "1")
+    return out.select("residue_id", "status", F.col("classification.predicted_cause").alias("predicted_cause"))
 
+
+@query("h6_classify_logged", _CALLED)
+def _(s, d):
     r = result(s, d)
-    out = cl.classify_with(cl.case_brief(r["residue"], r["residue_entities"], r["residue_candidates"]), provider, "codes", "1")
+    briefs = stored(cl.case_brief(r["residue"], r["residue_entities"], r["residue_candidates"]))
+    out = cl.classify_logged(briefs, _by_codes, "codes", "1", shared_dir(s), batches=2)
     return out.select("residue_id", "status", F.col("classification.predicted_cause").alias("predicted_cause"))
 
 

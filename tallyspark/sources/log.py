@@ -46,7 +46,10 @@ def append(df: DataFrame, path: str, key: str, buckets: int = 64) -> int:
 
 def _lines(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
     whole = T.StructType([*schema.fields, *STAMPS.fields])
-    lines = spark.read.text(path).where(F.trim("value") != "").select("bucket", "value", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.text(path)
+    if "bucket" not in lines.columns:  # no commit yet
+        lines = lines.withColumn("bucket", F.lit(None).cast("int"))
+    lines = lines.where(F.trim("value") != "").select("bucket", "value", F.col("_metadata.file_path").alias("file"))
     parsed = lines.withColumn("row", F.from_json("value", whole, {"mode": "PERMISSIVE"}))
     return parsed.withColumn("good", F.coalesce(F.col(f"row.{key}").isNotNull() & F.col("row.commit").isNotNull() & F.get_json_object("value", f"$.{key}").isNotNull(), F.lit(False)))
 

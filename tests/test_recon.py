@@ -121,6 +121,27 @@ def test_labels_that_are_no_array_of_objects(spark, tmp_path, text):
         files.read_labels_json(spark, str(tmp_path / "l.json")).collect()
 
 
+def test_logged_calls_are_not_made_twice(spark, tmp_path):
+    """A run that breaks off half-way: the next one asks only for cases without a committed record."""
+    asked, path = tmp_path / "asked", str(tmp_path / "log")
+    asked.mkdir()
+    briefs = spark.createDataFrame([(f"r{i}", f"CASE r{i}") for i in range(40)], "residue_id string, brief string")
+
+    def provider(brief):
+        with (asked / brief.split()[1]).open("a") as f:
+            f.write("x")
+        return {"predicted_cause": "ON_HOLD", "confidence": 0.9, "reasoning": "r", "proposed_adjusting_entry": None, "requires_human_review": False}
+
+    half = cl.classify_logged(briefs.where("residue_id < 'r25'"), provider, "p", "m", path, batches=3)
+    n = half.count()
+    assert 0 < n < 40 and half.where("status != 'ok'").isEmpty()
+    got = cl.classify_logged(briefs, provider, "p", "m", path, batches=3)
+    assert got.count() == got.select("residue_id").distinct().count() == 40 and got.columns == RECORD.names
+    assert {f.read_text() for f in asked.iterdir()} == {"x"} and len(list(asked.iterdir())) == 40
+    with pytest.raises(ValueError, match="another provider"):
+        cl.classify_logged(briefs, provider, "q", "m", path, batches=1)
+
+
 def test_log_keeps_the_order_of_appends(spark, tmp_path):
     path, schema = str(tmp_path / "log"), T.StructType([T.StructField("residue_id", T.StringType()), T.StructField("status", T.StringType())])
     make = lambda *rows: spark.createDataFrame(list(rows), schema)
