@@ -52,6 +52,13 @@ def find_net_mismatch(tied: DataFrame, tolerance_paise: int = NET_TOLERANCE_PAIS
     return found.select(*_GROUP, "bank_txn_id", "bank_credit_paise", (F.col("bank_credit_paise") - F.col("expected_net_paise")).alias("delta_paise"), (F.col("stated_net_paise") - F.col("expected_net_paise")).alias("header_vs_lines_delta_paise"))
 
 
+def failing_reason(tolerance_paise: int = NET_TOLERANCE_PAISE):
+    """The code of the finding that a tied batch brings, null where it reconciles: the four of them in one pass."""
+    held, open_, credited = F.col("status") == "on_hold", F.col("status") != "on_hold", F.col("bank_txn_id").isNotNull()
+    reason = F.when(held & ~credited, "SETTLEMENT_ON_HOLD").when(held, "UNEXPECTED_BANK_CREDIT_ON_HOLD")
+    return reason.when(open_ & ~credited, "SETTLEMENT_WITHOUT_BANK_CREDIT").when(open_ & _off(tolerance_paise), "NET_MISMATCH")
+
+
 def reconciled(tied: DataFrame, tolerance_paise: int = NET_TOLERANCE_PAISE) -> DataFrame:
     """The batches that tie to their bank row."""
     return tied.where("status != 'on_hold' and bank_txn_id is not null").where(~_off(tolerance_paise)).select("settlement_id", "bank_txn_id", "expected_net_paise")

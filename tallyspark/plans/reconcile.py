@@ -45,12 +45,5 @@ def reconcile(orders: DataFrame, lines: DataFrame, bank: DataFrame, ids: str = "
 
 def unreconciled_batches(lines: DataFrame, bank: DataFrame) -> DataFrame:
     """Which settlement batches don't tie to the bank, and why: settlement_id, utr, reason, expected_net_paise, bank_credit_paise, line_count."""
-    tied = st.tie_settlement_to_bank(st.group_settlements(lines), bank)
-    parts = [(st.find_on_hold, "SETTLEMENT_ON_HOLD"), (st.find_unexpected_credit_on_hold, "UNEXPECTED_BANK_CREDIT_ON_HOLD"), (st.find_missing_bank_credit, "SETTLEMENT_WITHOUT_BANK_CREDIT"), (st.find_net_mismatch, "NET_MISMATCH")]
-    out = None
-    for find, reason in parts:
-        found = find(tied)
-        credit = F.col("bank_credit_paise") if "bank_credit_paise" in found.columns else F.lit(None).cast("bigint")
-        found = found.select("settlement_id", "utr", F.lit(reason).alias("reason"), "expected_net_paise", credit.alias("bank_credit_paise"), "line_count")
-        out = found if out is None else out.unionByName(found)
-    return out
+    tied = st.tie_settlement_to_bank(st.group_settlements(lines), bank).withColumn("reason", st.failing_reason())
+    return tied.where("reason is not null").select("settlement_id", "utr", "reason", "expected_net_paise", "bank_credit_paise", "line_count")
