@@ -403,6 +403,27 @@ def test_media_peaks_by_hand(rows):
         assert list(zip(times.tolist(), codes.tolist())) == pairs_by_hand(payload)
 
 
+def feature_by_hand(codes):
+    """The feature written out with whole numbers, code by code."""
+    least = ["ffff"] * 16
+    for c in codes:
+        h = c * 0x9E3779B97F4A7C15 % 2**64
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+        least[h >> 60] = min(least[h >> 60], f"{h >> 40 & 0xFFFF:04x}")
+    return f"{len(codes)}:" + "".join(least)
+
+
+def test_media_features_by_hand(spark, rows):
+    """The query's features, of whole short texts, from peaks found by plain loops."""
+    got = {r.doc_id: r.feature for r in queries.QUERIES["op6_media_columns"](spark, SF).collect()}
+    assert set(got) == set(rows)
+    some = sorted((d for d, t in rows.items() if len(set((t or "").split())) > 5), key=lambda d: len(rows[d]))[:25]
+    for d in some:
+        assert got[d] == feature_by_hand([c for _, c in pairs_by_hand(media.payload_of(rows[d])[1])])
+    for d, t in rows.items():
+        assert got[d] == feature_by_hand(media.peak_pairs(media.payload_of(t or "")[1])[1].tolist())
+
+
 def test_media_peaks_are_the_tones():
     t = np.arange(16000)
     wave = lambda k, a: a * np.sin(2 * np.pi * k * t / media.FRAME) * (1 + 0.3 * np.sin(t / 900))
