@@ -21,7 +21,6 @@ count as other places. Anchors and pieces are compared by 64-bit hashes each, wi
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
