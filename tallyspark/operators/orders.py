@@ -56,6 +56,13 @@ def find_duplicate_orders(orders: DataFrame, lines: DataFrame, seen: DataFrame |
     return count_duplicate_orders(duplicate_twins(orders, lines, seen))
 
 
+def duplicate_orders_with_members(orders: DataFrame, lines: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """DUPLICATE_ORDER_PAIR with all it owns, one row for each order of a group: the order, the line that settles it and the group's counts. No group is gathered into a row."""
+    twins = duplicate_twins(orders, lines, seen)
+    counts = count_duplicate_orders(twins).drop("amount_paise")
+    return twins.join(counts, "group_id").select("group_id", "order_id", "amount_paise", "created_at", "status", "line_id", "seconds_apart", "orders_in_group", "settled_orders", "unsettled_orders")
+
+
 def unsettled_orders(orders: DataFrame, lines: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """ORDER_WITHOUT_SETTLEMENT: paid orders that no payment line settles; those with twins name their duplicate group."""
     seen = (seen or with_settling_line(orders, lines)).where("status = 'paid' and line_id is null")

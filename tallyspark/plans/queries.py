@@ -471,9 +471,9 @@ def _(s, d):
 _TWINS = "SELECT group_id, any_value(amount) AS amount_paise, CAST(abs(epoch(max_by(created, order_id)) - epoch(min_by(created, order_id))) AS BIGINT) AS seconds_apart, count(*) AS orders_in_group, count(line_id) AS settled_orders, count(*) - count(line_id) AS unsettled_orders FROM seen WHERE group_id IS NOT NULL GROUP BY group_id"
 
 
-@query("c3_duplicate_orders", _TWINS)
+@query("c3_duplicate_orders", f"SELECT group_id, order_id, amount AS amount_paise, {at('created', 'created_at')}, status, line_id, seconds_apart, orders_in_group, settled_orders, unsettled_orders FROM seen JOIN ({_TWINS}) USING (group_id)")
 def _(s, d):
-    return od.find_duplicate_orders(*ledger(s, d)[:2])
+    return od.duplicate_orders_with_members(*ledger(s, d)[:2])
 
 
 @query("c3_duplicate_members", f"SELECT group_id, order_id, amount AS amount_paise, {at('created', 'created_at')}, status, CAST(line_id IS NOT NULL AS BIGINT) AS settled, line_id FROM seen WHERE group_id IS NOT NULL")
@@ -481,6 +481,10 @@ def _(s, d):
     return od.duplicate_twins(*ledger(s, d)[:2]).withColumn("settled", F.col("settled").cast("bigint"))
 
 
+#: Evidence has a group's name and counts, no members: the SQL that it is told from, by query.
+_COUNTED = {"c3_duplicate_orders": _TWINS}
+
+
 @query("c4_orders_without_settlement", f"""SELECT order_id, status AS order_status, seen.amount AS amount_paise, {at('created', 'created_at')}, group_id AS duplicate_group,
   coalesce(orders_in_group - 1, 0) AS twins, coalesce(settled_orders, 0) AS settled_twins FROM seen LEFT JOIN ({_TWINS}) USING (group_id) WHERE status = 'paid' AND line_id IS NULL""")
 def _(s, d):
@@ -810,7 +814,7 @@ def _told(name: str, code: str, stage: int, place: int, key: str, *leave: str, m
     name_of = f"CASE k WHEN '{old}' THEN '{new}' ELSE k END" if rename else "k"
     return f"""SELECT '{code}:' || _id AS finding_id, {stage} AS stage, '{place}:' || _id AS place, '{code}' AS code, {name_of} AS key,
     CASE WHEN regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9:]{{8}}') THEN replace(v, ' ', 'T') || 'Z' WHEN k IN ('shortfall_pct', 'effective_bp') THEN regexp_replace(v, '[.]0$', '') ELSE v END AS value
-    FROM (UNPIVOT (SELECT {key} AS _id, CAST(COLUMNS({columns}) AS VARCHAR){more} FROM ({_SELECTS[name]})) ON COLUMNS(* EXCLUDE (_id)) INTO NAME k VALUE v)"""
+    FROM (UNPIVOT (SELECT {key} AS _id, CAST(COLUMNS({columns}) AS VARCHAR){more} FROM ({_COUNTED.get(name) or _SELECTS[name]})) ON COLUMNS(* EXCLUDE (_id)) INTO NAME k VALUE v)"""
 
 
 _BATCH = {"key": "settlement_id", "rename": "status settlement_status"}

@@ -5,6 +5,7 @@ import json
 import random
 from datetime import date, datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ from tallyspark.operators import settle as se
 from tallyspark.operators import settlements as st
 from tallyspark.operators import verify as vf
 from tallyspark.operators.components import connected_components
+from tallyspark.plans import queries as q
+from tallyspark.plans.oracle import sql
 from tallyspark.plans.reconcile import reconcile
 from tallyspark.schemas import BANK_COLUMNS, LINE_COLUMNS, ORDER_COLUMNS, RECORD, TWIN_UNSETTLED
 from tallyspark.sources import files, log
@@ -293,6 +296,24 @@ def test_stage_1(tables):
     assert ids(od.find_status_contradictions(o, li), "order_id") == ["order_pending"] and ids(od.excluded_orders(o, li), "order_id") == ["order_gone"]
 
 
+def test_duplicates_come_with_all_their_orders_and_lines(spark, tables):
+    """From the queries' rows alone: what the first SQL of c3 lists of every group."""
+    o, li, _ = tables
+    got = sorted((x.group_id, x.order_id, x.line_id, x.orders_in_group, x.settled_orders) for x in od.duplicate_orders_with_members(o, li).collect())
+    assert got == [("order_d1", "order_d1", "pay_d1", 3, 1), ("order_d1", "order_d2", None, 3, 1), ("order_d1", "order_d3", None, 3, 1)]
+    folder = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    want = db.execute(sql("""SELECT group_id, string_agg(order_id, ',' ORDER BY order_id) AS order_ids, any_value(amount) AS amount_paise,
+      CAST(abs(epoch(max_by(created, order_id)) - epoch(min_by(created, order_id))) AS BIGINT) AS seconds_apart, count(*) AS orders_in_group, count(line_id) AS settled_orders, count(*) - count(line_id) AS unsettled_orders,
+      coalesce(string_agg(line_id, ',' ORDER BY order_id), '') AS line_ids FROM seen WHERE group_id IS NOT NULL GROUP BY group_id""")).fetchall()
+    groups = {}
+    for x in q.QUERIES["c3_duplicate_orders"](spark, folder).orderBy("order_id").collect():
+        groups.setdefault((x.group_id, x.amount_paise, x.seconds_apart, x.orders_in_group, x.settled_orders, x.unsettled_orders), []).append(x)
+    assert want and sorted(want) == sorted((k[0], ",".join(x.order_id for x in g), *k[1:], ",".join(x.line_id for x in g if x.line_id)) for k, g in groups.items())
+
+
 def test_stage_2(tables):
     o, li, _ = tables
     assert ids(ln.find_orphan_adjustments(li), "line_id") == ["adj_1"]
