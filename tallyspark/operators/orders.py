@@ -77,6 +77,19 @@ def find_orders_without_settlement(orders: DataFrame, lines: DataFrame, seen: Da
     return open_.select("order_id", "order_status", "amount_paise", "created_at", "duplicate_group", F.coalesce("twins", F.lit(0)).alias("twins"), F.coalesce("settled_twins", F.lit(0)).alias("settled_twins"))
 
 
+def orders_without_settlement_with_twins(orders: DataFrame, lines: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """ORDER_WITHOUT_SETTLEMENT with the twins it names, as class rows: the findings (without_settlement true) and, once for each group that has any, its other orders (false).
+
+    What an order is a duplicate of are the other rows of its duplicate_group, so the result grows like the orders and not like the pairs.
+    """
+    seen = seen or with_settling_line(orders, lines)
+    open_ = (F.col("status") == "paid") & F.col("line_id").isNull()
+    groups = seen.where("group_id is not null").groupBy("group_id").agg((F.count("*") - 1).alias("twins"), F.count("line_id").alias("settled_twins"), F.max(open_).alias("any_open"))
+    all_ = seen.withColumn("without_settlement", open_).join(groups, "group_id", "left").where("without_settlement or any_open")
+    counts = [F.coalesce(x, F.lit(0)).alias(x) for x in ("twins", "settled_twins")]
+    return all_.select("order_id", F.col("status").alias("order_status"), "amount_paise", "created_at", F.col("group_id").alias("duplicate_group"), *counts, "line_id", "without_settlement")
+
+
 def find_status_contradictions(orders: DataFrame, lines: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """ORDER_STATUS_CONTRADICTION: orders not paid, yet settled, outside duplicate groups."""
     seen = (seen or with_settling_line(orders, lines)).where("status != 'paid' and line_id is not null and group_id is null")

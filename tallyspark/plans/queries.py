@@ -481,14 +481,17 @@ def _(s, d):
     return od.duplicate_twins(*ledger(s, d)[:2]).withColumn("settled", F.col("settled").cast("bigint"))
 
 
+_OPEN = f"""SELECT order_id, status AS order_status, seen.amount AS amount_paise, {at('created', 'created_at')}, group_id AS duplicate_group,
+  coalesce(orders_in_group - 1, 0) AS twins, coalesce(settled_orders, 0) AS settled_twins FROM seen LEFT JOIN ({_TWINS}) USING (group_id) WHERE status = 'paid' AND line_id IS NULL"""
 #: Evidence has a group's name and counts, no members: the SQL that it is told from, by query.
-_COUNTED = {"c3_duplicate_orders": _TWINS}
+_COUNTED = {"c3_duplicate_orders": _TWINS, "c4_orders_without_settlement": _OPEN}
 
 
 @query("c4_orders_without_settlement", f"""SELECT order_id, status AS order_status, seen.amount AS amount_paise, {at('created', 'created_at')}, group_id AS duplicate_group,
-  coalesce(orders_in_group - 1, 0) AS twins, coalesce(settled_orders, 0) AS settled_twins FROM seen LEFT JOIN ({_TWINS}) USING (group_id) WHERE status = 'paid' AND line_id IS NULL""")
+  coalesce(orders_in_group - 1, 0) AS twins, coalesce(settled_orders, 0) AS settled_twins, line_id, CAST(status = 'paid' AND line_id IS NULL AS BIGINT) AS without_settlement
+  FROM seen LEFT JOIN ({_TWINS}) USING (group_id) WHERE (status = 'paid' AND line_id IS NULL) OR group_id IN (SELECT group_id FROM seen WHERE status = 'paid' AND line_id IS NULL AND group_id IS NOT NULL)""")
 def _(s, d):
-    return od.find_orders_without_settlement(*ledger(s, d)[:2])
+    return od.orders_without_settlement_with_twins(*ledger(s, d)[:2]).withColumn("without_settlement", F.col("without_settlement").cast("bigint"))
 
 
 @query("c5_status_contradictions", f"SELECT order_id, line_id, status AS order_status, settled_amount AS settled_amount_paise, amount AS order_amount_paise, settlement_id, {at('settled', 'settled_at')}, method FROM seen WHERE status <> 'paid' AND line_id IS NOT NULL AND group_id IS NULL")

@@ -297,10 +297,12 @@ def test_stage_1(tables):
 
 
 def test_duplicates_come_with_all_their_orders_and_lines(spark, tables):
-    """From the queries' rows alone: what the first SQL of c3 lists of every group."""
+    """From the queries' rows alone: what the first SQL of c3 and c4 lists of every group and of every open order."""
     o, li, _ = tables
     got = sorted((x.group_id, x.order_id, x.line_id, x.orders_in_group, x.settled_orders) for x in od.duplicate_orders_with_members(o, li).collect())
     assert got == [("order_d1", "order_d1", "pay_d1", 3, 1), ("order_d1", "order_d2", None, 3, 1), ("order_d1", "order_d3", None, 3, 1)]
+    got = {x.order_id: (x.without_settlement, x.duplicate_group, x.twins, x.settled_twins, x.line_id) for x in od.orders_without_settlement_with_twins(o, li).collect()}
+    assert got == {"order_d1": (False, "order_d1", 2, 1, "pay_d1"), "order_d2": (True, "order_d1", 2, 1, None), "order_d3": (True, "order_d1", 2, 1, None), "order_open": (True, None, 0, 0, None)}
     folder = "/root/testdata/sf0.01"
     db = duckdb.connect()
     for t in ("orders", "lineitem"):
@@ -312,6 +314,13 @@ def test_duplicates_come_with_all_their_orders_and_lines(spark, tables):
     for x in q.QUERIES["c3_duplicate_orders"](spark, folder).orderBy("order_id").collect():
         groups.setdefault((x.group_id, x.amount_paise, x.seconds_apart, x.orders_in_group, x.settled_orders, x.unsettled_orders), []).append(x)
     assert want and sorted(want) == sorted((k[0], ",".join(x.order_id for x in g), *k[1:], ",".join(x.line_id for x in g if x.line_id)) for k, g in groups.items())
+    want = db.execute(sql("""SELECT order_id, status AS order_status, amount AS amount_paise, strftime(created, '%Y-%m-%d %H:%M:%S') AS created_at,
+      (SELECT string_agg(t.order_id, ',' ORDER BY t.order_id) FROM dup t WHERE t.group_id = seen.group_id AND t.order_id <> seen.order_id) AS duplicate_of FROM seen WHERE status = 'paid' AND line_id IS NULL""")).fetchall()
+    found, members = q.QUERIES["c4_orders_without_settlement"](spark, folder).orderBy("order_id").collect(), {}
+    for x in found:
+        members.setdefault(x.duplicate_group, []).append(x.order_id)
+    of = lambda x: ",".join(k for k in members[x.duplicate_group] if k != x.order_id) if x.duplicate_group else None
+    assert any(x[-1] for x in want) and sorted(want) == sorted((x.order_id, x.order_status, x.amount_paise, x.created_at, of(x)) for x in found if x.without_settlement)
 
 
 def test_stage_2(tables):
