@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and on the odd cases its docstring names."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -687,6 +688,20 @@ def test_nbest_of_words_and_texts():
     assert np.allclose([s for s, _ in got], every[:4]) and v.decode(np.frombuffer(got[0][1], "<u4")) == " ".join(words)
 
 
+def test_nbest_of_texts_together_and_one_by_one(spark, docs):
+    """Words of many texts are worked out together, sorted; caches that are emptied all the time change nothing; ids leave as Arrow columns, never as Python lists."""
+    v, _ = unigram_library()
+    made = random.Random(5)
+    cut = [["".join(made.choice("theinaré日,*&") for _ in range(made.choice((1, 3, 8, 70)))) for _ in range(made.choice((0, 1, 40)))] for _ in range(60)]
+    want = [v.nbest_of(words, 3) for words in cut]
+    assert v.nbest_all(cut, 3) == want
+    small = unigram.Pieces(unigram.default_model(), records=5)
+    assert small.nbest_all(cut[:30], 3) + small.nbest_all(cut[30:], 3) == want and len(small.single) < sum(map(len, cut))
+    for w in cut[-1] + cut[0] + ["the", "then", "thenation"]:
+        assert v.viterbi_all([w, w + "x", "a"])[0] == v.viterbi(w) and v.viterbi(w)[16:] == v.best(w, 1)[0][1]
+    assert "MapInArrow" in unigram.encode_nbest(docs)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nbest_round_trip(spark, docs, rows):
     got = {r.doc_id: r.text for r in unigram.decode(unigram.encode_nbest(docs)).collect()}
     assert got == {k: " ".join(unigram.words_of(t)) for k, t in rows.items()}
