@@ -584,3 +584,28 @@ def test_missing_header_is_an_error(spark):
     heads = spark.createDataFrame([("s2", 1, 0, 0)], "settlement_id string, net_amount_paise long, fee_paise long, tax_paise long")
     with pytest.raises(Exception, match="no header for s1"):
         se.settlement_report(lines, heads).collect()
+
+
+def _tables_read(df):
+    """How many tables a frame's plan reads."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation ")
+
+
+def test_verification_report_runs_check_by_check(spark, monkeypatch):
+    # no plan holds all checks, and the line items are read for the shared tables alone
+    reads, keep = [], vf.stored
+    monkeypatch.setattr(vf, "stored", lambda df: reads.append(_tables_read(df)) or keep(df))
+    report = {r["check"]: r.failures for r in q.QUERIES["i12_verification_report"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(report) == 13 and report["all"] == sum(n for k, n in report.items() if k != "all")
+    assert len(reads) > 12 and max(reads) < 30
+
+
+def test_label_leak_keeps_no_cell_that_is_too_short(spark, monkeypatch):
+    cells, keep = [], vf.stored
+    monkeypatch.setattr(vf, "stored", lambda df: cells.append(keep(df)) or cells[-1])
+    labels = spark.createDataFrame([("planted on pay_1",)], "note string")
+    orders = spark.createDataFrame([("order_1", "a planted on pay_1"), ("order_1", "x"), ("on_hold 2", "planted on pay_2")], "order_id string, status string")
+    got = vf.check_label_leak(labels, orders=orders).first()
+    assert (got.passed, got.failures, got.detail) == (False, 2, "orders.order_id")
+    assert {r.cell for r in cells[0].collect()} == {"a planted on pay_1", "on_hold 2", "planted on pay_2"}
+    assert vf.check_label_leak(labels.where("false"), orders=orders).first().failures == 1
