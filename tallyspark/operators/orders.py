@@ -30,7 +30,8 @@ def duplicate_groups(orders: DataFrame, window_seconds: int = DUPLICATE_WINDOW_S
 
 def with_settling_line(orders: DataFrame, lines: DataFrame) -> DataFrame:
     """Orders with the line that settles them (null columns where none does) and the duplicate group they are in. The one join stage 1 needs; its operators take it as ``seen`` where it is at hand."""
-    paid = payment_line_per_order(lines).select("order_id", F.col("entity_id").alias("line_id"), F.col("amount_paise").alias("settled_amount_paise"), "settlement_id", "settled_at", "method")
+    kept = [k for k in ("type", "order_id", "entity_id", "amount_paise", "settlement_id", "settled_at", "method", ORDINAL) if k in lines.columns]
+    paid = payment_line_per_order(lines.select(*kept)).select("order_id", F.col("entity_id").alias("line_id"), F.col("amount_paise").alias("settled_amount_paise"), "settlement_id", "settled_at", "method")
     groups = duplicate_groups(orders).select("order_id", "group_id")
     return orders.join(paid, "order_id", "left").join(groups, "order_id", "left")
 

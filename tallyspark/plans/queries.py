@@ -21,8 +21,9 @@ from tallyspark.operators import score as sc
 from tallyspark.operators import settle as se
 from tallyspark.operators import settlements as st
 from tallyspark.operators import verify as vf
+from tallyspark.operators.components import connected_components
 from tallyspark.plans.oracle import at, sql
-from tallyspark.plans.reconcile import reconcile, unreconciled_batches
+from tallyspark.plans.reconcile import Tables, reconcile, unreconciled_batches
 from tallyspark.schemas import (
     ACTION_CHARGEBACK,
     ACTION_DUPLICATE,
@@ -85,25 +86,27 @@ def portable(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-_made: dict[tuple, dict[str, DataFrame]] = {}
+_made: dict[tuple, Tables] = {}
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return L.orders(spark, sf_dir), L.lines(spark, sf_dir), L.bank(spark, sf_dir)
 
 
-def result(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """One reconciliation for each Spark application and state of a folder's files; the queries on its tables share it, so the first of them bears its cost."""
+def result(spark: SparkSession, sf_dir: str) -> Tables:
+    """One reconciliation for each Spark application and state of a folder's files; the queries on its tables share it, so the first of them that needs a table bears its cost."""
     tables = [spark.read.format("binaryFile").load(f"{sf_dir}/{t}.parquet").select("path", "modificationTime", "length") for t in ("orders", "lineitem")]
     state = tables[0].unionByName(tables[1]).agg(F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()[0]
     key = (spark.sparkContext.applicationId, sf_dir, state)
     if key not in _made:
-        tables = reconcile(*ledger(spark, sf_dir))
-        for name in ("residue", "findings", "finding_entities", "residue_candidates"):
-            tables[name] = stored(tables[name])
-        tables["labels"] = stored(L.labels(spark, sf_dir))
-        tables["records"] = stored(cl.rules_classification(tables["residue"]))
-        _made[key] = tables
+        with tidy(spark):
+            *tables, labels = L.tables(spark, sf_dir)
+            made = reconcile(*tables)
+        for name in ("residue", "residue_entities", "findings", "finding_entities", "residue_candidates"):
+            made[name] = lambda make=made.data[name]: stored(make())
+        made["labels"] = labels
+        made["records"] = lambda: stored(cl.rules_classification(made["residue"]))
+        _made[key] = made
     return _made[key]
 
 
@@ -669,7 +672,7 @@ def _(s, d):
 def _(s, d):
     e = result(s, d)["finding_entities"].select("finding_id", "seq", c.entity_key("kind", "id").alias("key"))
     heads = e.groupBy("finding_id").agg(F.min_by("key", F.struct("seq", "key")).alias("head"))
-    return a.connected_components(e.join(heads, "finding_id").select(F.col("head").alias("src"), F.col("key").alias("dst")))
+    return connected_components(e.join(heads, "finding_id").select(F.col("head").alias("src"), F.col("key").alias("dst")))
 
 
 @query("g5_residue_entities", """SELECT rea.residue_id, rea.kind, rea.id, CAST(rea.amount AS BIGINT) AS amount_paise, CASE rea.kind WHEN 'order' THEN o.status || '|' || strftime(o.created, '%Y-%m-%d') WHEN 'settlement_line' THEN ln.type || '|' || ln.settlement_id || '|' || ln.fee || '|' || ln.tax
@@ -713,13 +716,13 @@ def _(s, d):
 @query("g9_short_residue_ids", """, ks AS (SELECT residue_id, string_agg(kind || ':' || id, '|' ORDER BY kind || ':' || id) AS t FROM re GROUP BY residue_id)
   SELECT residue_id, 'res_' || lpad(lower(to_hex(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(t, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda h, x: (xor(h, x) * 16777619) % 4294967296))), 8, '0') AS short_id FROM ks""")
 def _(s, d):
-    keys = result(s, d)["residue_entities"].select("residue_id", c.entity_key("kind", "id").alias("key"))
+    keys = result(s, d)["case_records"].select("residue_id", c.entity_key("kind", "id").alias("key"))
     return a.short_ids(keys, "residue_id")
 
 
 @query("g10_residue_value", "SELECT residue_id, value_paise FROM val")
 def _(s, d):
-    return a.residue_value(result(s, d)["residue_entities"])
+    return a.residue_value(result(s, d)["case_records"])
 
 
 @query("g11_finding_type_counts", "SELECT code, count(DISTINCT finding_id) AS findings FROM fe GROUP BY code")

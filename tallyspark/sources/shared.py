@@ -46,10 +46,15 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return out
 
 
+def at_hand(df: DataFrame) -> DataFrame:
+    """The table, stored unless it is already."""
+    return df if df in _paths else stored(df)
+
+
 def stored_all(*frames: DataFrame) -> list[DataFrame]:
     """Several tables that don't depend on each other, written at the same time, so that small ones don't wait in turn."""
     with ThreadPoolExecutor(len(frames)) as pool:
-        return list(pool.map(stored, frames))
+        return list(pool.map(at_hand, frames))
 
 
 #: While large tables are made one after the other: an action's shuffle files go when it ends, not when the driver next collects garbage.
