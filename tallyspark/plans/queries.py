@@ -21,7 +21,7 @@ from tallyspark.operators import score as sc
 from tallyspark.operators import settle as se
 from tallyspark.operators import settlements as st
 from tallyspark.operators import verify as vf
-from tallyspark.operators.components import connected_components
+from tallyspark.operators.components import star_components
 from tallyspark.plans.oracle import at, sql
 from tallyspark.plans.reconcile import Tables, reconcile, unreconciled_batches
 from tallyspark.schemas import (
@@ -670,9 +670,9 @@ def _(s, d):
 
 @query("g4_connected_components", "SELECT node, c AS component FROM comp WHERE node IN (SELECT a FROM edge WHERE a <> b)")
 def _(s, d):
-    e = result(s, d)["finding_entities"].select("finding_id", "seq", c.entity_key("kind", "id").alias("key"))
-    heads = e.groupBy("finding_id").agg(F.min_by("key", F.struct("seq", "key")).alias("head"))
-    return connected_components(e.join(heads, "finding_id").select(F.col("head").alias("src"), F.col("key").alias("dst")))
+    with tidy(s):
+        ends, home = star_components(result(s, d)["members"])
+    return ends.join(home.where("nodes > 1"), "head").select(F.col("key").alias("node"), "component")
 
 
 @query("g5_residue_entities", """SELECT rea.residue_id, rea.kind, rea.id, CAST(rea.amount AS BIGINT) AS amount_paise, CASE rea.kind WHEN 'order' THEN o.status || '|' || strftime(o.created, '%Y-%m-%d') WHEN 'settlement_line' THEN ln.type || '|' || ln.settlement_id || '|' || ln.fee || '|' || ln.tax
