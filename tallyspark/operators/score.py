@@ -21,10 +21,15 @@ def _matched_ids(result: dict[str, DataFrame]) -> DataFrame:
     return out.distinct()
 
 
+def _owned(result: dict[str, DataFrame]) -> DataFrame:
+    """The cases' records, without their text where the result has them so."""
+    return result["case_records" if "case_records" in result else "residue_entities"]
+
+
 def label_outcome(labels: DataFrame, result: dict[str, DataFrame]) -> DataFrame:
     """record_id, true_cause, outcome: captured, falsely_matched, excluded or unaccounted, the first that holds."""
     mark = lambda df, name: df.select("id").distinct().withColumn(name, F.lit(True))
-    seen = _truth(labels).join(mark(result["residue_entities"], "a"), "id", "left").join(mark(_matched_ids(result), "b"), "id", "left").join(mark(result["excluded"].select(F.col("order_id").alias("id")), "c"), "id", "left")
+    seen = _truth(labels).join(mark(_owned(result), "a"), "id", "left").join(mark(_matched_ids(result), "b"), "id", "left").join(mark(result["excluded"].select(F.col("order_id").alias("id")), "c"), "id", "left")
     outcome = F.when(F.col("a"), "captured").when(F.col("b"), "falsely_matched").when(F.col("c"), "excluded").otherwise("unaccounted")
     return seen.select(F.col("id").alias("record_id"), "true_cause", outcome.alias("outcome"))
 
@@ -35,7 +40,7 @@ def capture_by_cause(outcomes: DataFrame) -> DataFrame:
 
 def clean_match_rate(labels: DataFrame, result: dict[str, DataFrame]) -> DataFrame:
     """One row: unlabelled records matched, pulled into cases (matched wins), and the rate."""
-    ids = _matched_ids(result).withColumn("m", F.lit(1)).unionByName(result["residue_entities"].select("id", F.lit(0).alias("m")))
+    ids = _matched_ids(result).withColumn("m", F.lit(1)).unionByName(_owned(result).select("id", F.lit(0).alias("m")))
     clean = ids.join(_truth(labels).select("id"), "id", "left_anti").groupBy("id").agg(F.max("m").alias("m"))
     row = clean.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("clean_matched"), F.coalesce(F.sum(1 - F.col("m")), F.lit(0)).alias("clean_residue"))
     total = F.col("clean_matched") + F.col("clean_residue")
@@ -48,7 +53,7 @@ def _labelled(entities: DataFrame, labels: DataFrame) -> DataFrame:
 
 def residue_precision(labels: DataFrame, result: dict[str, DataFrame]) -> DataFrame:
     """One row: cases, those with a labelled record, their share."""
-    cases = _labelled(result["residue_entities"], labels).groupBy("residue_id").agg(F.max(F.col("true_cause").isNotNull().cast("int")).alias("d"))
+    cases = _labelled(_owned(result), labels).groupBy("residue_id").agg(F.max(F.col("true_cause").isNotNull().cast("int")).alias("d"))
     return cases.agg(F.count("*").alias("entries"), F.coalesce(F.sum("d"), F.lit(0)).alias("with_defect")).select("*", F.when(F.col("entries") > 0, F.round(F.col("with_defect") / F.col("entries"), 4)).alias("precision"))
 
 
