@@ -287,17 +287,21 @@ def residue_entities(records: DataFrame, orders: DataFrame, lines: DataFrame, ba
 
     A record that no input has is an error if strict; else its values are null, and partition_audit reports it.
     """
-    own = records.select("residue_id", "kind", "id")
-
     def shape(df: DataFrame, kind: str, key: str, amount: str) -> DataFrame:
+        # the cells are written out behind the join, so that it moves no text
         plain = [k for k in df.columns if k not in ("raw", "errors")]
-        raw = F.to_json("raw") if "raw" in df.columns else F.lit(None).cast("string")
-        return df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(amount).alias("amount_paise"), F.to_json(F.struct(*plain)).alias("normalized"), raw.alias("raw"))
-
-    known = _all([shape(orders, "order", "order_id", "amount_paise"), shape(lines, "settlement_line", "entity_id", "amount_paise"), shape(bank, "bank_txn", "bank_txn_id", "credit_paise"), shape(groups, "settlement", "settlement_id", "expected_net_paise")])
-    found = own.join(known, ["kind", "id"], "left")
+        own, cells = records.where(F.col("kind") == kind).select("residue_id", "kind", F.col("id").alias("_id")), df.withColumn("_known", F.lit(True))
+        found = own.join(cells, own["_id"] == cells[key], "left")
+        normalized = F.when(F.col("_known"), F.to_json(F.struct(*plain)))
+        raw = F.when(F.col("_known"), F.to_json("raw")) if "raw" in df.columns else F.lit(None).cast("string")
+        return found.select(own["residue_id"], own["kind"], F.col("_id").alias("id"), F.col(amount).alias("amount_paise"), normalized.alias("normalized"), raw.alias("raw"))
+
+    shapes = [(orders, "order", "order_id", "amount_paise"), (lines, "settlement_line", "entity_id", "amount_paise"), (bank, "bank_txn", "bank_txn_id", "credit_paise"), (groups, "settlement", "settlement_id", "expected_net_paise")]
+    none = [F.lit(None).cast(kind).alias(k) for k, kind in (("amount_paise", "bigint"), ("normalized", "string"), ("raw", "string"))]
+    others = records.where(~F.col("kind").isin([x[1] for x in shapes])).select("residue_id", "kind", "id", *none)
+    found = _all([*(shape(*x) for x in shapes), others])
     if not strict:
-        return found.select("residue_id", "kind", "id", "amount_paise", "normalized", "raw")
+        return found
     sure = F.when(F.col("normalized").isNull(), F.raise_error(F.concat(F.lit("residue references unknown "), "kind", F.lit(" "), "id")).cast("string")).otherwise(F.col("normalized"))
     return found.select("residue_id", "kind", "id", "amount_paise", sure.alias("normalized"), "raw")
 

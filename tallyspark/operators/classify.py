@@ -29,6 +29,7 @@ from tallyspark.schemas import (
     RECORD,
 )
 from tallyspark.sources import log
+from tallyspark.sources.shared import stored
 
 RULES_NAME, RULES_MODEL = "rules-baseline", "deterministic-rules-v1"
 
@@ -155,20 +156,26 @@ def case_pages(residue: DataFrame, entities: DataFrame, candidates: DataFrame, r
     return at.groupBy("residue_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
 
 
-def case_brief(residue: DataFrame, entities: DataFrame, candidates: DataFrame, rows: int = 200) -> DataFrame:
+def case_brief(residue: DataFrame, entities: DataFrame, candidates: DataFrame, rows: int = 200, details: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """residue_id, brief: findings, evidence, and number and amount of records and near misses by kind of each case as text.
 
     A case that fits on one page of case_pages has it at the end (records -, near misses ~); of a larger one the brief gives the
-    number of pages, and case_pages has them all. So no row grows with its case.
+    number of pages, and case_pages has them all. So no row grows with its case, and cases are counted first: only records of those that
+    fit are read and written out. ``details`` gives these records with their text, where ``entities`` has residue_id, kind, id and amount_paise alone.
     """
     def totals(df: DataFrame, amount: Column, name: str) -> DataFrame:
         kinds = df.groupBy("residue_id", "kind").agg(F.count("*").alias("n"), F.sum(amount).alias("paise"))
         text = F.concat(F.lit("  "), "kind", F.lit(": "), F.col("n").cast("string"), F.coalesce(F.concat(F.lit(", "), F.col("paise").cast("string"), F.lit(" paise")), F.lit("")))
         return kinds.groupBy("residue_id").agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias(name))
 
-    pages = case_pages(residue, entities, candidates, rows)
-    ends = pages.groupBy("residue_id").agg(F.max("page").alias("pages"), F.max(F.when(F.col("page") == 1, F.col("text"))).alias("page"))
-    ends = ends.select("residue_id", F.when(F.col("pages") == 1, F.col("page")).otherwise(F.concat(F.lit("  "), F.col("pages").cast("string"), F.lit(" pages"))).alias("page"))
+    counts = stored(entities.select("residue_id").unionByName(candidates.select("residue_id")).groupBy("residue_id").agg(F.count("*").alias("n")))
+    fits = counts.where(F.col("n") <= rows).select("residue_id")
+    own = entities.join(fits, "residue_id", "left_semi")
+    lines = stored(case_lines(residue, details(own) if details else own, candidates.join(fits, "residue_id", "left_semi")).where("section >= '3'"))
+    text = lambda x: F.concat(F.when(x["section"] < "4", "  - ").otherwise("  ~ "), x["text"])
+    page = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "place", "text"))), text), "\n")
+    told = F.concat(F.lit("  "), F.ceil(F.col("n") / rows).cast("string"), F.lit(" pages"))
+    ends = lines.groupBy("residue_id").agg(page.alias("page")).unionByName(counts.where(F.col("n") > rows).select("residue_id", told.alias("page")))
     facts = F.array_join(F.transform(F.array_sort(F.map_entries("evidence")), lambda e: F.concat(F.lit("  "), e["key"], F.lit(" = "), e["value"])), "\n")
     both = residue.join(totals(entities, F.col("amount_paise"), "records"), "residue_id", "left").join(totals(candidates, F.lit(None).cast("bigint"), "near"), "residue_id", "left").join(ends, "residue_id", "left")
     none = F.lit("  (none)")

@@ -891,13 +891,18 @@ def _by_codes(brief: str) -> dict:
     return {"predicted_cause": "ON_HOLD" if held else INSUFFICIENT, "confidence": 0.9, "reasoning": "by its findings", "proposed_adjusting_entry": None, "requires_human_review": not held}
 
 
+def _briefs(s, d) -> DataFrame:
+    r = result(s, d)
+    with tidy(s):
+        return stored(cl.case_brief(r["residue"], r["case_records"], r["residue_candidates"], details=r.details))
+
+
 _CALLED = "SELECT residue_id, 'ok' AS status, CASE WHEN bool_or(code = 'SETTLEMENT_ON_HOLD') THEN 'ON_HOLD' ELSE 'INSUFFICIENT_EVIDENCE' END AS predicted_cause FROM cases GROUP BY residue_id"
 
 
 @query("h6_classify_with", _CALLED)
 def _(s, d):
-    r = result(s, d)
-    out = cl.classify_with(cl.case_brief(r["residue"], r["residue_entities"], r["residue_candidates"]), _by_codes, "codes", "1")
+    out = cl.classify_with(_briefs(s, d), _by_codes, "codes", "1")
     return out.select("residue_id", "status", F.col("classification.predicted_cause").alias("predicted_cause"))
 
 
