@@ -908,9 +908,7 @@ def _(s, d):
 
 @query("h6_classify_logged", _CALLED)
 def _(s, d):
-    r = result(s, d)
-    briefs = stored(cl.case_brief(r["residue"], r["residue_entities"], r["residue_candidates"]))
-    out = cl.classify_logged(briefs, _by_codes, "codes", "1", shared_dir(s), batches=2)
+    out = cl.classify_logged(_briefs(s, d), _by_codes, "codes", "1", shared_dir(s), batches=2)
     return out.select("residue_id", "status", F.col("classification.predicted_cause").alias("predicted_cause"))
 
 
